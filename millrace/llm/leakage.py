@@ -176,6 +176,8 @@ class Index:
 RARE_LEAST, RARE_PART, RARE_WEIGHT = 3, 50, 2
 #: Rare words must make at least this part of their usual share among the equal words.
 RARE_SHARE = 0.5
+#: An item with fewer rare words is found by its common phrases.
+LEAST_RARE = 4
 
 
 def _all_runs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +230,11 @@ def align(items: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> tuple[np.
     return (best % unit) // equal_unit, (best % equal_unit) // rare_unit, best % rare_unit
 
 
-def _candidates(doc: np.ndarray, place: np.ndarray, hit_item: np.ndarray, hit_place: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Bands of one document and one item whose hits cover enough of the item's words: doc, item, and the range of diagonals and places."""
+def _candidates(doc: np.ndarray, place: np.ndarray, hit_item: np.ndarray, hit_place: np.ndarray, rare: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bands of one document and one item whose hits cover enough of the item's words: doc, item, and the range of diagonals.
+
+    ``plain``: whether an item has so few rare words that its common phrases must do.
+    """
     band = (place - hit_place + (1 << 30)) // (BAND // 2)
     # each hit lies in two overlapping bands
     doc, place, item, spot, rare = (np.concatenate([x, x]) for x in (doc, place, hit_item, hit_place, rare))
@@ -246,14 +251,16 @@ def _candidates(doc: np.ndarray, place: np.ndarray, hit_item: np.ndarray, hit_pl
     cover = np.add.reduceat(step, first)
     diagonal = place - spot
     low, high = np.minimum.reduceat(diagonal, first), np.maximum.reduceat(diagonal, first)
-    keep = cover >= np.where(np.logical_or.reduceat(rare, first), LEAST_COVER_RARE, LEAST_COVER)
-    return doc[first][keep], item[first][keep], low[keep], high[keep]
+    telling = np.add.reduceat(np.where(rare, step, 0), first)
+    keep = (telling >= LEAST_COVER_RARE) | (plain[item[first]] & (cover >= LEAST_COVER))
+    found = np.unique(np.column_stack([doc[first], item[first], low, high])[keep], axis=0)  # two bands may hold the same hits
+    return tuple(found.T)
 
 
-#: Words of an item that the hits of one band must cover before it is aligned; fewer if a hit holds a rare word.
-LEAST_COVER, LEAST_COVER_RARE = 10, 5
+#: Words of an item that the hits of one band must cover before it is looked at: by hits that hold a rare word, or, in an item with hardly any, by all.
+LEAST_COVER_RARE, LEAST_COVER = 5, 10
 #: Candidates aligned at a time, so that a batch's memory is bounded.
-AT_ONCE = 4096
+AT_ONCE = 256
 
 
 def search(index: Index, doc_ids: np.ndarray, texts: list[str | None], share: float = SHARE, density: float = DENSITY) -> tuple[np.ndarray, ...]:
@@ -277,13 +284,17 @@ def search(index: Index, doc_ids: np.ndarray, texts: list[str | None], share: fl
     if not len(hit):
         return nothing
     entry = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(left, times)
+    sizes = np.array([len(w) for w in index.words], np.int64)
+    rares = np.array([(w > 1).sum() for w in index.weights], np.int64)
+    telling = index.rare[entry] | (rares < LEAST_RARE)[index.item[entry]]  # the others can't make a candidate
+    hit, entry = hit[telling], entry[telling]
     place = at[hit]
     doc = np.searchsorted(starts, place, "right") - 1
-    doc, item, low, high = _candidates(doc, place, index.item[entry], index.place[entry], index.rare[entry])
+    doc, item, low, high = _candidates(doc, place, index.item[entry], index.place[entry], index.rare[entry], rares < LEAST_RARE)
+    enough = _rare_words_near(index, ids, item, low, high) >= RARE_SHARE * density * share * rares[item]
+    doc, item, low, high = doc[enough], item[enough], low[enough], high[enough]
     if not len(doc):
         return nothing
-    sizes = np.array([len(w) for w in index.words], np.int64)
-    rares = np.array([(w > 1).sum() for w in index.weights], np.int64)
     begin = np.maximum(starts[doc], low - BAND // 2)
     end = np.minimum(starts[doc] + lengths[doc], high + sizes[item] + BAND)
     out: list[tuple[np.ndarray, ...]] = []
@@ -317,6 +328,28 @@ def search(index: Index, doc_ids: np.ndarray, texts: list[str | None], share: fl
     return doc_ids[doc[first]], index.item_ids[item[first]], equal[first], stretch[first], size[first]
 
 
+def _rare_words_near(index: Index, ids: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many of the item's rare words stand in the document on a diagonal from ``low`` to ``high`` or near it: no alignment there can have more."""
+    spots = [np.flatnonzero(w > 1) for w in index.weights]
+    count = np.array([len(x) for x in spots], np.int64)
+    begin = np.cumsum(count) - count
+    all_spots = np.concatenate([*spots, np.empty(0, np.int64)])
+    all_words = np.concatenate([*(w[x] for w, x in zip(index.words, spots)), np.empty(0, np.int64)])
+    times = count[item]
+    pair = np.repeat(np.arange(len(item)), times)
+    if not len(pair):
+        return np.zeros(len(item), np.int64)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times) + begin[item][pair]
+    spot, word = all_spots[at], all_words[at]
+    from_, to = low[pair] - BAND // 2, high[pair] + BAND // 2
+    hit = np.zeros(len(pair), bool)
+    for j in range(2 * BAND + 1):
+        d = from_ + j
+        where = np.clip(spot + d, 0, len(ids) - 1)
+        hit |= (ids[where] == word) & (d <= to)
+    return np.bincount(pair, hit, len(item)).astype(np.int64)
+
+
 FOUND = "doc_id bigint, item_id bigint, equal_words int, stretch int, item_words int"
 
 

@@ -8,6 +8,9 @@ import re
 _LETTERS = "àâäáãåçèéêëíîïñóôöõòùúûüßœæąćęłńśźżабвгдежзийклмнопрстуфхцчшщъыьэюяё"
 _MARKS = "﻿♪♫¿¡«»“”„‘’–—…№€°·"
 _USUAL = frozenset(_LETTERS + _LETTERS.upper() + "ẞ" + _MARKS + "".join(map(chr, range(128))))
+_UNUSUAL = re.compile("[^" + re.escape("".join(sorted(_USUAL))) + "]")
+_BEYOND = re.compile(r"[\w\u0080-\U0010ffff]*[^\x00-\x7f][\w\u0080-\U0010ffff]*")
+_MISPLACED_CAPITAL = re.compile(r"[À-ÝŁŚŻĄĘĆŃŹ](?<=[a-z].)")
 #: A capital with an accent after a small letter: usual letters in an unusual place.
 _MISPLACED = re.compile("[a-z][À-ÝŁŚŻĄĘĆŃŹА-ЯЁ]|[а-яё][a-z]|[a-z][а-яё]")
 # Fixed values: (encoding a file was read in, encoding it was written in).
@@ -37,27 +40,34 @@ def _oddness(text: str) -> int:
 
 def repair_encoding(text: str) -> str:
     """``text`` as it was written, if it was read in a wrong encoding; the reading with the fewest odd characters wins, none if no reading is much better."""
-    if text.isascii() or not (set(text) - _USUAL or _MISPLACED.search(text)):
+    if text.isascii() or not (_UNUSUAL.search(text) or _MISPLACED_CAPITAL.search(text)):
         return text
-    best, least = text, _oddness(text)
-    body, marks = text.lstrip("﻿"), text.count("?")
+    body = text.lstrip("﻿")
+    # a reading is judged by the words that aren't plain ASCII: the others are the same in every reading
+    sample = " ".join(_BEYOND.findall(body))
+    best, least = None, _oddness(sample)
     for wrong, right in _MISREADINGS:
-        try:
-            read = body.translate(_BACK[wrong]).encode("latin-1", "replace").decode(right, "replace" if right == "utf-8" else "strict")
-        except UnicodeDecodeError:
+        read = _read_again(sample, wrong, right)
+        if read is None:
             continue
-        odd = _oddness(read) + max(0, read.count("?") - marks)
+        odd = _oddness(read) + read.count("?")
         if odd < least * 0.7:
-            best, least = read, odd
-            if odd * 500 < len(read):
+            best, least = (wrong, right), odd
+            if odd * 20 < len(read):
                 break
-    return best
+    return (best and _read_again(body, *best)) or text
+
+
+def _read_again(text: str, wrong: str, right: str) -> str | None:
+    try:
+        return text.translate(_BACK[wrong]).encode("latin-1", "replace").decode(right, "replace" if right == "utf-8" else "strict")
+    except UnicodeDecodeError:
+        return None
 
 
-_TIME = re.compile(r"^[^\n]*-->[^\n]*\n?", re.M)
 _FRAMES = re.compile(r"^﻿?\{\d*\}\{\d*\}", re.M)
 _TAGS = re.compile(r"</?\w[^<>\n]{0,60}>|\{\\[^{}\n]{0,40}\}")
-_BROKEN = re.compile(r"(?<=\w)-[ \t]*\n[ \t]*(?=\w)")
+_BROKEN = re.compile(r"(?<=\w)-\n[ \t]*(?=\w)")
 _SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|♪[^♪]*(?:♪|\Z)|(?<!\w)\*[^*]+\*")
 # How adverts in subtitle files begin, and what their addresses look like.
 _PITCHES = ("subtitles by", "sync and corrections", "rate this file", "watch any film", "support us and", "your product here")
@@ -66,8 +76,30 @@ _FRAMED = re.compile(r"\s*(?:~.*\bteam\b|-=.*=-)", re.I | re.S)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+_HINTS = ("example", "x a m p l e", "invalid", "v a l i d", ".com", ".net", ".org", "www.", "://")
+
+
 def is_advert(cue: str) -> bool:
-    return bool(("." in cue or "://" in cue) and _ADDRESS.search(cue)) or cue.lower().startswith(_PITCHES) or (cue[:1] in "~-" and bool(_FRAMED.match(cue)))
+    low = cue.lower()
+    return low.startswith(_PITCHES) or (any(h in low for h in _HINTS) and bool(_ADDRESS.search(low))) or (cue[:1] in "~-" and bool(_FRAMED.match(cue)))
+
+
+def _timed(lines: list[str]) -> list[str]:
+    """What stands after each ``-->`` line, without the number above the next one."""
+    parts: list[str] = []
+    now: list[str] | None = None
+    for line in lines:
+        if "-->" in line:
+            if now:
+                if now[-1].strip().isdigit():
+                    now.pop()
+                parts.append("\n".join(now))
+            now = []
+        elif now is not None and line:
+            now.append(line)
+    if now:
+        parts.append("\n".join(now))
+    return parts
 
 
 def cues(text: str) -> list[str]:
@@ -79,23 +111,24 @@ def cues(text: str) -> list[str]:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "<" in text or "{\\" in text:
         text = _TAGS.sub("", text)
+    if "-\n" in text:
+        text = _BROKEN.sub("", text)
     if "-->" in text:
-        parts, numbered = _TIME.split(text)[1:], True
+        parts = _timed(text.split("\n"))
     elif _FRAMES.search(text):
-        parts, numbered = [p.replace("|", "\n") for p in _FRAMES.split(text)[1:]], False
+        parts = _FRAMES.split(text)[1:]
+        if "|" in text:
+            parts = [_BROKEN.sub("", p.replace("|", "\n")) for p in parts]
     else:
-        parts, numbered = text.split("\n"), False
+        parts = text.split("\n")
+    low = text.lower()
+    adverts = "~" in low or "-=" in low or any(h in low for h in _HINTS) or any(x in low for x in _PITCHES)
+    sounds = "[" in text or "(" in text or "♪" in text or "*" in text
     out = []
     for p in parts:
         p = p.strip()
-        if numbered and p[-1:].isdigit():
-            body, _, last = p.rpartition("\n")
-            if last.strip().isdigit():
-                p = body.rstrip()
-        if "-" in p:
-            p = _BROKEN.sub("", p)
-        if "[" in p or "(" in p or "♪" in p or "*" in p:
+        if sounds and ("[" in p or "(" in p or "♪" in p or "*" in p):
             p = _SOUND.sub(" ", p)
-        if (p[:1].isalpha() or _LETTER.search(p)) and not is_advert(p):
+        if (p[:1].isalpha() or _LETTER.search(p)) and not (adverts and is_advert(p)):
             out.append(p)
     return out
