@@ -32,6 +32,9 @@ SWITCH = -4.0
 BACKOFF, SUFFIX_WEIGHT, HOST_WEIGHT = 2.0, 50.0, 10.0
 #: A word that no sample holds counts less, as names belong to no language; it can't weigh more than so many nats.
 UNKNOWN_WEIGHT, UNKNOWN_MOST = 0.5, 4.0
+#: A cue is weak if its second language is within so many nats of the first. Its words are then judged by how often they stand in weak
+#: cues of documents of each language, counted over the whole corpus. Words of less than one part in LEARNED of those counts are left.
+WEAK, LEARNED, LEARNED_LEAST, LEARNED_MOST = 12.0, 20_000, 5, 6.0
 #: Scores below the best by more than this are the same; a cue's scores are kept in one byte each.
 DEEPEST = 51.0
 
@@ -134,18 +137,29 @@ class WordScores(dict):
             self["\x01"] = 0
 
 
-def cue_scores(scores: WordScores, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The cues' scores of many documents end to end, each relative to its best language, and the number of cues of each document."""
+def _relative(sums: np.ndarray) -> np.ndarray:
+    return sums - sums.max(axis=-1, keepdims=True)
+
+
+def cue_scores(scores: WordScores, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """The cues' scores of many documents end to end, each relative to its best language; the number of cues of each document; the words of each weak cue."""
     spoken = [cues(repair_encoding(t)) if t else [] for t in texts]
     counts = np.array([len(c) for c in spoken], np.int64)
     total = int(counts.sum())
     if not total:
-        return np.zeros((0, len(scores.model.languages))), counts
+        return np.zeros((0, len(scores.model.languages))), counts, []
     tokens = _TOKEN.findall("\x01" + "\x01".join(c.lower() for d in spoken for c in d))
     ids = np.fromiter(map(scores.__getitem__, tokens), np.int64, len(tokens))
     starts = np.flatnonzero(ids == 0)
     sums = np.add.reduceat(scores.table[ids], starts, axis=0)
-    return sums - sums.max(axis=1, keepdims=True), counts
+    sums = _relative(sums)
+    ends = np.append(starts[1:], len(tokens))
+    return sums, counts, [tokens[starts[k] + 1 : ends[k]] for k in weak_cues(sums)]
+
+
+def weak_cues(scores: np.ndarray) -> np.ndarray:
+    """The cues whose best language isn't clear from the samples' words."""
+    return np.flatnonzero(np.sort(scores, axis=1)[:, -2] > -WEAK) if scores.shape[1] > 1 else np.empty(0, np.int64)
 
 
 def best_paths(scores: np.ndarray, counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -188,16 +202,43 @@ def segments(path: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     fresh[1:] = (doc[1:] != doc[:-1]) | (path[1:] != path[:-1])
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], n) - 1
-    long = (last - first + 1) >= LEAST_CUES
-    first, last = first[long], last[long]
+    spoken = last - first + 1
+    long = spoken >= LEAST_CUES
+    lang = path[first]
+    extra = _interrupted(doc[first], lang, spoken, long)
+    if extra:
+        # a language whose stretches are all short, but which only short stretches of others interrupt
+        head, tail, own = np.array(extra).T
+        first, last, spoken = (np.concatenate([x[long], y]) for x, y in ((first, first[head]), (last, last[tail]), (spoken, own)))
+        lang = np.concatenate([lang[long], lang[head]])
+        order = np.argsort(first, kind="stable")
+        first, last, spoken, lang = (x[order] for x in (first, last, spoken, lang))
+    else:
+        first, last, spoken, lang = first[long], last[long], spoken[long], lang[long]
     if not len(first):
         return (np.empty(0, np.int64),) * 5
     join = np.ones(len(first), bool)
-    join[1:] = (doc[first[1:]] != doc[first[:-1]]) | (path[first[1:]] != path[first[:-1]])
+    join[1:] = (doc[first[1:]] != doc[first[:-1]]) | (lang[1:] != lang[:-1])
     head = np.flatnonzero(join)
-    tail = np.append(head[1:], len(head) and len(join)) - 1
-    spoken = np.add.reduceat(last - first + 1, head)
-    return doc[first[head]], path[first[head]], first[head], last[tail], spoken
+    tail = np.append(head[1:], len(join)) - 1
+    return doc[first[head]], lang[head], first[head], last[tail], np.add.reduceat(spoken, head)
+
+
+def _interrupted(doc: np.ndarray, lang: np.ndarray, spoken: np.ndarray, long: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first run, last run, own cues) of the language with the most cues between two long runs, if it has enough and neither of them is in it."""
+    out = []
+    edge = np.ones(len(doc) + 1, bool)
+    edge[1:-1] = (doc[1:] != doc[:-1]) | long[1:] | long[:-1]
+    at = np.flatnonzero(edge)
+    for a, b in zip(at[:-1], at[1:]):
+        if b - a > 2 and not long[a]:
+            own = np.bincount(lang[a:b], spoken[a:b]).astype(np.int64)
+            best = int(own.argmax())
+            beside = {int(lang[k]) for k in (a - 1, b) if 0 <= k < len(doc) and doc[k] == doc[a]}
+            if own[best] >= LEAST_CUES and best not in beside:
+                runs = np.flatnonzero(lang[a:b] == best) + a
+                out.append((int(runs[0]), int(runs[-1]), int(own[best])))
+    return out
 
 
 def _log_share(counts: Column, parent: Column, weight: float) -> Column:
@@ -205,8 +246,19 @@ def _log_share(counts: Column, parent: Column, weight: float) -> Column:
     return F.zip_with(counts, parent, lambda c, p: (c + p * weight) / (F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + weight))
 
 
-def _sums(n: int) -> list[Column]:
-    return F.array(*(F.sum(F.when(F.col("__lang") == i, 1.0).otherwise(0.0)) for i in range(n)))
+def _learn(read: DataFrame, states: int) -> dict[str, np.ndarray]:
+    """Words of weak cues -> their score in each language, from the documents that hold them. At most LEARNED words."""
+    said = read.where("size(__weak) > 0").select("__lang", F.explode(F.split(F.array_join("__weak", " "), " ")).alias("w")).where("w != ''")
+    counted = said.groupBy("w", "__lang").agg(F.count(F.lit(1)).alias("n"))
+    totals = {r["__lang"]: r["n"] for r in counted.groupBy("__lang").agg(F.sum("n").alias("n")).collect()}
+    least = max(LEARNED_LEAST, sum(totals.values()) // LEARNED)
+    per_word = counted.groupBy("w").agg(*(F.sum(F.when(F.col("__lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(states)), F.sum("n").alias("n"))
+    size = np.array([totals.get(i, 0) for i in range(states)], float)
+    out = {}
+    for r in per_word.where(F.col("n") >= least).collect():
+        share = (np.array([r[f"n{i}"] for i in range(states)]) + 0.5) / (size + states)
+        out[r["w"]] = np.maximum(_relative(np.log(share)), -LEARNED_MOST)
+    return out
 
 
 def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
@@ -235,7 +287,7 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
             for i in range(0, len(pdf), 256):
                 part = pdf.iloc[i : i + 256]
                 scores.trim()
-                found, counts = cue_scores(scores, part["text"].tolist())
+                found, counts, weak = cue_scores(scores, part["text"].tolist())
                 whole = np.zeros((len(part), states))
                 has = counts > 0
                 if has.any():
@@ -245,10 +297,18 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
                 out = part[["doc_id", "declared", "source"]].copy()
                 out["__lang"] = np.where(has, whole.argmax(axis=1), -1)
                 out["__scores"] = [c.tobytes() for c in cuts]
+                at, offsets = weak_cues(found), np.cumsum(counts) - counts
+                doc = np.searchsorted(offsets, at, "right") - 1 if len(at) else at
+                of_doc: list[dict] = [{"at": [], "words": []} for _ in range(len(part))]
+                for k, j, w in zip(at, doc, weak):
+                    of_doc[j]["at"].append(int(k - offsets[j]))
+                    of_doc[j]["words"].append(" ".join(w))
+                out["__weak_at"], out["__weak"] = [x["at"] for x in of_doc], [x["words"] for x in of_doc]
                 yield out[has]
 
     # one byte a cue and language is kept, so that the texts are read once
-    read_ = durable(rows.mapInPandas(read, "doc_id bigint, declared string, source string, __lang int, __scores binary"))
+    read_ = durable(rows.mapInPandas(read, "doc_id bigint, declared string, source string, __lang int, __scores binary, __weak_at array<int>, __weak array<string>"))
+    learned = spark.sparkContext.broadcast(_learn(read_, states))
     suffix = F.regexp_extract(F.lower("source"), r"\.([a-z]{2,})$", 1)
     evidence = read_.withColumn("__suffix", F.coalesce(suffix, F.lit("")))
     even = F.array(*[F.lit(1.0 / states)] * states)
@@ -272,15 +332,20 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
     joined = evidence.join(by_source, "source", "left").join(by_label, "declared", "left")
     # corpus x (source / corpus) x (label / corpus)
     prior = F.transform(F.arrays_zip(F.coalesce("__host", top).alias("h"), F.coalesce("__label", top).alias("l"), top.alias("c")), lambda x: F.log(x["h"]) + F.log(x["l"]) - F.log(x["c"]))
-    fused = joined.select("doc_id", "declared", "__scores", prior.alias("__prior"))
+    fused = joined.select("doc_id", "declared", "__scores", "__weak_at", "__weak", prior.alias("__prior"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, known = WordScores(shared.value), learned.value
         for pdf in batches:
+            words.trim()
             for i in range(0, len(pdf), 256):
                 part = pdf.iloc[i : i + 256]
                 raw = [np.frombuffer(b, np.uint8).reshape(-1, states) for b in part["__scores"]]
                 counts = np.array([len(r) for r in raw], np.int64)
                 scores = np.concatenate(raw) / -255 * DEEPEST
+                for start, at, weak in zip(np.cumsum(counts) - counts, part["__weak_at"], part["__weak"]):
+                    for k, cue in zip(at, weak):
+                        scores[start + k] = _relative(sum((known[w] if w in known else words.table[words[w]] for w in cue.split()), np.zeros(states)))
                 prior = np.array(part["__prior"].tolist())
                 prior -= np.log(np.exp(prior).sum(axis=1, keepdims=True))
                 path = best_paths(scores, counts, prior)
