@@ -7,9 +7,24 @@ from pyspark.sql import functions as F
 
 from millrace.llm.language import identify
 from millrace.llm.leakage import find_leaks
+from millrace.llm.packing import assign
 from millrace.sources.tables import table
 
 
+def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's containers for each capacity."""
+    return assign(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "pack_spec"))
+
+
+def p6_waste(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: containers, tokens, the containers that the sum of tokens needs at least, and the share of unused space."""
+    placed = p6_assignment(spark, d)
+    totals = placed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_tokens"))
+    return totals.join(table(spark, d, "pack_spec"), "spec_id").select(
+        "spec_id", "capacity", "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("n_least"), (1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("unused")
+    )
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_item").select("item_id", "text"))
 
@@ -38,5 +53,5 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_items, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p6_assignment, p6_waste, p7_found, p7_items, p8_found, p8_segments)}
 ORACLE: dict[str, str] = {}
