@@ -1,6 +1,6 @@
 """All core queries by name, and their SQL."""
 
-from millrace.catalog import problems
+from millrace.catalog import problems, rows
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**problems.QUERIES, **rows.QUERIES}
+ORACLE = {**problems.ORACLE, **rows.ORACLE}

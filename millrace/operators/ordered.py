@@ -7,8 +7,9 @@ worked out from one summary row per partition; the driver sees those summaries o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.durable import durable, shuffle_partitions
 
@@ -28,3 +29,85 @@ def part_summaries(df: DataFrame, **aggs: Column) -> list:
     """One row per non-empty partition, in order. Its size is bounded by the number of shuffle partitions."""
     rows = df.groupBy(PART).agg(*(c.alias(n) for n, c in aggs.items())).collect()
     return sorted(rows, key=lambda r: r[PART])
+
+
+def offsets(rows: list, count: str) -> list[tuple[int, int]]:
+    """(partition, what the partitions before it hold) from summaries."""
+    out, total = [], 0
+    for r in rows:
+        out.append((r[PART], total))
+        total += r[count] or 0
+    return out
+
+
+def _with_offsets(df: DataFrame, before: list[tuple[int, int]], name: str) -> DataFrame:
+    """``df`` with its partition's offset; the list has one entry per partition and is broadcast."""
+    small = df.sparkSession.createDataFrame(before, f"{PART} int, `{name}` bigint")
+    return df.join(F.broadcast(small), PART)
+
+
+def _laid_out(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` sorted over all partitions and kept, with the partition (``__part``) and the row's place in it (``__at``)."""
+    # within a partition the id's low 33 bits count the rows in their sorted order
+    rows = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return durable(rows.withColumn(PART, F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
+    """``df`` with row numbers from 1 in the given order, without bringing all rows to one task.
+
+    The order must tell all rows apart for the numbers to be the same each time. Nulls come first.
+    """
+    rows = _laid_out(df, order)
+    before = offsets(part_summaries(rows, n=F.count(F.lit(1))), "n")
+    return _with_offsets(rows, before, "__before").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__before", "__at", PART)
+
+
+def segmented(df: DataFrame, key: str, order: list[str], name: str = "epoch_seq") -> DataFrame:
+    """``df`` with the number, from 1, of its contiguous run of equal keys in the given order; null equals null.
+
+    Runs are numbered over all partitions: each partition learns the key before its first row and the runs before it.
+    """
+    rows = _laid_out(df, order)
+    edges = part_summaries(rows, first=F.min_by(F.struct(F.col(key).alias("k")), "__at"), last=F.max_by(F.struct(F.col(key).alias("k")), "__at"))
+    opens = [(r[PART], i == 0 or edges[i - 1]["last"]["k"] != r["first"]["k"]) for i, r in enumerate(edges)]
+    small = df.sparkSession.createDataFrame(opens, f"{PART} int, __opens boolean")
+    w = Window.partitionBy(PART).orderBy("__at")  # as many groups as partitions, all of like size
+    rows = rows.join(F.broadcast(small), PART)
+    change = F.when(F.col("__at") == 0, F.col("__opens")).otherwise(~F.col(key).eqNullSafe(F.lag(key).over(w)))
+    rows = rows.withColumn("__change", change.cast("bigint"))
+    before = offsets(part_summaries(rows, n=F.sum("__change")), "n")
+    running = F.sum("__change").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return _with_offsets(rows, before, "__before").withColumn(name, F.col("__before") + running).drop("__before", "__at", "__opens", "__change", PART)
+
+
+def last_known(df: DataFrame, value: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the last non-null ``value`` at or before each row in the given order, carried over partition borders."""
+    rows = _laid_out(df, order)
+    kind = rows.schema[value].dataType
+    now, before = None, []
+    for r in part_summaries(rows, last=F.max_by(value, F.when(F.col(value).isNotNull(), F.col("__at")))):
+        before.append((r[PART], now))
+        now = r["last"] if r["last"] is not None else now
+    schema = T.StructType([T.StructField(PART, T.IntegerType()), T.StructField("__carry", kind)])
+    w = Window.partitionBy(PART).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(F.broadcast(df.sparkSession.createDataFrame(before, schema)), PART)
+    return joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), F.col("__carry"))).drop(PART, "__at", "__carry")
+
+
+def running_max(df: DataFrame, value: str, order: list[str], lane: str, name: str) -> DataFrame:
+    """``df`` with the greatest ``value`` (bigint) of the row's lane up to the row, carried over partition borders.
+
+    One summary row per partition and lane reaches the driver; lanes are few and known beforehand.
+    """
+    rows = _laid_out(df, order)
+    best: dict = {}
+    before = []
+    summaries = rows.groupBy(PART, lane).agg(F.max(value).alias("m")).collect()
+    for r in sorted(summaries, key=lambda r: (r[PART], r[lane])):
+        before.append((r[PART], r[lane], best.get(r[lane])))
+        best[r[lane]] = max(r["m"], best.get(r[lane], r["m"]))
+    schema = T.StructType([T.StructField(PART, T.IntegerType()), T.StructField(lane, rows.schema[lane].dataType), T.StructField("__carry", T.LongType())])
+    w = Window.partitionBy(PART, lane).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(F.broadcast(df.sparkSession.createDataFrame(before, schema)), [PART, lane])
+    return joined.withColumn(name, F.greatest(F.max(value).over(w), F.col("__carry"))).drop(PART, "__at", "__carry")
