@@ -320,7 +320,8 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
         return counted.groupBy(*by).agg(sums.alias("__counts")).select(*by, _log_share(F.col("__counts"), parent, weight).alias("__share"))
 
     everywhere = [r["__share"] for r in share([], even, 1.0).collect()]
-    corpus = everywhere[0] if everywhere and everywhere[0] and all(x == x for x in everywhere[0]) else [1.0 / states] * states
+    known = bool(everywhere) and everywhere[0] is not None and None not in everywhere[0]  # not so in an empty corpus
+    corpus = everywhere[0] if known else [1.0 / states] * states
     top = F.array(*(F.lit(float(x)) for x in corpus))
     by_suffix = share(["__suffix"], top, SUFFIX_WEIGHT).withColumnRenamed("__share", "__above")
     sums = F.array(*(F.sum(F.when(F.col("__lang") == i, F.col("n")).otherwise(0.0)) for i in range(states)))
