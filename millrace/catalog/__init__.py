@@ -1,6 +1,6 @@
 """All core queries by name, and their SQL."""
 
-from millrace.catalog import problems, rows
+from millrace.catalog import epochs, events, flows, problems, rows, streams
 
-QUERIES = {**problems.QUERIES, **rows.QUERIES}
-ORACLE = {**problems.ORACLE, **rows.ORACLE}
+QUERIES = {**problems.QUERIES, **rows.QUERIES, **flows.QUERIES, **epochs.QUERIES, **events.QUERIES, **streams.QUERIES}
+ORACLE = {**problems.ORACLE, **rows.ORACLE, **flows.ORACLE, **epochs.ORACLE, **events.ORACLE, **streams.ORACLE}

@@ -1,0 +1,50 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from millrace.operators.quantiles import RankSummary, combine, merge_all, read_quantiles, summarize
+
+PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+
+
+def off(values, v, prob):
+    """By how many ranks v is off the sought one; 0 if it is among its ties."""
+    values = np.sort(values)
+    rank = max(1, math.ceil(prob * len(values)))
+    low, high = np.searchsorted(values, v, "left") + 1, np.searchsorted(values, v, "right")
+    return max(0, low - rank, rank - high)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_summary_error_is_proven(seed):
+    r = np.random.default_rng(seed)
+    parts = [r.integers(0, 40, 500).astype(float) if seed % 2 else r.lognormal(0, 3, r.integers(1, 3000)) for _ in range(9)]
+    s = merge_all([RankSummary.of(p).compress(0.01) for p in parts]).compress(0.02)
+    values = np.concatenate(parts)
+    assert s.n == len(values) and s.error <= 0.02 + 1e-9
+    assert len(s.value) < 200
+    for p, v, bound in zip(PROBS, *s.quantile(PROBS)):
+        assert off(values, v, p) <= bound <= s.error * s.n + 1
+
+
+def test_groups_over_partitions_and_days(spark):
+    r = random.Random(4)
+    data = [("hot" if r.random() < 0.6 else r.choice("ab"), r.choice(["d1", "d2", "d3"]), r.choice([r.gauss(0, 1e6), float(r.randrange(5))])) for _ in range(20_000)]
+    data += [("a", "d1", None), ("a", "d1", math.nan), ("b", "d1", math.inf), (None, "d1", 1.0)]
+    df = spark.createDataFrame(data, "who string, day string, v double")
+    daily = combine(summarize(df, ["who", "day"], "v", 0.02), ["who"], 0.02)
+    for made in (summarize(df, ["who"], "v", 0.02), daily):
+        got = read_quantiles(made, ["who"], PROBS).collect()
+        assert {x["who"] for x in got} == {"hot", "a", "b"}
+        for x in got:
+            values = np.array([v for w, _, v in data if w == x["who"] and v is not None and math.isfinite(v)])
+            assert x["n_values"] == len(values)
+            assert off(values, x["value"], x["prob"]) <= x["off_ranks"] <= 0.02 * len(values) + 1
+            assert x["rank_error"] <= 0.02 + 1e-9
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "who string, v double")
+    assert read_quantiles(summarize(df, ["who"], "v"), ["who"], PROBS).count() == 0
