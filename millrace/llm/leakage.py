@@ -165,15 +165,15 @@ class Index:
         for x in ids:
             holders[np.unique(x)] += 1
         rare = holders <= max(RARE_LEAST, len(ids) // RARE_PART)
-        weights = [np.where(rare[x], RARE_WEIGHT, 1) for x in ids]
+        weights = [np.where(holders[x] == 1, ONLY_WEIGHT, np.where(rare[x], RARE_WEIGHT, 1)) for x in ids]
         seeds = np.zeros(len(at), bool)
         for j in range(K):
             seeds |= rare[everything[at + j]]
         return cls(vocabulary, np.array(item_ids, np.int64), ids, weights, h[order], item[order], (at - starts[item])[order], seeds[order])
 
 
-#: A word is rare that at most RARE_LEAST test texts hold, or one in RARE_PART; it weighs RARE_WEIGHT times as much.
-RARE_LEAST, RARE_PART, RARE_WEIGHT = 3, 50, 2
+#: A word is rare that at most RARE_LEAST test texts hold, or one in RARE_PART; it weighs RARE_WEIGHT times as much, and ONLY_WEIGHT times if no other text holds it.
+RARE_LEAST, RARE_PART, RARE_WEIGHT, ONLY_WEIGHT = 3, 50, 2, 3
 #: Rare words must make at least this part of their usual share among the equal words.
 RARE_SHARE = 0.5
 #: An item with fewer rare words is found by its common phrases.
