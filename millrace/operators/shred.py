@@ -96,7 +96,13 @@ def _nodes(record_id: str, doc: int, root, shape: Shape) -> Iterator[tuple]:
             continue
         yield record_id, doc, node, parent, label, ordinal, "object", container, owner, map_key, None
         below = node if container else owner
-        todo.extend((v, node, k, i, None, below, None) for i, (k, v) in enumerate(value.items()))
+        for i, (k, v) in enumerate(value.items()):
+            # most children are scalars: they are stored, or left, at once
+            if isinstance(v, (dict, list)) or (isinstance(v, str) and k.lower() in shape.text_labels):
+                todo.append((v, node, k, i, None, below, None))
+            elif shape.scalars is None or k.lower() in shape.scalars:
+                yield record_id, doc, count, node, _clean(k), i, "scalar", None, below, None, _as_text(v)
+                count += 1
 
 
 def shred(df: DataFrame, record_id: str, text: str, shape: Shape) -> DataFrame:
