@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import with_previous
+
 # Kinds of events and the snapshot period.
 TELEMETRY = ("BlockMetricsEvent", "EdgeProgressEvent", "ChannelStatsEvent")
 STRUCTURAL = ("FlowStartedEvent", "FlowCompletedEvent", "FlowGraphDefinedEvent", "BlockStartedEvent", "BlockCompletedEvent")
@@ -20,11 +22,18 @@ def fold_latest(events: DataFrame, keys: list[str], event_id: str, latest: list[
 
 
 def edge_rates(samples: DataFrame, edge: list[str], ts_us: str, items: str) -> DataFrame:
-    """``samples`` with ``rate``, items per second since the edge's sample before; kept only where time passed and the rate is above zero."""
-    w = Window.partitionBy(*edge).orderBy(ts_us)
-    seconds = (F.col(ts_us) - F.lag(ts_us).over(w)) / F.lit(1e6)
-    rows = samples.withColumn("__s", seconds).withColumn("__d", F.col(items) - F.lag(items).over(w))
-    return rows.where("__s > 0").withColumn("rate", F.col("__d") / F.col("__s")).where("rate > 0").drop("__s", "__d")
+    """``samples`` with ``rate``, items per second since the edge's sample before; kept only where time passed and the rate is above zero.
+
+    The samples are sorted over all partitions, so an edge of any number of samples makes no large task.
+    """
+    rows = with_previous(samples, [*edge, ts_us, items], [*edge, ts_us])
+    prev = F.col("__prev")
+    same = F.lit(True)
+    for e in edge:
+        same = same & F.col(e).eqNullSafe(prev[e])
+    seconds = F.when(prev.isNotNull() & same, (F.col(ts_us) - prev[ts_us]) / F.lit(1e6))
+    rows = rows.withColumn("__s", seconds).where("__s > 0").withColumn("rate", (F.col(items) - prev[items]) / F.col("__s"))
+    return rows.where("rate > 0").select(*samples.columns, "rate")
 
 
 def snapshot_points(events: DataFrame, event_id: str, kind: str, kinds: tuple[str, ...] = SNAPSHOT_KINDS, every: int = SNAPSHOT_EVERY) -> DataFrame:

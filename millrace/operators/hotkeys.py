@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.durable import durable
+from millrace.operators.ordered import PART, laid_out
+
 BINS = 1024
 #: A key with more than one part in HOT_PARTS of the rows is hot, so there are at most HOT_PARTS hot keys; that bounds what is broadcast.
 HOT_PARTS = 200
@@ -87,11 +90,11 @@ def dominating_values(df: DataFrame, column: str, parts: int = 20) -> DataFrame:
     which settles hash collisions. Nulls and empty values are no candidates but count in the total; repeated rows
     count each. An empty table gives no rows.
     """
-    rows = df.select(F.col(column).cast("string").alias("key_value"))
-    hashed = rows.where("key_value is not null and key_value != ''").select(F.lit(0).alias("g"), F.shiftrightunsigned(F.xxhash64("key_value"), 1).alias("h"), "key_value")
-    total = rows.count()
+    rows = df.select(F.lit(0).alias("g"), F.col(column).cast("string").alias("key_value"))
+    rows = rows.withColumn("h", F.when(F.col("key_value") != "", F.shiftrightunsigned(F.xxhash64("key_value"), 1)))
+    stats = rows.agg(F.count(F.lit(1)).alias("total"), F.count("h").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).first()
+    hashed, total = rows.where("h is not null"), stats["total"]
     least = -(-total // parts)
-    stats = hashed.agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).first()
     hashes: list[int] = []
     if stats["n"] and stats["n"] >= least:
         ranks = {r: [r] for r in range(least, stats["n"] + 1, least)}
@@ -128,18 +131,31 @@ def key_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def _sorted_ranks(rows: DataFrame, probs: list[float]) -> DataFrame:
+    """(key_value, prob, __q, n_values) from a sort over all partitions: a key may span several, none is gathered."""
+    laid = laid_out(rows, ["key_value", "v"])
+    pieces = laid.groupBy(PART, "key_value").agg(F.min("__at").alias("first"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("key_value")  # as many rows as the key has partitions
+    pieces = pieces.withColumn("n_values", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy(PART)) - F.col("n"))
+    wanted = pieces.withColumn("prob", F.explode(F.array(*(F.lit(float(p)) for p in probs)))).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("prob") * F.col("n_values"))))
+    wanted = wanted.where("rank > before and rank <= before + n").select(PART, (F.col("first") + F.col("rank") - F.col("before") - 1).alias("__at"), "prob", "n_values")
+    return laid.join(wanted, [PART, "__at"]).select("key_value", "prob", F.col("v").alias("__q"), "n_values")
+
+
 def key_quantiles(df: DataFrame, key: str, value: str, probs: list[float], hot_least: int = HOT_LEAST, hot_parts: int = HOT_PARTS) -> DataFrame:
     """Exact quantiles per key: ``key_value``, ``prob``, ``quantile``, ``n_values``; the value of rank ceil(prob * n), at least 1.
 
     Keys of more rows than both ``hot_least`` and one part in ``hot_parts`` of the table go through rank selection
-    and are at most ``hot_parts``; the rows of each other key are few by that bound and are ranked in one task.
+    and are at most ``hot_parts``. The other keys' rows are gathered per key while each has at most ``hot_least``; in a
+    table so large that some have more, they are sorted over all partitions and the ranks read off there.
     Rows with a null key or value don't count, repeated rows count each, ties count each. An empty table gives no rows.
     """
     spark = df.sparkSession
     to_long, back, kind = _as_long(df, value)
     rows = df.select(F.col(key).cast("string").alias("key_value"), to_long.alias("v")).dropna()
     per_key = rows.groupBy("key_value").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    bound = max(hot_least, rows.count() // hot_parts)
+    per_key = durable(per_key)
+    bound = max(hot_least, (per_key.agg(F.sum("n")).first()[0] or 0) // hot_parts)
     hot = per_key.where(F.col("n") > bound).collect()  # at most hot_parts rows
     names = [r["key_value"] for r in hot]
     rank = lambda p, n: max(1, -int(-p * n // 1))
@@ -154,6 +170,9 @@ def key_quantiles(df: DataFrame, key: str, value: str, probs: list[float], hot_l
     of_hot = spark.createDataFrame([(k[0], p, v, n) for k, (p, n), v, _ in chosen], "key_value string, prob double, __q bigint, n_values bigint")
 
     cold = rows.where(~F.col("key_value").isin(names)) if names else rows
+    if bound > hot_least:
+        of_cold = _sorted_ranks(cold, probs)
+        return of_hot.unionByName(of_cold).select("key_value", "prob", back.alias("quantile"), "n_values")
     listed = cold.groupBy("key_value").agg(F.array_sort(F.collect_list("v")).alias("all"))  # at most `bound` values a key
     of_cold = listed.select("key_value", F.explode(F.array(*(F.lit(float(p)) for p in probs))).alias("prob"), F.size("all").cast("bigint").alias("n_values"), "all").select(
         "key_value", "prob", F.element_at("all", F.greatest(F.lit(1), F.ceil(F.col("prob") * F.col("n_values"))).cast("int")).alias("__q"), "n_values"

@@ -46,7 +46,7 @@ def _with_offsets(df: DataFrame, before: list[tuple[int, int]], name: str) -> Da
     return df.join(F.broadcast(small), PART)
 
 
-def _laid_out(df: DataFrame, order: list[str]) -> DataFrame:
+def laid_out(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` sorted over all partitions and kept, with the partition (``__part``) and the row's place in it (``__at``)."""
     # within a partition the id's low 33 bits count the rows in their sorted order
     rows = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
@@ -58,32 +58,46 @@ def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
 
     The order must tell all rows apart for the numbers to be the same each time. Nulls come first.
     """
-    rows = _laid_out(df, order)
+    rows = laid_out(df, order)
     before = offsets(part_summaries(rows, n=F.count(F.lit(1))), "n")
     return _with_offsets(rows, before, "__before").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__before", "__at", PART)
 
 
-def segmented(df: DataFrame, key: str, order: list[str], name: str = "epoch_seq") -> DataFrame:
-    """``df`` with the number, from 1, of its contiguous run of equal keys in the given order; null equals null.
+def with_previous(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """``df`` laid out in the given order with ``__prev``, a struct of the row before's ``columns``, null for the very first row.
 
-    Runs are numbered over all partitions: each partition learns the key before its first row and the runs before it.
+    The last row of each partition reaches the driver and is handed to the partition after it.
     """
-    rows = _laid_out(df, order)
-    edges = part_summaries(rows, first=F.min_by(F.struct(F.col(key).alias("k")), "__at"), last=F.max_by(F.struct(F.col(key).alias("k")), "__at"))
-    opens = [(r[PART], i == 0 or edges[i - 1]["last"]["k"] != r["first"]["k"]) for i, r in enumerate(edges)]
-    small = df.sparkSession.createDataFrame(opens, f"{PART} int, __opens boolean")
+    rows = laid_out(df, order)
+    kinds = [T.StructField(c, rows.schema[c].dataType) for c in columns]
+    now, before = None, []
+    for r in part_summaries(rows, last=F.max_by(F.struct(*columns), "__at")):
+        before.append((r[PART], now))
+        now = r["last"]
+    small = df.sparkSession.createDataFrame(before, T.StructType([T.StructField(PART, T.IntegerType()), T.StructField("__carry", T.StructType(kinds))]))
     w = Window.partitionBy(PART).orderBy("__at")  # as many groups as partitions, all of like size
-    rows = rows.join(F.broadcast(small), PART)
-    change = F.when(F.col("__at") == 0, F.col("__opens")).otherwise(~F.col(key).eqNullSafe(F.lag(key).over(w)))
-    rows = rows.withColumn("__change", change.cast("bigint"))
-    before = offsets(part_summaries(rows, n=F.sum("__change")), "n")
-    running = F.sum("__change").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return _with_offsets(rows, before, "__before").withColumn(name, F.col("__before") + running).drop("__before", "__at", "__opens", "__change", PART)
+    joined = rows.join(F.broadcast(small), PART)
+    return joined.withColumn("__prev", F.when(F.col("__at") == 0, F.col("__carry")).otherwise(F.lag(F.struct(*columns)).over(w))).drop("__carry")
+
+
+def count_up(rows: DataFrame, flag: Column, name: str) -> DataFrame:
+    """Laid-out rows with the number of rows up to each, itself included, for which ``flag`` is true."""
+    rows = rows.withColumn("__flag", F.coalesce(flag.cast("bigint"), F.lit(0)))
+    before = offsets(part_summaries(rows, n=F.sum("__flag")), "n")
+    running = F.sum("__flag").over(Window.partitionBy(PART).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    return _with_offsets(rows, before, "__before").withColumn(name, F.col("__before") + running).drop("__before", "__flag")
+
+
+def segmented(df: DataFrame, key: str, order: list[str], name: str = "epoch_seq") -> DataFrame:
+    """``df`` with the number, from 1, of its contiguous run of equal keys in the given order; null equals null. Runs are numbered over all partitions."""
+    rows = with_previous(df, [key], order)
+    change = F.col("__prev").isNull() | ~F.col(key).eqNullSafe(F.col("__prev")[key])
+    return count_up(rows, change, name).drop("__at", "__prev", PART)
 
 
 def last_known(df: DataFrame, value: str, order: list[str], name: str) -> DataFrame:
     """``df`` with the last non-null ``value`` at or before each row in the given order, carried over partition borders."""
-    rows = _laid_out(df, order)
+    rows = laid_out(df, order)
     kind = rows.schema[value].dataType
     now, before = None, []
     for r in part_summaries(rows, last=F.max_by(value, F.when(F.col(value).isNotNull(), F.col("__at")))):
@@ -100,7 +114,7 @@ def running_max(df: DataFrame, value: str, order: list[str], lane: str, name: st
 
     One summary row per partition and lane reaches the driver; lanes are few and known beforehand.
     """
-    rows = _laid_out(df, order)
+    rows = laid_out(df, order)
     best: dict = {}
     before = []
     summaries = rows.groupBy(PART, lane).agg(F.max(value).alias("m")).collect()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import count_up, with_previous
 from millrace.operators.topology import fan_in
 
 
@@ -39,11 +40,14 @@ def merge_routes(df: DataFrame, routes: dict[str, Callable[[DataFrame], DataFram
 
 def expiring_sessions(df: DataFrame, key: str, ts: str, expiry_us: int) -> DataFrame:
     """(key, session_no, n, first_us, last_us): a route lives while its key's items come at most ``expiry_us`` apart, and is made anew after."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("__at")
-    rows = df.select(key, at.alias("__at")).withColumn("__new", F.coalesce((F.col("__at") - F.lag("__at").over(w) > expiry_us).cast("int"), F.lit(1)))
-    rows = rows.withColumn("session_no", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "session_no").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first_us"), F.max("__at").alias("last_us"))
+    rows = df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"))
+    rows = with_previous(rows, [key, "__t"], [key, "__t"])
+    # a key's rows may lie in several partitions: a session is told by the row before, wherever that is
+    fresh = F.col("__prev").isNull() | ~F.col(key).eqNullSafe(F.col("__prev")[key]) | F.coalesce(F.col("__t") - F.col("__prev")["__t"] > expiry_us, F.lit(True))
+    sessions = count_up(rows, fresh, "__run").groupBy(key, "__run").agg(F.count(F.lit(1)).alias("n"), F.min("__t").alias("first_us"), F.max("__t").alias("last_us"))
+    # numbered within the key: one row per session is left, not one per item
+    w = Window.partitionBy(key).orderBy("__run")
+    return sessions.withColumn("session_no", F.row_number().over(w).cast("bigint")).select(key, "session_no", "n", "first_us", "last_us")
 
 
 def routed_epochs(df: DataFrame, route: str, epoch: str, routes: list[str]) -> DataFrame:

@@ -40,7 +40,10 @@ def test_quantiles_are_exact_for_hot_and_cold_keys(spark):
         if k is not None and v is not None:
             by[k].append(v)
     want = sorted(((k, p, sorted(vs)[max(1, math.ceil(p * len(vs))) - 1], len(vs)) for k, vs in by.items() for p in (0.0, 0.5, 0.99, 1.0)), key=repr)
-    assert rows(key_quantiles(df, "k", "v", [0.0, 0.5, 0.99, 1.0], hot_least=100, hot_parts=10)) == want
+    for least, parts in ((100, 10), (300, 1000), (10, 1_000_000), (10**9, 1)):
+        # sorted and hot; gathered and hot; all hot; all gathered
+        assert rows(key_quantiles(df, "k", "v", [0.0, 0.5, 0.99, 1.0], hot_least=least, hot_parts=parts)) == want
+    assert rows(key_quantiles(df, "k", "v", [0.0, 0.5, 0.99, 1.0], hot_least=1, hot_parts=1)) == want  # all sorted
     assert rows(key_quantiles(df.limit(0), "k", "v", [0.5])) == []
 
 
