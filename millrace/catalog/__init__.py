@@ -1,6 +1,7 @@
 """All core queries by name, and their SQL."""
 
-from millrace.catalog import epochs, events, flows, problems, rows, streams
+from millrace.catalog import epochs, events, flows, problems, rows, streams, surface
 
-QUERIES = {**problems.QUERIES, **rows.QUERIES, **flows.QUERIES, **epochs.QUERIES, **events.QUERIES, **streams.QUERIES}
-ORACLE = {**problems.ORACLE, **rows.ORACLE, **flows.ORACLE, **epochs.ORACLE, **events.ORACLE, **streams.ORACLE}
+_ALL = (problems, rows, flows, epochs, events, streams, surface)
+QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in _ALL for name, sql in module.ORACLE.items()}

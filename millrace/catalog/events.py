@@ -24,8 +24,9 @@ def event_fold_latest(spark, d):
 
 
 def snapshot_fold(spark, d):
-    """The same from the events up to id 1000."""
-    return ev.fold_latest(_log(spark, d), ["flow_run_id"], "id", ["event_type"], up_to=1000)
+    """The same from the events up to the last one that any snapshot holds."""
+    last = _snapshots(spark, d).agg(F.max("as_of_event_id")).first()[0]
+    return ev.fold_latest(_log(spark, d), ["flow_run_id"], "id", ["event_type"], up_to=last)
 
 
 def edge_rates(spark, d):
@@ -70,8 +71,8 @@ def event_delta(spark, d):
 
 
 def missed_events(spark, d):
-    """Events after an id, in order."""
-    return ev.missed_events(_log(spark, d), "id", 3000).select("id", "event_type")
+    """Events after the first, in order."""
+    return ev.missed_events(_log(spark, d), "id", 1).select("id", "event_type")
 
 
 def flow_list_page(spark, d):
@@ -94,7 +95,7 @@ _TELEMETRY = "event_type IN ('BlockMetricsEvent', 'EdgeProgressEvent', 'ChannelS
 _CHANNEL = "flow_run_id IS NOT NULL AND source_block IS NOT NULL AND target_block IS NOT NULL AND \"timestamp\" IS NOT NULL AND current_count IS NOT NULL"
 ORACLE = {
     "event_fold_latest": _LOG + " SELECT flow_run_id, arg_max(event_type, id) AS event_type, arg_max(us, id) AS us, min(id) AS first_id, max(id) AS last_id, count(*) AS n_events FROM l GROUP BY 1",
-    "snapshot_fold": _LOG + " SELECT flow_run_id, arg_max(event_type, id) AS event_type, min(id) AS first_id, max(id) AS last_id, count(*) AS n_events FROM l WHERE id <= 1000 GROUP BY 1",
+    "snapshot_fold": _LOG + " SELECT flow_run_id, arg_max(event_type, id) AS event_type, min(id) AS first_id, max(id) AS last_id, count(*) AS n_events FROM l WHERE id <= (SELECT max(as_of_event_id) FROM flow_snapshot) GROUP BY 1",
     "edge_rates": f"""WITH r AS (SELECT flow_run_id, source_block, target_block, epoch_us("timestamp") AS us, max(current_count) AS n FROM channel_stats WHERE {_CHANNEL} GROUP BY ALL),
 i AS (SELECT *, sum(n) OVER (PARTITION BY flow_run_id, source_block, target_block ORDER BY us ROWS UNBOUNDED PRECEDING) AS items FROM r),
 x AS (SELECT *, (us - lag(us) OVER w) / 1e6 AS dt, items - lag(items) OVER w AS dn FROM i WINDOW w AS (PARTITION BY flow_run_id, source_block, target_block ORDER BY us))
@@ -106,7 +107,7 @@ SELECT flow_run_id, source_block, target_block, min(us) AS first_id, max(us) AS
     "audit_split": _LOG + f" SELECT event_type, coalesce({_STRUCTURAL}, false) AS is_structural, count(*) AS n FROM l GROUP BY 1, 2",
     "state_query": _LOG + f" SELECT id, flow_run_id, CASE WHEN a IS NULL OR id > a THEN 'delta' ELSE 'audit' END AS part FROM l LEFT JOIN s USING (flow_run_id) WHERE a IS NULL OR id > a OR {_STRUCTURAL}",
     "event_delta": _LOG + " SELECT id, flow_run_id FROM l LEFT JOIN s USING (flow_run_id) WHERE a IS NULL OR id > a",
-    "missed_events": _LOG + " SELECT id, event_type FROM l WHERE id > 3000",
+    "missed_events": _LOG + " SELECT id, event_type FROM l WHERE id > 1",
     "flow_list_page": "SELECT flow_run_id, max(epoch_us(started_at)) AS us FROM flow_summary GROUP BY 1 ORDER BY us DESC NULLS LAST, flow_run_id LIMIT 200 OFFSET 200",
     "attempts": """WITH r AS (SELECT DISTINCT coalesce(correlation_id, flow_run_id) AS work_item, flow_run_id, attempt_number, status FROM flow_summary)
 SELECT work_item, count(DISTINCT flow_run_id) AS n_runs, max(attempt_number) AS last_attempt, count(*) FILTER (status = 'Failed') AS n_failed FROM r GROUP BY 1""",

@@ -54,7 +54,7 @@ def column_merge(spark, d):
     """H2: two branches of the orders merged by key; both have a column ``v``."""
     orders = table(spark, d, "orders")
     left = orders.select("o_orderkey", F.col("o_orderstatus").alias("v"), "o_custkey")
-    right = orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderpriority").alias("v"))
+    right = orders.where("o_orderstatus != 'O'").select("o_orderkey", F.col("o_orderpriority").alias("v"))
     return topology.column_merge(left, right, "o_orderkey")
 
 
@@ -78,7 +78,7 @@ def control_broadcast(spark, d):
 
 
 def set_operations(spark, d):
-    """E15, absent in the source material: customers with and without orders."""
+    """E15, an addition: customers with and without orders."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
     return topology.fan_in(c.intersect(o).withColumn("side", F.lit("both")), c.exceptAll(o.distinct()).withColumn("side", F.lit("customer only")))
@@ -137,11 +137,11 @@ def groupby_per_chunk(spark, d):
 
 def groupby_global(spark, d):
     """Means and totals per type over everything."""
-    return aggregates.group_rows(_by_type(spark, d), ["event_type"], {"mean": F.avg("value"), "total": _money("value"), "n": F.count(F.lit(1))})
+    return aggregates.group_rows(_by_type(spark, d), ["event_type"], {"mean": F.round(F.avg("value"), 6), "total": _money("value"), "n": F.count(F.lit(1))})
 
 
 def grouping_sets(spark, d):
-    """G9, absent in the source material: totals per status and priority, with subtotals."""
+    """G9, an addition: totals per status and priority, with subtotals."""
     return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -210,7 +210,7 @@ ORACLE = {
     "round_robin_per_user": "SELECT event_id, ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 3)::INT AS consumer FROM events",
     "fan_in_union": "SELECT c_name AS name, c_nationkey AS nation, 'customer' AS kind FROM customer UNION ALL SELECT s_name, s_nationkey, 'supplier' FROM supplier",
     "row_concat": "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_orderkey, o_totalprice, NULL FROM orders WHERE o_totalprice < 50000",
-    "column_merge": "SELECT a.o_orderkey, a.o_orderstatus AS v_left, a.o_custkey, b.o_orderpriority AS v_right FROM orders a JOIN orders b USING (o_orderkey) WHERE a.o_orderkey % 2 = 0",
+    "column_merge": "SELECT a.o_orderkey, a.o_orderstatus AS v_left, a.o_custkey, b.o_orderpriority AS v_right FROM orders a JOIN orders b USING (o_orderkey) WHERE b.o_orderstatus <> 'O'",
     "dedup_global": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS r FROM lineitem) WHERE r = 1""",
     "dedup_in_chunk": "SELECT event_id // 1000 AS chunk, user_id, min(event_id) AS event_id FROM events GROUP BY 1, 2",
     "control_broadcast": "WITH t AS (SELECT DISTINCT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS target), x AS (SELECT event_type AS target FROM events WHERE event_id % 100 <> 0 UNION ALL SELECT target FROM events, t WHERE event_id % 100 = 0) SELECT target, count(*) AS n FROM x GROUP BY target",
@@ -225,7 +225,7 @@ s AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PREC
     "routed_epoch_grid": """WITH e AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d %H') AS epoch FROM events), r AS (SELECT DISTINCT event_type FROM events)
 SELECT e.epoch, r.event_type, count(x.event_id) AS n FROM e CROSS JOIN r LEFT JOIN events x ON strftime(x.ts, '%Y-%m-%d %H') = e.epoch AND x.event_type = r.event_type GROUP BY 1, 2""",
     "groupby_per_chunk": "SELECT event_id // 1000 AS chunk, event_type, count(*) AS n, sum(value::DECIMAL(18,2))::DECIMAL(38,2) AS total FROM events GROUP BY 1, 2",
-    "groupby_global": "SELECT event_type, avg(value) AS mean, sum(value::DECIMAL(18,2))::DECIMAL(38,2) AS total, count(*) AS n FROM events GROUP BY 1",
+    "groupby_global": "SELECT event_type, round(avg(value), 6) AS mean, sum(value::DECIMAL(18,2))::DECIMAL(38,2) AS total, count(*) AS n FROM events GROUP BY 1",
     "grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "nest_orders": "SELECT l_orderkey, count(*) AS n, min(l_partkey) AS first_part FROM lineitem GROUP BY 1",
     "unnest_orders": "SELECT l_orderkey, l_partkey, count(*) AS n, sum(l_quantity::DECIMAL(18,2))::DECIMAL(38,2) AS quantity FROM lineitem GROUP BY 1, 2",

@@ -148,20 +148,21 @@ def token_bucket(spark, d):
 
 
 def incremental_read(spark, d):
-    """Versions after 10 up to 20."""
+    """Versions after 10, up to one that is beyond the latest."""
     rows = _events(spark, d).select("event_id", "event_type", F.expr("event_id div 100 + 1").alias("commit_version"))
-    return read_changes(rows, "commit_version", 10, 20)
+    return read_changes(rows, "commit_version", 10, 10**9)
 
 
 def anchored_read(spark, d):
-    """Events after an anchor in epochs of 64."""
-    rows = read_after(_events(spark, d).select("event_id"), "event_id", 500, 64)
+    """Events after the anchor 0 in epochs of 64."""
+    rows = read_after(_events(spark, d).select("event_id"), "event_id", 0, 64)
     return rows.groupBy("epoch_seq").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("anchor"))
 
 
 def describe_numeric(spark, d):
-    """G5."""
-    return rowops.describe(table(spark, d, "lineitem").select("l_quantity", "l_discount"), ["l_quantity", "l_discount"])
+    """Rounded, as sums of doubles depend on the order of the rows."""
+    made = rowops.describe(table(spark, d, "lineitem").select("l_quantity", "l_discount"), ["l_quantity", "l_discount"])
+    return made.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
 def envelope_map(spark, d):
@@ -239,11 +240,11 @@ SELECT chunk, n_rows, emit_no FROM g""",
     "rate_sliding_window": _limiter(900_000_000, 4),
     "token_bucket": f"""WITH a AS (SELECT event_id, user_id, epoch_us(ts) // {DAY_US} AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)
 SELECT x.event_id, x.user_id, max(y.a + greatest(0, ceil((x.i - y.i + 1 - 5) / 2.0)))::BIGINT AS release FROM a x JOIN a y ON x.user_id = y.user_id AND y.i <= x.i GROUP BY x.event_id, x.user_id""",
-    "incremental_read": "SELECT event_id, event_type, event_id // 100 + 1 AS commit_version, 'VersionDiffFallback' AS strategy FROM events WHERE event_id // 100 + 1 > 10 AND event_id // 100 + 1 <= 20",
-    "anchored_read": """WITH b AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 64 + 1 AS epoch_seq FROM events WHERE event_id > 500)
+    "incremental_read": "SELECT event_id, event_type, event_id // 100 + 1 AS commit_version, 'VersionDiffFallback' AS strategy FROM events WHERE event_id // 100 + 1 > 10",
+    "anchored_read": """WITH b AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 64 + 1 AS epoch_seq FROM events WHERE event_id > 0)
 SELECT epoch_seq, count(*) AS n, max(event_id) AS anchor FROM b GROUP BY epoch_seq""",
-    "describe_numeric": """SELECT 'l_quantity' AS column_name, count(l_quantity) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS sd, min(l_quantity) AS least, max(l_quantity) AS greatest FROM lineitem
-UNION ALL SELECT 'l_discount', count(l_discount), avg(l_discount), stddev_samp(l_discount), min(l_discount), max(l_discount) FROM lineitem""",
+    "describe_numeric": """SELECT 'l_quantity' AS column_name, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, min(l_quantity) AS least, max(l_quantity) AS greatest FROM lineitem
+UNION ALL SELECT 'l_discount', count(l_discount), round(avg(l_discount), 6), round(stddev_samp(l_discount), 6), min(l_discount), max(l_discount) FROM lineitem""",
     "envelope_map": """SELECT CASE WHEN event_id % 10 = 0 THEN 'barrier' ELSE 'data' END AS kind, count(*) AS n,
   sum(CASE WHEN event_id % 10 <> 0 THEN (value::DECIMAL(18,2) * 2)::DECIMAL(18,2) END)::DECIMAL(38,2) AS total, max(CASE WHEN event_id % 10 = 0 THEN event_id END) AS last_signal FROM events GROUP BY 1""",
     "trigger_parameters": "SELECT coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, 7 AS missing, count(*) AS n FROM events GROUP BY ALL",

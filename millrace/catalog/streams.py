@@ -44,10 +44,11 @@ def stream_running_counts(spark, d):
 
 
 def stream_restart(spark, d):
-    """M-4, M-5, M-6: ids from a stream with an offset; the second run goes on after the first one's checkpoint and finds nothing new."""
+    """M-4, M-5, M-6: as many ids as there are events from a stream with an offset; each run goes on after the checkpoint of the one before."""
     out, checkpoint = _folders(spark, "restart")
-    spark.dataSource.register(runs.counting_source("millrace_ids", 250, 1000))
-    for _ in range(2):
+    n = table(spark, d, "events").count()
+    for share in (2, 1, 1):  # half of them are there at first, then all, then nothing new
+        spark.dataSource.register(runs.counting_source("millrace_ids", lambda upto=-(-n // share): upto, 100_000))
         runs.run_epochs(spark.readStream.format("millrace_ids").load(), out, checkpoint)
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_distinct"), F.max("id").alias("last_id"))
 
@@ -56,9 +57,9 @@ def version_log(spark, d):
     """Two appends and an empty one; what came after the first version."""
     log = VersionLog(spark, runs.shared_folder(spark, "version-log"))
     rows = table(spark, d, "events").select("event_id", "event_type")
-    log.append(rows.where("event_id <= 500"))
-    log.append(rows.where("event_id > 500 and event_id <= 800"))
-    log.append(rows.where("event_id < 0"))
+    log.append(rows.where("event_type = 'click'"))
+    log.append(rows.where("event_type != 'click'"))
+    log.append(rows.limit(0))
     return log.changes(1, 9).select("event_id", "event_type", F.col("commit_version").cast("bigint").alias("commit_version"), "strategy")
 
 
@@ -84,8 +85,8 @@ ORACLE = {
     "stream_epoch_totals": "SELECT event_type, count(*)::BIGINT AS n, sum(value::DECIMAL(18,2))::DECIMAL(38,2) AS total FROM events GROUP BY 1",
     "stream_window_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_running_counts": "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
-    "stream_restart": "SELECT 250::BIGINT AS n, 250::BIGINT AS n_distinct, 250::BIGINT AS last_id",
-    "version_log": "SELECT event_id, event_type, 2::BIGINT AS commit_version, 'VersionDiffFallback' AS strategy FROM events WHERE event_id > 500 AND event_id <= 800",
+    "stream_restart": "SELECT count(*) AS n, count(*) AS n_distinct, count(*) AS last_id FROM events",
+    "version_log": "SELECT event_id, event_type, 2::BIGINT AS commit_version, 'VersionDiffFallback' AS strategy FROM events WHERE event_type <> 'click'",
     "parquet_round_trip": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "producers": "SELECT 300::BIGINT AS n, 0::BIGINT AS least, 299::BIGINT AS greatest, 44850::BIGINT AS total",
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.durable import ensure_checkpoint_dir
@@ -59,22 +59,27 @@ def running_counts(stream: DataFrame, key: str, kind: str = "bigint") -> DataFra
     return stream.select(key).groupBy(key).applyInPandasWithState(count, f"{key} {kind}, n bigint", "n bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def counting_source(name: str, upto: int, per_batch: int) -> type[DataSource]:
-    """A stream of the ids 1..upto whose offset is the last id read: a restart goes on after it."""
+class _Range(InputPartition):
+    def __init__(self, first: int, last: int):
+        super().__init__(first)
+        self.first, self.last = first, last
 
-    class Reader(SimpleDataSourceStreamReader):
+
+def counting_source(name: str, upto: Callable[[], int], per_part: int) -> type[DataSource]:
+    """A stream of the ids 1..upto() whose offset is the last id read: a restart goes on after it. Ids are read in the tasks, ``per_part`` in each."""
+
+    class Reader(DataSourceStreamReader):
         def initialOffset(self) -> dict:
             return {"id": 0}
 
-        def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-            end = min(upto, start["id"] + per_batch)
-            return iter([(i,) for i in range(start["id"] + 1, end + 1)]), {"id": end}
+        def latestOffset(self) -> dict:
+            return {"id": upto()}
 
-        def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-            return iter([(i,) for i in range(start["id"] + 1, end["id"] + 1)])
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            return [_Range(i, min(end["id"], i + per_part - 1)) for i in range(start["id"] + 1, end["id"] + 1, per_part)]
 
-        def commit(self, end: dict) -> None:
-            pass
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            return ((i,) for i in range(partition.first, partition.last + 1))
 
     class Source(DataSource):
         @classmethod
@@ -84,7 +89,7 @@ def counting_source(name: str, upto: int, per_batch: int) -> type[DataSource]:
         def schema(self) -> str:
             return "id bigint"
 
-        def simpleStreamReader(self, schema):
+        def streamReader(self, schema):
             return Reader()
 
     return Source

@@ -231,3 +231,27 @@ def test_files_and_version_log(spark, tmp_path):
     assert rows(readers.from_rows(spark, iter([(1,)]), "i int")) == [(1,)]
     assert sinks.to_arrow(df).num_rows == 5 and len([*sinks.rows_of(df)]) == 5
     sinks.for_each_part(df, lambda it: sum(1 for _ in it))
+
+
+def test_user_functions(spark):
+    from millrace.operators import functions
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5), (None, 7)], "k string, v int")
+    assert rows(functions.map_batches(df, lambda p: p[p["v"] > 1][["v"]], "v int")) == [(2,), (5,), (7,)]
+    assert rows(functions.map_epochs(df, "k", lambda p: p.head(1), "v int").select("k", "v").where("k = 'b' or k is null")) == sorted([("b", 5), (None, 7)], key=repr)
+    assert rows(df.select(functions.scalar(lambda s: s + 1, "int")("v"))) == [(2,), (3,), (6,), (8,)]
+    with pytest.raises(ValueError, match="2 rows"):
+        functions.grouped(df, ["k"], lambda p: p, "k string, v int", most=1)
+
+
+def test_checkpoint_store(spark, tmp_path):
+    from millrace.sources.checkpoints import CheckpointStore
+
+    store = CheckpointStore(spark, str(tmp_path / "store"))
+    assert store.ids() == [] and store.latest() is None
+    store.save("a", {"s": 1}, 5, {"b": "{}"})
+    store.save("b", {}, 5, {})
+    assert store.ids() == ["a", "b"] and store.latest()["checkpoint_id"] == "b" and store.get("a")["vector"] == {"s": 1}
+    assert store.delete("b") and store.get("b") is None
+    with pytest.raises(ValueError):
+        store.save("x/y", {}, 0, {})

@@ -51,8 +51,41 @@ def test_state_lives_over_restarts(spark, tmp_path):
 
 
 def test_ids_by_offset(spark, tmp_path):
-    spark.dataSource.register(runs.counting_source("test_ids", 25, 10))
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    for _ in range(4):
+    for there in (7, 25, 25):
+        spark.dataSource.register(runs.counting_source("test_ids", lambda there=there: there, 10))
         runs.run_epochs(spark.readStream.format("test_ids").load(), out, ck)
     assert rows(spark.read.parquet(out).select("id")) == sorted(((i,) for i in range(1, 26)), key=repr)
+
+
+def test_hooks_errors_and_progress(spark, tmp_path):
+    from millrace.streaming.epochs import EpochConfig, Progress, pool, run_configured
+
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    files(spark, src, 2)
+    with pytest.raises(ValueError):
+        EpochConfig().check()
+    log = []
+    config = EpochConfig(checkpoint=lambda n: n % 2 == 0)
+    config.hooks.on_begin = lambda e: log.append(("begin", e))
+    config.hooks.on_commit = lambda e: log.append(("commit", e))
+    config.hooks.on_error = lambda e, x: log.append(("error", e))
+    config.add_processor("all", lambda df: df)
+    for bad in ("", "all"):
+        with pytest.raises(ValueError):
+            config.add_processor(bad, lambda df: df)
+    progress = Progress()
+    spark.streams.addListener(progress)
+    try:
+        with pool(spark, "slow"):
+            done = run_configured(runs.read_files(spark, src, "id bigint, k bigint", 1), out, ck, config)
+    finally:
+        spark.streams.removeListener(progress)
+    assert done == {"committed": [0, 1], "checkpointed": [1]}
+    assert log == [("begin", 0), ("commit", 0), ("begin", 1), ("commit", 1)]
+    failing = EpochConfig()
+    failing.hooks.on_error = lambda e, x: log.append(("error", e))
+    failing.add_processor("bad", lambda df: df.select(F.raise_error(F.lit("broken"))))
+    with pytest.raises(Exception, match="broken"):
+        run_configured(runs.read_files(spark, src, "id bigint, k bigint", 1), out, str(tmp_path / "ck2"), failing)
+    assert log[-1] == ("error", 0)
