@@ -51,8 +51,7 @@ def map_epochs(df: DataFrame, epoch: str, function: Callable[[pd.DataFrame], pd.
         for pdf in batches:
             for tag, part in pdf.groupby(epoch, sort=False, dropna=False):
                 out = function(part.drop(columns=epoch))
-                out[epoch] = tag
-                yield out
+                yield out.assign(**{epoch: None if pd.isna(tag) else tag})
 
     kind = df.schema[epoch].dataType.simpleString()
     return df.mapInPandas(run, f"{schema}, `{epoch}` {kind}")
