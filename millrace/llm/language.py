@@ -130,6 +130,11 @@ class WordScores(dict):
         self[word] = n
         return n
 
+    def row(self, word: str) -> np.ndarray:
+        """A word's scores. ``table[self[word]]`` would look in the old table where a new word makes it larger."""
+        n = self[word]
+        return self.table[n]
+
     def trim(self) -> None:
         """Forgets all words once there are many, so that a task's memory is bounded; between batches only."""
         if len(self) > self.LIMIT:
@@ -346,7 +351,7 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
                 scores = np.concatenate(raw) / -255 * DEEPEST
                 for start, at, weak in zip(np.cumsum(counts) - counts, part["__weak_at"], part["__weak"]):
                     for k, cue in zip(at, weak):
-                        scores[start + k] = _relative(sum((known[w] if w in known else words.table[words[w]] for w in cue.split()), np.zeros(states)))
+                        scores[start + k] = _relative(sum((known[w] if w in known else words.row(w) for w in cue.split()), np.zeros(states)))
                 prior = np.array(part["__prior"].tolist())
                 prior -= np.log(np.exp(prior).sum(axis=1, keepdims=True))
                 path = best_paths(scores, counts, prior)

@@ -112,3 +112,16 @@ def test_encodings_are_repaired(wrong, right):
 def test_russian_read_as_latin():
     text = "Старый садовник нашёл три старые карты возле колодца."
     assert repair_encoding(text.encode("cp1251").decode("latin-1")) == text
+
+
+def test_more_words_in_weak_cues_of_one_task_than_the_first_table_holds(spark, samples):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = ["q" + letters[i % 26] + letters[i // 26 % 26] + letters[i // 676] + "x" for i in range(5000)]
+    en = [r["text"] for r in samples.where("lang = 'en'").collect()]
+    text = srt(en[:5] + [" ".join(made[i : i + 2]) for i in range(0, len(made), 2)] + en[:5])
+    df = spark.createDataFrame([(1, text, "en", "a.example"), (2, srt(en[:5]), "en", "a.example")], "doc_id bigint, text string, lang string, source string").coalesce(1)
+    got = L.identify(df, samples).collect()
+    assert {(r["doc_id"], r["lang"]) for r in got} >= {(1, "en"), (2, "en")}
+    model = L.TextModel([(r["lang"], r["text"]) for r in samples.collect()])
+    scores = L.WordScores(model)
+    assert all((scores.row(w) == model.score(w)).all() for w in made) and len(scores.table) > 4096
