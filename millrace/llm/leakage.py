@@ -174,7 +174,7 @@ class Index:
 
 #: A word is rare that at most RARE_LEAST test texts hold, or one in RARE_PART; it weighs RARE_WEIGHT times as much, and ONLY_WEIGHT times if no other text holds it.
 RARE_LEAST, RARE_PART, RARE_WEIGHT, ONLY_WEIGHT = 3, 50, 2, 3
-#: Rare words must make at least this part of their usual share among the equal words.
+#: Rare words must make at least this part of their usual share among the equal words; in a stretch with half the damage, of their share in that stretch.
 RARE_SHARE = 0.5
 #: An item with fewer rare words is found by its common phrases.
 LEAST_RARE = 4
@@ -200,10 +200,17 @@ def _all_runs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 # What the alignment gives for an equal word and takes for a different, a skipped and an inserted one.
 MATCH, DIFFERENT, SKIPPED, INSERTED = 4, 5, 4, 3
+# What an even alignment takes for the three, whatever the word: one equal word then reaches over two damaged.
+EVEN = 2, 3, 3
 
 
 def align(items: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each pair of rows the best local alignment: equal words, rare ones among them, and item words from the first aligned to the last.
+    """Of each pair of rows the best local alignment: equal words, rare ones among them, and item words from the first aligned to the last."""
+    return align_at(items, weights, docs)[:3]
+
+
+def align_at(items: np.ndarray, weights: np.ndarray, docs: np.ndarray, even: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``align``, and the place of the last aligned word in the item. ``even``: all words weigh the same, and damage near an end doesn't cut it off.
 
     Rows are padded: items with -1, documents with -2. All pairs are worked through together, row by row. A cell
     holds score, equal words, rare words and length in one number, so that a maximum carries all four.
@@ -211,23 +218,27 @@ def align(items: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> tuple[np.
     pairs, n = docs.shape
     m = items.shape[1]
     unit, equal_unit, rare_unit = 1 << 36, 1 << 24, 1 << 12
-    insert = INSERTED * unit
+    different, skipped, inserted = EVEN if even else (DIFFERENT, SKIPPED, INSERTED)
+    insert = inserted * unit
     ramp = np.arange(n, dtype=np.int64) * insert
     above = np.zeros((pairs, n + 1), np.int64)
-    best = np.zeros(pairs, np.int64)
+    best, end = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
     for i in range(m):
-        word, weight = items[:, i : i + 1], weights[:, i : i + 1]
+        word, rare = items[:, i : i + 1], weights[:, i : i + 1] > 1
+        weight = np.ones_like(word) if even else weights[:, i : i + 1]
         equal = docs == word
         # an equal word adds score, one equal word and one to the length; a skipped or different one adds to the length
-        gain = MATCH * weight * unit + equal_unit + np.where(weight > 1, rare_unit, 0) + 1
-        diagonal = above[:, :-1] + np.where(equal, gain, 1 - DIFFERENT * weight * unit)
-        here = np.maximum(diagonal, above[:, 1:] + 1 - SKIPPED * weight * unit)
+        gain = MATCH * weight * unit + equal_unit + np.where(rare, rare_unit, 0) + 1
+        diagonal = above[:, :-1] + np.where(equal, gain, 1 - different * weight * unit)
+        here = np.maximum(diagonal, above[:, 1:] + 1 - skipped * weight * unit)
         here = np.where(here >= unit, here, 0)
         here = np.maximum.accumulate(here + ramp, axis=1) - ramp
         here = np.where((here >= unit) & (word >= 0), here, 0)
         above = np.concatenate([np.zeros((pairs, 1), np.int64), here], axis=1)
-        best = np.maximum(best, here.max(axis=1))
-    return (best % unit) // equal_unit, (best % equal_unit) // rare_unit, best % rare_unit
+        top = here.max(axis=1)
+        end[top > best] = i
+        best = np.maximum(best, top)
+    return (best % unit) // equal_unit, (best % equal_unit) // rare_unit, best % rare_unit, end
 
 
 def _candidates(doc: np.ndarray, place: np.ndarray, hit_item: np.ndarray, hit_place: np.ndarray, rare: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -291,7 +302,7 @@ def search(index: Index, doc_ids: np.ndarray, texts: list[str | None], share: fl
     place = at[hit]
     doc = np.searchsorted(starts, place, "right") - 1
     doc, item, low, high = _candidates(doc, place, index.item[entry], index.place[entry], index.rare[entry], rares < LEAST_RARE)
-    enough = _rare_words_near(index, ids, item, low, high) >= RARE_SHARE * density * share * rares[item]
+    enough = _rare_words_near(index, ids, item, low, high) >= RARE_SHARE * density * _fewest_rare(index, share)[item]
     doc, item, low, high = doc[enough], item[enough], low[enough], high[enough]
     if not len(doc):
         return nothing
@@ -314,12 +325,22 @@ def search(index: Index, doc_ids: np.ndarray, texts: list[str | None], share: fl
         for k in np.unique(item[lot]):
             rows[item[lot] == k, : sizes[k]] = index.words[k]
             weights[item[lot] == k, : sizes[k]] = index.weights[k]
-        equal, rare, stretch = align(rows, weights, windows)
-        # common phrases align without the words that tell this item from others
-        telling = rare * sizes[item[lot]] >= RARE_SHARE * rares[item[lot]] * equal
-        fine = (stretch >= share * sizes[item[lot]]) & (equal >= density * stretch) & telling
-        sure = lot[fine]
-        out.append((doc[sure], item[sure], equal[fine], stretch[fine], sizes[item[sure]]))
+        least = share * sizes[item[lot]]
+        before = np.concatenate([np.zeros((len(lot), 1), np.int64), np.cumsum(weights > 1, axis=1)], axis=1)
+        near = np.arange(len(lot))
+        for even in (False, True):
+            equal, rare, stretch, last = align_at(rows[near], weights[near], windows[near], even)
+            # common phrases align without the words that tell this item from others; a stretch that has fewer of them must be whole
+            held = before[near, last + 1] - before[near, last + 1 - stretch]
+            usual = rare * sizes[item[lot[near]]] >= RARE_SHARE * rares[item[lot[near]]] * equal
+            whole = (rare * stretch >= RARE_SHARE * held * equal) & (equal >= (1 + density) / 2 * stretch)
+            fine = (stretch >= least[near]) & (equal >= density * stretch) & (usual | whole)
+            sure = lot[near[fine]]
+            out.append((doc[sure], item[sure], equal[fine], stretch[fine], sizes[item[sure]]))
+            # damage to rare words near an end may have cut it off: those are aligned once more, evenly
+            near = near[~fine & (stretch >= least[near] / 2)]
+            if not len(near):
+                break
     doc, item, equal, stretch, size = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((-stretch, item, doc))
     doc, item, equal, stretch, size = (x[order] for x in (doc, item, equal, stretch, size))
@@ -328,6 +349,17 @@ def search(index: Index, doc_ids: np.ndarray, texts: list[str | None], share: fl
     return doc_ids[doc[first]], index.item_ids[item[first]], equal[first], stretch[first], size[first]
 
 
+def _fewest_rare(index: Index, share: float) -> np.ndarray:
+    """Of each item the rare words in that stretch of ``share`` of its words which has the fewest."""
+    fewest = np.zeros(len(index.words), np.int64)
+    for k, w in enumerate(index.weights):
+        n = int(np.ceil(share * len(w)))
+        if n:
+            sums = np.concatenate([[0], np.cumsum(w > 1)])
+            fewest[k] = (sums[n:] - sums[:-n]).min()
+    return fewest
+
+
 def _rare_words_near(index: Index, ids: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """How many of the item's rare words stand in the document on a diagonal from ``low`` to ``high`` or near it: no alignment there can have more."""
     spots = [np.flatnonzero(w > 1) for w in index.weights]

@@ -89,3 +89,22 @@ def test_alignment_against_a_plain_one():
         equal, rare, stretch = L.align(np.array([item]), np.array([weight]), np.array([doc]))
         assert rare[0] <= equal[0] <= stretch[0] <= len(item)
         assert (equal[0] > 0) == (top > 0)
+
+
+def test_plain_and_damaged_passages_little_longer_than_two_fifths():
+    r = random.Random(7)
+    items = [text(r, 50).split() for _ in range(60)]
+    # an item's second half has few names: a passage there has fewer rare words than the item on average
+    items = [[*map(r.choice, [NAMES] * 25)] + [r.choice(NAMES if k % 8 == 4 else COMMON) for k in range(25)] for _ in items]
+    index = L.Index.of([*range(60)], [" ".join(w) for w in items])
+    docs, want = [], set()
+    for i, w in enumerate(items):
+        for kind in range(4):
+            part = w[28:] if kind == 0 else w[4:26] if kind == 1 else w[:20] if kind == 2 else w[5:23]
+            if kind == 1:  # the words next to both ends are replaced, a rare one each
+                part = [part[0], "qqqqqqq", *part[2:-2], "zzzzzzz", part[-1]]
+            if kind < 3:
+                want.add((len(docs), i))
+            docs.append(" ".join(["xyzzyx"] * 30 + part + ["yzxxzy"] * 30))
+    doc, item, *_ = L.search(index, np.arange(len(docs)), docs)
+    assert set(zip(doc.tolist(), item.tolist())) == want
