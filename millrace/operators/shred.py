@@ -8,8 +8,11 @@ them into one flat table; ``with_owner`` links such a table to the one above it.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
+from json.scanner import NUMBER_RE
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,27 +32,101 @@ class Shape:
     otherwise it is a map from keys to objects.
     text_labels: labels whose string values are JSON text in their own right.
     scalars: the scalar labels to keep (lower case), None for all; objects and arrays are always kept.
+    max_wraps: JSON strings around a document that are unwrapped, None for all.
     """
 
     containers: dict[str, tuple[str, ...]]
     lists: frozenset[str] = frozenset()
     text_labels: frozenset[str] = frozenset()
     scalars: frozenset[str] | None = None
-    max_wraps: int = field(default=8)
+    max_wraps: int | None = field(default=None)
 
 
 def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
-def parse(text: str | None, wraps: int = 8):
-    """The value of a JSON text, without the strings it may be wrapped in; None if it isn't valid JSON."""
+_SPACE = re.compile(r"[ \t\n\r]*")
+_LITERALS = {"true": True, "false": False, "null": None}
+
+
+def _load(text: str):
+    """The value of a JSON text of any depth."""
+    try:
+        return json.loads(text, parse_constant=_refuse)
+    except RecursionError:
+        return _load_deep(text)
+
+
+def _load_deep(text: str):
+    """The same without recursion, for documents nested deeper than the json module goes."""
+
+    def past_space(i: int) -> int:
+        return _SPACE.match(text, i).end()
+
+    def key(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError(i)
+        name, i = scanstring(text, i + 1, True)
+        i = past_space(i)
+        if text[i : i + 1] != ":":
+            raise ValueError(i)
+        return name, past_space(i + 1)
+
+    open_: list[tuple[dict | list, str | None]] = []  # what isn't closed yet, and the key in it whose value is next
+    at = past_space(0)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            value, at = ({} if c == "{" else []), past_space(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                name = None
+                if c == "{":
+                    name, at = key(at)
+                open_.append((value, name))
+                continue
+            at += 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif number := NUMBER_RE.match(text, at):
+            whole, part, power = number.groups()
+            value, at = (float(number.group()) if part or power else int(whole)), number.end()
+        else:
+            word = next((w for w in _LITERALS if text.startswith(w, at)), "")
+            if not word:
+                raise ValueError(at)
+            value, at = _LITERALS[word], at + len(word)
+        while True:  # put the value where it belongs, and close what ends with it
+            at = past_space(at)
+            if not open_:
+                if at != len(text):
+                    raise ValueError(at)
+                return value
+            holder, name = open_.pop()
+            if isinstance(holder, dict):
+                holder[name] = value
+            else:
+                holder.append(value)
+            c, at = text[at : at + 1], at + 1
+            if c == ",":
+                at = past_space(at)
+                if isinstance(holder, dict):
+                    name, at = key(at)
+                open_.append((holder, name))
+                break
+            if c != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(at)
+            value = holder
+
+
+def parse(text: str | None, wraps: int | None = None):
+    """The value of a JSON text of any depth, without the strings it may be wrapped in (all, or ``wraps`` of them); None if it isn't valid JSON."""
     try:
-        value = json.loads(text, parse_constant=_refuse)
-        while isinstance(value, str) and wraps:
-            value, wraps = json.loads(value, parse_constant=_refuse), wraps - 1
+        value = _load(text)
+        while isinstance(value, str) and wraps != 0:
+            value, wraps = _load(value), None if wraps is None else wraps - 1
         return value
-    except (ValueError, TypeError, RecursionError):
+    except (ValueError, TypeError):
         return None
 
 
@@ -110,7 +187,7 @@ def shred(df: DataFrame, record_id: str, text: str, shape: Shape) -> DataFrame:
 
     ``doc`` tells documents of one record apart; equal documents of one record get equal rows, so repeated
     deliveries fold together in ``entity_table``. A null record id, a null or invalid document gives no rows;
-    a JSON text inside a JSON string counts as its content. Other columns of ``df`` are ignored.
+    a JSON text inside a JSON string counts as its content. Documents may be nested to any depth. Other columns of ``df`` are ignored.
     """
     rows = df.select(F.col(record_id).cast("string").alias("record_id"), F.col(text).alias("text")).where("record_id is not null and text is not null")
     rows = rows.select("record_id", F.xxhash64("record_id", "text").alias("doc"), "text")

@@ -1,8 +1,9 @@
 import json
 
+import pytest
 from conftest import rows
 
-from millrace.operators.shred import Shape, entity_table, parse, shred, with_owner
+from millrace.operators.shred import Shape, _load_deep, entity_table, parse, shred, with_owner
 
 SHAPE = Shape({"batches": ("batchid",), "journals": ("journalid",), "blocks": ("blockname",)}, frozenset({"batches", "journals"}), frozenset({"params"}))
 FIELDS = {"batch": ("batchId",), "journal": ("journalId",), "block": ("blockName",), "note": ("note",)}
@@ -43,3 +44,20 @@ def test_deep_but_valid(spark):
 def test_parse():
     assert parse('"{\\"a\\": 1}"') == {"a": 1}
     assert parse("nonsense") is None and parse(None) is None
+
+
+def test_deeper_than_the_json_module_goes_and_wrapped_often(spark):
+    deep = '{"a":[' * 50_000 + '{"blocks": [{"blockName": "deep"}]}' + "]}" * 50_000
+    wrapped = '{"blocks": [{"blockName": "w"}]}'
+    for _ in range(12):
+        wrapped = json.dumps(wrapped)
+    got = entities(spark, [("d", deep), ("w", wrapped), ("cut", deep[:-1]), ("more", deep + "]")]).select("record_id", "block")
+    assert rows(got) == [("d", "deep"), ("w", "w")]
+
+
+def test_the_parser_for_deep_documents_reads_what_the_json_module_reads():
+    good = ['{"a": [1, -2.5e3, true, false, null, "x\\u00e9\\n", {}, [], {"b": {"c": []}}], "a": 2}', " [ ] ", '"t"', "3", '{"k" : [ { } , 1 ] }', "-0", "1E2"]
+    assert [repr(_load_deep(t)) for t in good] == [repr(json.loads(t)) for t in good]
+    for t in ["", "{", "[1,]", '{"a":1,}', '{"a" 1}', "{1:2}", "[1 2]", "nul", "01", "NaN", "-Infinity", "[1}", '{"a":1]', '"x', "1 2", '{"a":}', "\ufeff1", "[,]"]:
+        with pytest.raises(ValueError):
+            _load_deep(t)
