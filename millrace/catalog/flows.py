@@ -88,9 +88,16 @@ def _by_type(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
 
 
+#: Static routes are named in the plan, so their number is bounded.
+MOST_ROUTES = 10_000
+
+
 def _routes(spark, d):
-    """The event types at hand: a list of a known few."""
-    return sorted(r[0] for r in _by_type(spark, d).select("event_type").distinct().limit(100).collect())
+    """The event types at hand: a list of at most MOST_ROUTES; more fail."""
+    found = [r[0] for r in _by_type(spark, d).select("event_type").where("event_type is not null").distinct().limit(MOST_ROUTES + 1).collect()]
+    if len(found) > MOST_ROUTES:
+        raise ValueError(f"more than {MOST_ROUTES} static routes")
+    return sorted(found)
 
 
 def route_static(spark, d):
@@ -126,7 +133,7 @@ def route_expiring_sessions(spark, d):
 def routed_epoch_grid(spark, d):
     """every type and day, also those without events."""
     rows = _by_type(spark, d).select("event_type", F.date_format("ts", "yyyy-MM-dd HH").alias("epoch"))
-    return routing.routed_epochs(rows, "event_type", "epoch", _routes(spark, d))
+    return routing.routed_epochs(rows, "event_type", "epoch", rows.select("event_type"))
 
 
 def groupby_per_chunk(spark, d):

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.subtitles import cues, repair_encoding
@@ -269,13 +269,18 @@ def _learn(read: DataFrame, states: int) -> dict[str, np.ndarray]:
 def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
     """One row per segment: doc_id, seg_no, lang, confidence, n_cues, declared (code or null), label_fits, n_segments.
 
-    ``documents``: doc_id, text, lang, source; ``samples``: lang (code), text, of which at most MAX_SAMPLE rows are
-    read. A segment is a stretch of at least LEAST_CUES spoken cues in one language; sounds, adverts and shorter
+    ``documents``: doc_id, text, lang, source; ``samples``: lang (code), text, of which at most MAX_SAMPLE rows,
+    spread evenly over the languages, are read. A segment is a stretch of at least LEAST_CUES spoken cues in one language; sounds, adverts and shorter
     stretches make no segment and end none. ``label_fits``: the label names the language of some segment.
     A document with a null id or text, an empty one, or one without a segment gives no row. Null labels and sources
     give no evidence beyond the corpus. Exact repeated rows give repeated segments. Other columns are ignored.
     """
-    fitted = samples.where("lang is not null and text is not null").select("lang", "text").orderBy("lang", "text").limit(MAX_SAMPLE).collect()
+    labelled = samples.where("lang is not null and text is not null").select("lang", "text")
+    fitted = labelled.limit(MAX_SAMPLE + 1).collect()
+    if len(fitted) > MAX_SAMPLE:
+        # as many of each language as there is room for, so that none is left out
+        ranked = labelled.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy("text"))).where(F.col("__n") <= MAX_SAMPLE)
+        fitted = ranked.orderBy("__n", "lang").limit(MAX_SAMPLE).collect()
     spark = documents.sparkSession
     model = TextModel([(r["lang"], r["text"]) for r in fitted])
     names, states = model.languages, len(model.languages)

@@ -50,8 +50,13 @@ def expiring_sessions(df: DataFrame, key: str, ts: str, expiry_us: int) -> DataF
     return sessions.withColumn("session_no", F.row_number().over(w).cast("bigint")).select(key, "session_no", "n", "first_us", "last_us")
 
 
-def routed_epochs(df: DataFrame, route: str, epoch: str, routes: list[str]) -> DataFrame:
-    """(epoch, route, n): every route sees every epoch, also one without rows for it."""
+def routed_epochs(df: DataFrame, route: str, epoch: str, routes: list[str] | DataFrame) -> DataFrame:
+    """(epoch, route, n): every route sees every epoch, also one without rows for it. ``routes``: a list, or a frame with the column ``route`` of any number of rows."""
     counts = df.groupBy(epoch, route).agg(F.count(F.lit(1)).alias("n"))
-    grid = df.select(epoch).distinct().withColumn(route, F.explode(F.array(*(F.lit(r) for r in routes))))
+    epochs = df.select(epoch).distinct()
+    if isinstance(routes, DataFrame):
+        grid = epochs.crossJoin(routes.select(route).distinct())
+        met = F.col(f"g.{epoch}").eqNullSafe(F.col(f"c.{epoch}")) & F.col(f"g.{route}").eqNullSafe(F.col(f"c.{route}"))
+        return grid.alias("g").join(counts.alias("c"), met, "left").select(f"g.{epoch}", f"g.{route}", F.coalesce("c.n", F.lit(0)).alias("n"))
+    grid = epochs.withColumn(route, F.explode(F.array(*(F.lit(r) for r in routes))))
     return grid.join(counts, [epoch, route], "left").fillna({"n": 0})

@@ -125,3 +125,10 @@ def test_more_words_in_weak_cues_of_one_task_than_the_first_table_holds(spark, s
     model = L.TextModel([(r["lang"], r["text"]) for r in samples.collect()])
     scores = L.WordScores(model)
     assert all((scores.row(w) == model.score(w)).all() for w in made) and len(scores.table) > 4096
+
+
+def test_a_large_sample_keeps_every_language(spark, samples, monkeypatch):
+    monkeypatch.setattr(L, "MAX_SAMPLE", 40)
+    ru = [r["text"] for r in samples.where("lang = 'ru'").collect()]
+    df = spark.createDataFrame([(1, srt(ru[:5]), "en", "a.example")], "doc_id bigint, text string, lang string, source string")
+    assert [r["lang"] for r in L.identify(df, samples).collect()] == ["ru"]

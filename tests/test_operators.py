@@ -255,3 +255,12 @@ def test_checkpoint_store(spark, tmp_path):
     assert store.delete("b") and store.get("b") is None
     with pytest.raises(ValueError):
         store.save("x/y", {}, 0, {})
+
+
+def test_every_route_of_many_is_in_the_grid(spark, tmp_path):
+    from millrace.catalog.flows import QUERIES
+
+    rows_ = spark.range(300).selectExpr("id AS event_id", "0L AS user_id", "CAST(IF(id = 299, NULL, id % 130) AS string) AS event_type", "TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id % 2 AS int)) AS ts", "1.0D AS value")
+    rows_.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["routed_epoch_grid"](spark, str(tmp_path)).collect()
+    assert len(got) == 131 * 2 and sum(r["n"] for r in got) == 300
