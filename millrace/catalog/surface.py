@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars
 from millrace.operators import functions, topology
-from millrace.operators.durable import durable
 from millrace.operators.epochs import single_epoch
 from millrace.operators.shred import Shape, entity_table, shred
 from millrace.plans.graph import Block, Edge, Graph
@@ -121,14 +121,25 @@ def observed_metrics(spark, d):
 
 
 def graph_order(spark, d):
-    """The blocks of the largest graph defined in the events, in the order in which they can run."""
+    """The blocks of every graph defined in the events, in the order in which they can run; a block on or behind a cycle has no place."""
     shape = Shape({"blocks": ("blockname",), "edges": ("sourceblock", "targetblock")}, frozenset({"edges"}), scalars=frozenset({"blockname", "sourceblock", "targetblock"}))
     nodes = shred(table(spark, d, "flow_event").where("event_type = 'FlowGraphDefinedEvent'"), "id", "payload", shape)
-    parts = durable(entity_table(nodes, {"blocks": "block", "edges": "edge"}, {"name": ("blockName",), "source": ("sourceBlock",), "target": ("targetBlock",)}))
-    largest = parts.groupBy("record_id").agg(F.count_if(F.col("kind") == "block").alias("n")).agg(F.max(F.struct("n", "record_id")).alias("m")).first()["m"]
-    own = parts.where(F.col("record_id") == (largest["record_id"] if largest else "")).orderBy("ordinal").collect()  # one graph
-    graph = Graph([Block(r["name"]) for r in own if r["kind"] == "block"], [Edge(r["source"], r["target"]) for r in own if r["kind"] == "edge"])
-    return spark.createDataFrame([(i, name) for i, name in enumerate(graph.order(), 1)], "place bigint, block string")
+    parts = entity_table(nodes, {"blocks": "block", "edges": "edge"}, {"name": ("blockName",), "source": ("sourceBlock",), "target": ("targetBlock",)})
+
+    # a block is named by its key in a map if it holds no name itself
+    name = F.coalesce("name", F.when(F.col("kind") == "block", F.col("map_key"))).alias("name")
+    graphs = parts.groupBy("record_id", "doc").agg(F.array_sort(F.collect_list(F.struct("ordinal", "node", "kind", name, "source", "target"))).alias("parts"))
+
+    def ordered(batches):
+        for pdf in batches:
+            rows = []
+            for record, own in zip(pdf["record_id"], pdf["parts"]):
+                names = [*dict.fromkeys(x["name"] for x in own if x["kind"] == "block" and x["name"] is not None)]
+                order = Graph([Block(n) for n in names], [Edge(x["source"], x["target"]) for x in own if x["kind"] == "edge"]).order()
+                rows += [*((record, i, n) for i, n in enumerate(order, 1)), *((record, None, n) for n in names if n not in {*order})]
+            yield pd.DataFrame({"record_id": [r[0] for r in rows], "place": pd.array([r[1] for r in rows], "Int64"), "block": [r[2] for r in rows]})
+
+    return graphs.select("record_id", "parts").mapInPandas(ordered, "record_id string, place bigint, block string")
 
 
 def stream_tenants(spark, d):

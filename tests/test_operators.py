@@ -264,3 +264,20 @@ def test_every_route_of_many_is_in_the_grid(spark, tmp_path):
     rows_.write.parquet(f"{tmp_path}/events.parquet")
     got = QUERIES["routed_epoch_grid"](spark, str(tmp_path)).collect()
     assert len(got) == 131 * 2 and sum(r["n"] for r in got) == 300
+
+
+def test_every_graph_is_ordered(spark, tmp_path):
+    from millrace.catalog.surface import QUERIES
+
+    def edge(a, b):
+        return f'{{"sourceBlock": "{a}", "targetBlock": "{b}"}}'
+
+    graphs = [
+        (1, '{"blocks": [{"blockName": "z"}, {"blockName": "a"}, {"blockName": "m"}], "edges": [' + edge("a", "m") + ", " + edge("m", "z") + "]}"),
+        (2, '{"Blocks": {"y": {}, "x": {"blockName": "w"}}, "edges": ' + edge("w", "y") + "}"),
+        (3, '{"blocks": [{"blockName": "p"}, {"blockName": "q"}, {"blockName": "r"}], "edges": [' + edge("q", "r") + ", " + edge("r", "q") + "]}"),
+    ]
+    df = spark.createDataFrame([(i, "FlowGraphDefinedEvent", p) for i, p in [*graphs, graphs[0]]], "id bigint, event_type string, payload string")
+    df.write.parquet(f"{tmp_path}/flow_event.parquet")
+    got = rows(QUERIES["graph_order"](spark, str(tmp_path)))
+    assert got == sorted([("1", 1, "a"), ("1", 2, "m"), ("1", 3, "z"), ("2", 1, "w"), ("2", 2, "y"), ("3", 1, "p"), ("3", None, "q"), ("3", None, "r")], key=repr)
