@@ -243,7 +243,7 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     if len(best) > bound:
         other = completion(real, capacity)
         best = min(best, other, key=len)
-        # the emptiest containers are solved again, exactly, into one fewer
+        # the emptiest containers are solved again into one fewer, within the bounds of branch_and_bound
         while len(best) > bound:
             best.sort(key=lambda b: sum(real[i] for i in b), reverse=True)
             tail, n = len(best), 0
