@@ -1,17 +1,18 @@
 """Passages of held-out texts inside a training corpus (problem 7).
 
 Method: winnowing. Words are folded (letter case, accents, letters that scanning confuses); of every w successive
-hashes of k words the least is kept as a fingerprint, so any shared run of w + k - 1 words has a fingerprint in
-common. Fingerprints of corpus and test texts are joined; the hits of a document and an item that lie near one
-diagonal are extended by a local alignment of the words around them, and the aligned share of the item decides.
+hashes of k words the least is kept as a fingerprint, in corpus and test texts alike, so any shared run of w + k - 1
+words has a fingerprint in common. The corpus is read once; its fingerprints are joined by hash with those of the test
+texts; the hits of a document and an item that lie near one diagonal are extended by a local alignment of the words
+around them, and the aligned share of the item decides. No word counts more than another.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,16 +20,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.subtitles import cues, repair_encoding
+from millrace.operators.durable import durable
 
 K, WINDOW = 4, 3
 #: Share of an item's words that must be aligned, from the first aligned word to the last.
 SHARE = 0.4
-#: Share of the words in that stretch which must be equal; the rest is damage.
-DENSITY = 0.78
+#: Share of the words in that stretch, and in the document's, which must be equal: small damage is at most a word in four,
+#: and half of that where an even alignment has to reach over it.
+DENSITY = 0.75
 #: Width of a band of diagonals in words; bands overlap by half.
 BAND = 24
-#: Bytes of test text whose index one pass holds; more test texts make more passes.
-BLOCK_BYTES = 16 << 20
+#: Different fingerprints in one band that make a candidate; fewer where an undamaged passage of the least length may have fewer.
+LEAST_HITS = 3
+#: Fingerprints and bytes of test texts up to which they are broadcast; beyond, the corpus' hits are shuffled to them.
+BROADCAST_POSTINGS, BROADCAST_BYTES = 2_000_000, 64 << 20
+#: Slots of the filter that keeps corpus fingerprints no test text has from leaving their task: so many for each of the tests', at most.
+FILTER_SLOTS, FILTER_MOST = 32, 1 << 26
+#: A fingerprint with more than one part in HOT_PARTS of the corpus' hits is hot: there are at most so many, and each is split over SALTS.
+HOT_PARTS, SALTS = 200, 64
+#: Candidates aligned at a time, so that a batch's memory is bounded; the longest test text in words.
+AT_ONCE, LONGEST = 256, 500_000
 
 _WORD = re.compile(r"\w+")
 # Letters that scanning confuses, each with the letter that stands for its group.
@@ -56,55 +67,30 @@ def words(text: str) -> list[str]:
 
 def document_words(text: str) -> list[str]:
     """The words spoken in a document, as written."""
-    return _WORD.findall("\n".join(cues(repair_encoding(text))))
+    spoken = "\n".join(cues(repair_encoding(text)))
+    return _WORD.findall(spoken if spoken.isascii() or unicodedata.is_normalized("NFC", spoken) else unicodedata.normalize("NFC", spoken))
 
 
-def _deletions(word: str) -> Iterator[str]:
-    return (word[:i] + word[i + 1 :] for i in range(len(word)))
+def word_hash(folded: str) -> int:
+    return int.from_bytes(hashlib.blake2b(folded.encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
 
-class Vocabulary(dict):
-    """Word -> its number, 0 for a word that no test text holds; a word one letter off, when folded, counts as the test text's word."""
+class Hashes(dict):
+    """Word as written -> the 64-bit hash of the folded word; forgets all words once there are many, so that a task's memory is bounded."""
 
     LIMIT = 500_000
 
-    def __init__(self, texts: list[list[str]]):
-        super().__init__()
-        for t in texts:
-            for w in t:
-                if w not in self:
-                    self[w] = len(self) + 1
-        self.size = len(self)
-        self.near: dict[str, int] = {}
-        for w, n in [*self.items()]:
-            if len(w) >= 5:
-                for d in _deletions(w):
-                    self.near.setdefault(d, n)
-        self.known = dict(self)
-
     def __missing__(self, written: str) -> int:
-        folded = words(written)
-        word = folded[0] if folded else ""
-        n = self.known.get(word, 0)
-        if not n and len(word) >= 5 and not word.isdigit():
-            n = self.near.get(word, 0)
-            if not n:
-                for d in _deletions(word):
-                    n = self.known.get(d, 0) if len(d) >= 5 else 0
-                    n = n or self.near.get(d, 0)
-                    if n:
-                        break
-        if len(self) > self.LIMIT:  # forget the words met so far, so that a task's memory is bounded
+        if len(self) > self.LIMIT:
             self.clear()
-            self.update(self.known)
-        self[written] = n
+        n = self[written] = word_hash("".join(words(written)))
         return n
 
 
 def fingerprints(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowed fingerprints of many texts laid end to end: their places in ``ids`` and their hashes.
+    """Winnowed fingerprints of many texts laid end to end: their places in ``ids`` and their hashes, none of them 0.
 
-    ``starts``: where each text begins. A run that holds a word number 0 can't match and has no hash.
+    ``ids``: the words' hashes; ``starts``: where each text begins. Texts of fewer than K words have none.
     """
     n = len(ids) - K + 1
     if n <= 0:
@@ -113,16 +99,14 @@ def fingerprints(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     h = np.zeros(n, np.uint64)
     valid = np.ones(n, bool)
     for j in range(K):
-        part = x[j : j + n]
-        h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ x[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        valid &= part != 0
     inside = starts[starts > 0]
     for j in range(1, K):  # runs that reach over the end of a text
         cut = inside - j
         valid[cut[(cut >= 0) & (cut < n)]] = False
     worst = np.uint64(0xFFFFFFFFFFFFFFFF)
-    h = np.where(valid, h, worst)
+    h = np.where(valid, np.maximum(h, np.uint64(1)), worst)
     padded = np.concatenate([np.full(WINDOW - 1, worst), h, np.full(WINDOW - 1, worst)])
     # the least of each window, and whether a place is the least of any window that holds it
     least = padded[: n + WINDOW - 1].copy()
@@ -135,289 +119,334 @@ def fingerprints(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, h[at]
 
 
-@dataclass
-class Index:
-    """Test texts ready to be searched for: words by number, fingerprints in order of their hashes."""
-
-    vocabulary: Vocabulary
-    item_ids: np.ndarray
-    words: list[np.ndarray]
-    weights: list[np.ndarray]
-    hashes: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    rare: np.ndarray
-
-    @classmethod
-    def of(cls, item_ids: list[int], texts: list[str]) -> Index:
-        split = [words(t) for t in texts]
-        vocabulary = Vocabulary(split)
-        ids = [np.array([vocabulary.known[w] for w in t], np.int64) for t in split]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(ids) else np.empty(0, np.int64)
-        # every run of the item is kept, not only its fingerprints: a document's fingerprint then always meets it
-        everything = np.concatenate(ids) if ids else np.empty(0, np.int64)
-        at, h = _all_runs(everything, starts)
-        item = np.searchsorted(starts, at, "right") - 1
-        order = np.argsort(h, kind="stable")
-        # a word is rare if few of the test texts hold it: it tells a passage from common phrases
-        holders = np.zeros(vocabulary.size + 1, np.int64)
-        for x in ids:
-            holders[np.unique(x)] += 1
-        rare = holders <= max(RARE_LEAST, len(ids) // RARE_PART)
-        weights = [np.where(holders[x] == 1, ONLY_WEIGHT, np.where(rare[x], RARE_WEIGHT, 1)) for x in ids]
-        seeds = np.zeros(len(at), bool)
-        for j in range(K):
-            seeds |= rare[everything[at + j]]
-        return cls(vocabulary, np.array(item_ids, np.int64), ids, weights, h[order], item[order], (at - starts[item])[order], seeds[order])
-
-
-#: A word is rare that at most RARE_LEAST test texts hold, or one in RARE_PART; it weighs RARE_WEIGHT times as much, and ONLY_WEIGHT times if no other text holds it.
-RARE_LEAST, RARE_PART, RARE_WEIGHT, ONLY_WEIGHT = 3, 50, 2, 3
-#: Rare words must make at least this part of their usual share among the equal words; in a stretch with half the damage, of their share in that stretch.
-RARE_SHARE = 0.5
-#: An item with fewer rare words is found by its common phrases.
-LEAST_RARE = 4
-
-
-def _all_runs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(ids) - K + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    x = ids.astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    valid = np.ones(n, bool)
-    for j in range(K):
-        h = (h ^ x[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    inside = starts[starts > 0]
-    for j in range(1, K):
-        cut = inside - j
-        valid[cut[(cut >= 0) & (cut < n)]] = False
-    at = np.flatnonzero(valid)
-    return at, h[at]
-
-
 # What the alignment gives for an equal word and takes for a different, a skipped and an inserted one.
 MATCH, DIFFERENT, SKIPPED, INSERTED = 4, 5, 4, 3
-# What an even alignment takes for the three, whatever the word: one equal word then reaches over two damaged.
+# What an even alignment takes for the three: one equal word then reaches over two damaged.
 EVEN = 2, 3, 3
 
 
-def align(items: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each pair of rows the best local alignment: equal words, rare ones among them, and item words from the first aligned to the last."""
-    return align_at(items, weights, docs)[:3]
-
+def align(items: np.ndarray, docs: np.ndarray, even: bool = False) -> tuple[np.ndarray, ...]:
+    """Of each pair of rows the best local alignment: its equal words, the item's words from the first aligned to the last, and its ends in item and document.
 
-def align_at(items: np.ndarray, weights: np.ndarray, docs: np.ndarray, even: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``align``, and the place of the last aligned word in the item. ``even``: all words weigh the same, and damage near an end doesn't cut it off.
-
-    Rows are padded: items with -1, documents with -2. All pairs are worked through together, row by row. A cell
-    holds score, equal words, rare words and length in one number, so that a maximum carries all four.
+    Rows are padded: items with -1, documents with -2. All pairs are worked through together, row by row. A cell holds score,
+    equal words and length in one number, so that a maximum carries all three. ``even``: damage near an end doesn't cut it off.
     """
     pairs, n = docs.shape
-    m = items.shape[1]
-    unit, equal_unit, rare_unit = 1 << 36, 1 << 24, 1 << 12
+    unit, equal_unit = 1 << 42, 1 << 21
     different, skipped, inserted = EVEN if even else (DIFFERENT, SKIPPED, INSERTED)
-    insert = inserted * unit
-    ramp = np.arange(n, dtype=np.int64) * insert
-    above = np.zeros((pairs, n + 1), np.int64)
-    best, end = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
-    for i in range(m):
-        word, rare = items[:, i : i + 1], weights[:, i : i + 1] > 1
-        weight = np.ones_like(word) if even else weights[:, i : i + 1]
-        equal = docs == word
+    ramp = np.arange(n, dtype=np.int64) * (inserted * unit)
+    gain, loss, lost = MATCH * unit + equal_unit + 1, 1 - different * unit, 1 - skipped * unit
+    above, best = np.zeros((pairs, n + 1), np.int64), np.zeros(pairs, np.int64)
+    here = np.zeros((pairs, n), np.int64)
+    last, end = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+    for i in range(items.shape[1]):
+        word = items[:, i : i + 1]
         # an equal word adds score, one equal word and one to the length; a skipped or different one adds to the length
-        gain = MATCH * weight * unit + equal_unit + np.where(rare, rare_unit, 0) + 1
-        diagonal = above[:, :-1] + np.where(equal, gain, 1 - different * weight * unit)
-        here = np.maximum(diagonal, above[:, 1:] + 1 - skipped * weight * unit)
-        here = np.where(here >= unit, here, 0)
-        here = np.maximum.accumulate(here + ramp, axis=1) - ramp
-        here = np.where((here >= unit) & (word >= 0), here, 0)
-        above = np.concatenate([np.zeros((pairs, 1), np.int64), here], axis=1)
-        top = here.max(axis=1)
-        end[top > best] = i
-        best = np.maximum(best, top)
-    return (best % unit) // equal_unit, (best % equal_unit) // rare_unit, best % rare_unit, end
-
-
-def _candidates(doc: np.ndarray, place: np.ndarray, hit_item: np.ndarray, hit_place: np.ndarray, rare: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Bands of one document and one item whose hits cover enough of the item's words: doc, item, and the range of diagonals.
-
-    ``plain``: whether an item has so few rare words that its common phrases must do.
-    """
-    band = (place - hit_place + (1 << 30)) // (BAND // 2)
+        np.maximum(above[:, :-1] + np.where(docs == word, gain, loss), above[:, 1:] + lost, out=here)
+        here[here < unit] = 0
+        here += ramp
+        np.maximum.accumulate(here, axis=1, out=here)
+        here -= ramp
+        here[(here < unit) | (word < 0)] = 0
+        above[:, 1:] = here
+        at = here.argmax(axis=1)
+        top = here[np.arange(pairs), at]
+        more = top > best
+        best[more], last[more], end[more] = top[more], i, at[more]
+    return (best % unit) // equal_unit, best % equal_unit, last, end
+
+
+def least_hits(size, share: float = SHARE):
+    """Of an item of ``size`` words the fingerprints that an undamaged passage of ``share`` of it has at least, up to LEAST_HITS; 1 where it may have none."""
+    return np.clip(-(-(np.ceil(share * size) - (K + WINDOW - 2)) // WINDOW), 1, LEAST_HITS)
+
+
+def candidates(doc: np.ndarray, place: np.ndarray, item: np.ndarray, spot: np.ndarray, size: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, ...]:
+    """Hits -> (document, item, item's words, least and greatest diagonal) where enough different ones lie in a band; bands that touch make one."""
+    band = (place - spot + (1 << 30)) // (BAND // 2)
     # each hit lies in two overlapping bands
-    doc, place, item, spot, rare = (np.concatenate([x, x]) for x in (doc, place, hit_item, hit_place, rare))
+    doc, place, item, spot, size = (np.concatenate([x, x]) for x in (doc, place, item, spot, size))
     band = np.concatenate([band, band - 1])
     order = np.lexsort((spot, band, item, doc))
-    doc, place, item, spot, band, rare = (x[order] for x in (doc, place, item, spot, band, rare))
-    fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-    step = np.full(len(doc), K, np.int64)
-    step[1:] = np.where(fresh[1:], K, np.minimum(K, spot[1:] - spot[:-1]))
+    doc, place, item, spot, size, band = (x[order] for x in (doc, place, item, spot, size, band))
+    if not len(doc):
+        return (np.empty(0, np.int64),) * 5
+    other = np.ones(len(doc), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    fresh = other.copy()
+    fresh[1:] |= band[1:] != band[:-1]
+    new = fresh.copy()
+    new[1:] |= spot[1:] != spot[:-1]
     first = np.flatnonzero(fresh)
-    if not len(first):
-        return (np.empty(0, np.int64),) * 4
-    cover = np.add.reduceat(step, first)
     diagonal = place - spot
-    low, high = np.minimum.reduceat(diagonal, first), np.maximum.reduceat(diagonal, first)
-    telling = np.add.reduceat(np.where(rare, step, 0), first)
-    keep = (telling >= LEAST_COVER_RARE) | (plain[item[first]] & (cover >= LEAST_COVER))
-    found = np.unique(np.column_stack([doc[first], item[first], low, high])[keep], axis=0)  # two bands may hold the same hits
-    return tuple(found.T)
-
-
-#: Words of an item that the hits of one band must cover before it is looked at: by hits that hold a rare word, or, in an item with hardly any, by all.
-LEAST_COVER_RARE, LEAST_COVER = 5, 10
-#: Candidates aligned at a time, so that a batch's memory is bounded.
-AT_ONCE = 256
-
-
-def search(index: Index, doc_ids: np.ndarray, texts: list[str | None], share: float = SHARE, density: float = DENSITY) -> tuple[np.ndarray, ...]:
-    """(doc_id, item_id, equal words, stretch, item words) of every document and item that share a passage; the widest if several."""
-    nothing = tuple(np.empty(0, np.int64) for _ in range(5))
-    get = index.vocabulary.__getitem__
-    numbers, lengths = [], []
-    for t in texts:
-        w = document_words(t) if t else []
-        numbers.extend(map(get, w))
-        lengths.append(len(w))
-    ids = np.array(numbers, np.int64)
-    lengths = np.array(lengths, np.int64)
-    if not len(ids) or not len(index.hashes):
-        return nothing
-    starts = np.cumsum(lengths) - lengths
-    at, h = fingerprints(ids, starts[lengths > 0])
-    left, right = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
-    times = right - left
-    hit = np.repeat(np.arange(len(at)), times)
-    if not len(hit):
-        return nothing
-    entry = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(left, times)
-    sizes = np.array([len(w) for w in index.words], np.int64)
-    rares = np.array([(w > 1).sum() for w in index.weights], np.int64)
-    telling = index.rare[entry] | (rares < LEAST_RARE)[index.item[entry]]  # the others can't make a candidate
-    hit, entry = hit[telling], entry[telling]
-    place = at[hit]
-    doc = np.searchsorted(starts, place, "right") - 1
-    doc, item, low, high = _candidates(doc, place, index.item[entry], index.place[entry], index.rare[entry], rares < LEAST_RARE)
-    enough = _rare_words_near(index, ids, item, low, high) >= RARE_SHARE * density * _fewest_rare(index, share)[item]
-    doc, item, low, high = doc[enough], item[enough], low[enough], high[enough]
-    if not len(doc):
-        return nothing
-    begin = np.maximum(starts[doc], low - BAND // 2)
-    end = np.minimum(starts[doc] + lengths[doc], high + sizes[item] + BAND)
-    out: list[tuple[np.ndarray, ...]] = []
-    order = np.argsort(end - begin, kind="stable")
-    i = 0
-    while i < len(order):
+    low, high, hits = np.minimum.reduceat(diagonal, first), np.maximum.reduceat(diagonal, first), np.add.reduceat(new.astype(np.int64), first)
+    keep = hits >= least_hits(size[first], share)
+    first, low, high = first[keep], low[keep], high[keep]
+    if not len(first):
+        return (np.empty(0, np.int64),) * 5
+    doc, item, size, band = (x[first] for x in (doc, item, size, band))
+    apart = np.ones(len(first), bool)
+    apart[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 1)
+    head = np.flatnonzero(apart)
+    return doc[head], item[head], size[head], np.minimum.reduceat(low, head), np.maximum.reduceat(high, head)
+
+
+def _deletions(word: str) -> list[str]:
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
+class ItemWords:
+    """The words of an item by number; a word one letter off, of five letters or more, counts as the item's word."""
+
+    def __init__(self, split: list[str]):
+        self.known: dict[str, int] = {}
+        self.ids = np.array([self.known.setdefault(w, len(self.known)) for w in split], np.int64)
+        self.near: dict[str, int] = {}
+        for w, n in self.known.items():
+            if len(w) >= 5 and not w.isdigit():
+                for d in _deletions(w):
+                    self.near.setdefault(d, n)
+        self.spelled = {*self.near, *(w for w in self.known if len(w) >= 5)}
+
+    def number(self, word: str, shorter: frozenset[str]) -> int:
+        """The number of the item's word, -2 if it has none like it. ``shorter``: the word without each of its letters."""
+        n = self.known.get(word, -2)
+        if n == -2 and shorter:
+            n = self.near.get(word, -2)
+            if n == -2 and not self.spelled.isdisjoint(shorter):
+                n = min((self.known if d in self.known else self.near)[d] for d in shorter & self.spelled)
+        return n
+
+
+class _Spellings(dict):
+    """Word as written -> the folded word, and that without each of its letters; empty for short words and numbers."""
+
+    def __missing__(self, written: str) -> tuple[str, frozenset[str]]:
+        if len(self) > Hashes.LIMIT // 5:
+            self.clear()
+        w = "".join(words(written))
+        out = self[written] = (w, frozenset(_deletions(w)) if len(w) >= 5 and not w.isdigit() else frozenset())
+        return out
+
+
+def judge(items: list[np.ndarray], windows: list[np.ndarray], share: float, density: float) -> tuple[np.ndarray, ...]:
+    """(pair, equal words, stretch) of the pairs that hold a passage."""
+    out = [(np.empty(0, np.int64),) * 3]
+    order = np.argsort([len(w) * len(i) for w, i in zip(windows, items)], kind="stable")
+    at = 0
+    while at < len(order):
         # as many as fit: long windows come in smaller lots
-        width = int((end - begin)[order[min(i + AT_ONCE, len(order)) - 1]])
-        lot = order[i : i + max(1, min(AT_ONCE, (AT_ONCE * 160) // max(1, width)))]
-        i += len(lot)
-        width = int((end - begin)[lot].max())
-        grid = begin[lot][:, None] + np.arange(width)
-        windows = np.where(grid < end[lot][:, None], ids[np.minimum(grid, len(ids) - 1)], -2)
-        windows[windows == 0] = -2
-        m = int(sizes[item[lot]].max())
-        rows, weights = np.full((len(lot), m), -1, np.int64), np.ones((len(lot), m), np.int64)
-        for k in np.unique(item[lot]):
-            rows[item[lot] == k, : sizes[k]] = index.words[k]
-            weights[item[lot] == k, : sizes[k]] = index.weights[k]
-        least = share * sizes[item[lot]]
-        before = np.concatenate([np.zeros((len(lot), 1), np.int64), np.cumsum(weights > 1, axis=1)], axis=1)
+        width = max(len(windows[k]) for k in order[at : at + AT_ONCE])
+        lot = order[at : at + max(1, min(AT_ONCE, AT_ONCE * 160 // max(1, width)))]
+        at += len(lot)
+        rows = np.full((len(lot), max(len(items[k]) for k in lot)), -1, np.int64)
+        texts = np.full((len(lot), max(len(windows[k]) for k in lot)), -2, np.int64)
+        for j, k in enumerate(lot):
+            rows[j, : len(items[k])], texts[j, : len(windows[k])] = items[k], windows[k]
+        least = share * (rows >= 0).sum(axis=1)
         near = np.arange(len(lot))
         for even in (False, True):
-            equal, rare, stretch, last = align_at(rows[near], weights[near], windows[near], even)
-            # common phrases align without the words that tell this item from others; a stretch that has fewer of them must be whole
-            held = before[near, last + 1] - before[near, last + 1 - stretch]
-            usual = rare * sizes[item[lot[near]]] >= RARE_SHARE * rares[item[lot[near]]] * equal
-            whole = (rare * stretch >= RARE_SHARE * held * equal) & (equal >= (1 + density) / 2 * stretch)
-            fine = (stretch >= least[near]) & (equal >= density * stretch) & (usual | whole)
-            sure = lot[near[fine]]
-            out.append((doc[sure], item[sure], equal[fine], stretch[fine], sizes[item[sure]]))
-            # damage to rare words near an end may have cut it off: those are aligned once more, evenly
+            equal, stretch, last, end = align(rows[near], texts[near], even)
+            dense = (1 + density) / 2 if even else density
+            fine = (stretch >= least[near] - 1e-9) & (equal >= dense * stretch - 1e-9) & (equal > 0)
+            # what is inserted between the document's words is damage as well
+            for j in np.flatnonzero(fine):
+                k = near[j]
+                back = align(rows[k : k + 1, last[j] :: -1], texts[k : k + 1, end[j] :: -1], even)
+                fine[j] = equal[j] >= dense * (int(back[3][0]) + 1) - 1e-9
+            out.append((lot[near[fine]], equal[fine], stretch[fine]))
+            # damage near an end may have cut it off: those are aligned once more, evenly
             near = near[~fine & (stretch >= least[near] / 2)]
             if not len(near):
                 break
-    doc, item, equal, stretch, size = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((-stretch, item, doc))
-    doc, item, equal, stretch, size = (x[order] for x in (doc, item, equal, stretch, size))
-    first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    return doc_ids[doc[first]], index.item_ids[item[first]], equal[first], stretch[first], size[first]
-
-
-def _fewest_rare(index: Index, share: float) -> np.ndarray:
-    """Of each item the rare words in that stretch of ``share`` of its words which has the fewest."""
-    fewest = np.zeros(len(index.words), np.int64)
-    for k, w in enumerate(index.weights):
-        n = int(np.ceil(share * len(w)))
-        if n:
-            sums = np.concatenate([[0], np.cumsum(w > 1)])
-            fewest[k] = (sums[n:] - sums[:-n]).min()
-    return fewest
-
-
-def _rare_words_near(index: Index, ids: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """How many of the item's rare words stand in the document on a diagonal from ``low`` to ``high`` or near it: no alignment there can have more."""
-    spots = [np.flatnonzero(w > 1) for w in index.weights]
-    count = np.array([len(x) for x in spots], np.int64)
-    begin = np.cumsum(count) - count
-    all_spots = np.concatenate([*spots, np.empty(0, np.int64)])
-    all_words = np.concatenate([*(w[x] for w, x in zip(index.words, spots)), np.empty(0, np.int64)])
-    times = count[item]
-    pair = np.repeat(np.arange(len(item)), times)
-    if not len(pair):
-        return np.zeros(len(item), np.int64)
-    at = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times) + begin[item][pair]
-    spot, word = all_spots[at], all_words[at]
-    from_, to = low[pair] - BAND // 2, high[pair] + BAND // 2
-    hit = np.zeros(len(pair), bool)
-    for j in range(2 * BAND + 1):
-        d = from_ + j
-        where = np.clip(spot + d, 0, len(ids) - 1)
-        hit |= (ids[where] == word) & (d <= to)
-    return np.bincount(pair, hit, len(item)).astype(np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 FOUND = "doc_id bigint, item_id bigint, equal_words int, stretch int, item_words int"
-
-
-def _blocks(items: DataFrame) -> Iterator[list]:
-    """The test items in blocks of at most about BLOCK_BYTES of text."""
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    count = -(-size // BLOCK_BYTES)
-    for b in range(count):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == b) if count > 1 else items
-        yield sorted(block.collect())
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, density: float = DENSITY) -> DataFrame:
-    """(doc_id, item_id, equal_words, stretch, item_words) for each document that holds a passage of an item.
-
-    ``documents``: doc_id, text; ``items``: item_id, text. A passage is a stretch of at least ``share`` of the
-    item's words, of which at least ``density`` stand in the document in order and in one place. Rows with a null
-    id or text, and empty texts, match nothing; repeated rows give their result once; a document of any length is
-    searched whole. Other columns are ignored. The corpus isn't shuffled: each pass holds the index of one block of
-    test items, and there are as many passes as blocks.
+_SCANNED = "uid bigint, doc_id bigint, words string, h bigint, place int"
+
+
+def _item_table(items: DataFrame) -> DataFrame:
+    """(item_id, text, size, h, spot): the test texts with the hashes and places of their fingerprints as arrays."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, t in zip(pdf["item_id"], pdf["text"]):
+                split = words(t)
+                if len(split) > LONGEST:
+                    raise ValueError(f"test text {i} has over {LONGEST} words")
+                at, h = fingerprints(np.array([word_hash(w) for w in split], np.uint64), np.zeros(1, np.int64))
+                out.append((i, " ".join(split), len(split), h.view(np.int64), at.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["item_id", "item_text", "size", "h", "spot"])
+
+    return items.mapInPandas(run, "item_id bigint, item_text string, size int, h array<bigint>, spot array<int>")
+
+
+def _filter_bits(postings: DataFrame, count: int) -> np.ndarray:
+    """A bit for each slot that the hash of some posting falls into; the slots are bounded, and so is what is collected."""
+    bits = min(max(1 << 12, 1 << (FILTER_SLOTS * max(1, count) - 1).bit_length()), FILTER_MOST).bit_length() - 1
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    cells = postings.select(F.shiftright(slot, 6).alias("cell"), slot.bitwiseAND(63).cast("int").alias("bit"))
+    cells = cells.groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[cells["cell"].to_numpy()] = cells["mask"].to_numpy()
+    return out.view(np.uint64)
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the slot of each hash is taken."""
+    slot = h >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
+    return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _scan(docs: DataFrame, bits, fewest: int) -> DataFrame:
+    """The one pass over the corpus. Of each document with enough fingerprints that pass the filter: a row with its words, then a row for each of these."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        hashes, taken, uid = Hashes(), bits.value, TaskContext.get().partitionId() << 40
+        for pdf in batches:
+            for i in range(0, len(pdf), 512):
+                split = [document_words(t) for t in pdf["text"].iloc[i : i + 512]]
+                ids = np.fromiter((hashes[w] for s in split for w in s), np.uint64, sum(map(len, split)))
+                lengths = np.array([len(s) for s in split], np.int64)
+                starts = np.cumsum(lengths) - lengths
+                at, h = fingerprints(ids, starts)
+                some = passes(taken, h)
+                at, h = at[some], h[some]
+                doc = np.searchsorted(starts, at, "right") - 1
+                times = np.bincount(doc, minlength=len(split))
+                kept = np.flatnonzero(times >= fewest)
+                if not len(kept):
+                    uid += len(split)
+                    continue
+                some = times[doc] >= fewest
+                at, h, doc = at[some], h[some], doc[some]
+                head = np.searchsorted(doc, kept) + np.arange(len(kept))  # each document's first row holds its words
+                n = len(doc) + len(kept)
+                rest = np.ones(n, bool)
+                rest[head] = False
+                who, where, what, text = np.empty(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, None, object)
+                who[head], who[rest] = kept, doc
+                where[rest], what[rest] = at - starts[doc], h.view(np.int64)
+                text[head] = [" ".join(split[k]) for k in kept]
+                yield pd.DataFrame({"uid": uid + who, "doc_id": pdf["doc_id"].to_numpy(np.int64)[i + who], "words": text, "h": what, "place": where})
+                uid += len(split)
+
+    return docs.mapInPandas(run, _SCANNED)
+
+
+def _windows(share: float):
+    """Rows of each document, its words first -> (doc_id, item_id, window) for each candidate."""
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        head = np.flatnonzero(pdf["words"].notna().to_numpy())
+        uid = pdf["uid"].to_numpy()
+        if len(head) != 1 + np.count_nonzero(np.diff(uid)) or not len(head) or head[0] != 0 or (uid[head[1:]] == uid[head[1:] - 1]).any():
+            raise RuntimeError("a document's rows don't stand together")
+        lead = np.zeros(len(pdf), np.int64)
+        lead[head] = 1
+        doc = np.cumsum(lead) - 1
+        hit = lead == 0
+        place, item, spot, size = (pdf[c].to_numpy()[hit].astype(np.int64) for c in ("place", "item_id", "spot", "size"))
+        doc, item, size, low, high = candidates(doc[hit], place, item, spot, size, share)
+        if not len(doc):
+            return None
+        split = {k: pdf["words"].iloc[head[k]].split(" ") for k in np.unique(doc)}
+        windows = [" ".join(split[k][max(0, a - BAND // 2) : b + m + BAND]) for k, m, a, b in zip(doc, size, low, high)]
+        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[head[doc]], "item_id": item, "window": windows})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            # the last document may go on in the next batch
+            uid = pdf["uid"].to_numpy()
+            last = len(uid) - int((uid[::-1] != uid[-1]).argmax() or len(uid))
+            if last:
+                found = some(pd.concat([*waiting, pdf.iloc[:last]]))
+                waiting = []
+                if found is not None:
+                    yield found
+            waiting.append(pdf.iloc[last:])
+            if len({int(w["uid"].iloc[0]) for w in waiting}) > 1:
+                found = some(pd.concat(waiting[:-1]))
+                waiting = waiting[-1:]
+                if found is not None:
+                    yield found
+        if waiting and (found := some(pd.concat(waiting))) is not None:
+            yield found
+
+    return run
+
+
+def _extend(share: float, density: float):
+    """(doc_id, item_id, window, item_text) -> FOUND for those that hold a passage."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, ItemWords] = {}
+        spelled = _Spellings()
+        for pdf in batches:
+            if len(known) > 5_000:
+                known.clear()
+            items, windows = [], []
+            for i, text, window in zip(pdf["item_id"], pdf["item_text"], pdf["window"]):
+                own = known.get(i)
+                if own is None:
+                    own = known[i] = ItemWords(text.split(" "))
+                items.append(own.ids)
+                windows.append(np.array([own.number(*spelled[w]) for w in window.split(" ")], np.int64))
+            pair, equal, stretch = judge(items, windows, share, density)
+            if len(pair):
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[pair], "item_id": pdf["item_id"].to_numpy()[pair], "equal_words": equal, "stretch": stretch, "item_words": [len(items[k]) for k in pair]})
+
+    return run
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, density: float = DENSITY, broadcast_postings: int = BROADCAST_POSTINGS) -> DataFrame:
+    """(doc_id, item_id, equal_words, stretch, item_words) for each document that holds a passage of an item; the widest if several.
+
+    ``documents``: doc_id, text; ``items``: item_id, text. A passage is a stretch of at least ``share`` of the item's words, of
+    which at least ``density`` stand in the document in order and in one place. Rows with a null id or text, and empty texts,
+    match nothing; repeated rows give their result once; a document of any length is searched whole; an item_id with several
+    texts is searched for by each. Other columns are ignored.
+
+    The corpus is read once, whatever the number of tests. Test texts of at most ``broadcast_postings`` fingerprints meet the
+    corpus' fingerprints where these are, and nothing of the corpus moves. Larger ones meet them in a shuffle by hash, of
+    those only that pass a filter of bounded size; a hot hash is split. The rows are the same either way.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null and text != ''")
     tests = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null and text != ''").distinct()
-    out = None
-    for block in _blocks(tests):
-        index = documents.sparkSession.sparkContext.broadcast(([r["item_id"] for r in block], [r["text"] for r in block]))
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            ready = Index.of(*index.value)
-            for pdf in batches:
-                ids, texts = pdf["doc_id"].to_numpy(np.int64), pdf["text"].tolist()
-                for i in range(0, len(pdf), 512):
-                    found = search(ready, ids[i : i + 512], texts[i : i + 512], share, density)
-                    if len(found[0]):
-                        yield pd.DataFrame(dict(zip(("doc_id", "item_id", "equal_words", "stretch", "item_words"), found)))
-
-        part = docs.mapInPandas(run, FOUND)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct() if out is not None else documents.sparkSession.createDataFrame([], FOUND)
+    # a number of its own for each text: an id may have several
+    table = durable(_item_table(tests).withColumn("real_id", F.col("item_id")).withColumn("item_id", F.xxhash64("item_id", "item_text")))
+    postings = table.select(F.explode(F.arrays_zip("h", "spot")).alias("p"), "item_id", "size").select("p.h", "p.spot", "item_id", "size")
+    sizes = table.agg(F.coalesce(F.sum(F.size("h")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("bytes"), F.min("size").alias("least")).first()
+    if not sizes["n"]:
+        return documents.sparkSession.createDataFrame([], FOUND)
+    small = sizes["n"] <= broadcast_postings and sizes["bytes"] <= BROADCAST_BYTES
+    bits = documents.sparkSession.sparkContext.broadcast(_filter_bits(postings, sizes["n"]))
+    scanned = _scan(docs, bits, int(least_hits(sizes["least"], share)))
+    texts = table.select("item_id", "real_id", "item_text")
+    if small:
+        met = scanned.join(F.broadcast(postings), "h", "left").where("words is not null or item_id is not null")
+        texts = F.broadcast(texts)
+    else:
+        scanned = durable(scanned)
+        marks = scanned.where("words is null").select("uid", "doc_id", "h", "place")
+        total = marks.count()
+        hot = [r["h"] for r in marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_PARTS > total).collect()]
+        is_hot = F.col("h").isin(hot) if hot else F.lit(False)
+        salted = marks.withColumn("salt", F.when(is_hot, F.pmod("uid", F.lit(SALTS)).cast("int")).otherwise(0))
+        spread = postings.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        hits = salted.join(spread, ["h", "salt"]).select("uid", "doc_id", F.lit(None).cast("string").alias("words"), "place", "item_id", "spot", "size")
+        heads = scanned.where("words is not null").select("uid", "doc_id", "words", F.lit(0).alias("place"), *(F.lit(None).cast(k).alias(c) for c, k in (("item_id", "bigint"), ("spot", "int"), ("size", "int"))))
+        met = heads.unionByName(hits).repartition("uid").sortWithinPartitions("uid", F.col("words").isNull())
+    # no nulls in the numbers: pandas would make them floats, and floats lose digits
+    whole = [F.coalesce(c, F.lit(0)).alias(c) for c in ("item_id", "spot", "size")]
+    windows = met.select("uid", "doc_id", "words", "place", *whole).mapInPandas(_windows(share), "doc_id bigint, item_id bigint, window string")
+    found = windows.join(texts, "item_id").select("doc_id", F.col("real_id").alias("item_id"), "window", "item_text").mapInPandas(_extend(share, density), FOUND)
+    best = F.max(F.struct("stretch", "equal_words", "item_words")).alias("b")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.equal_words", "b.stretch", "b.item_words")

@@ -56,11 +56,33 @@ def test_whole_partly_damaged_and_short_passages(spark):
     assert got == want
     assert rows(L.find_leaks(df.limit(0), tests)) == []
     assert rows(L.find_leaks(df, tests.limit(0))) == []
-    blocks, L.BLOCK_BYTES = L.BLOCK_BYTES, 4000
-    try:
-        assert {(x["doc_id"], x["item_id"]) for x in L.find_leaks(df, tests).collect()} == want
-    finally:
-        L.BLOCK_BYTES = blocks
+    # shuffled to the tests instead: the same rows
+    for parts in (L.HOT_PARTS, 1 << 40):  # also with every fingerprint hot
+        was, L.HOT_PARTS = L.HOT_PARTS, parts
+        try:
+            assert rows(L.find_leaks(df, tests, broadcast_postings=0)) == rows(L.find_leaks(df, tests))
+        finally:
+            L.HOT_PARTS = was
+
+
+def test_passages_of_shared_words_are_found(spark):
+    """Items whose first three fifths use the same thirty words, in another order each: no word there is rare, but the passage is verbatim."""
+    r = random.Random(5)
+    shared = NAMES[:30]
+    items = [(i, " ".join([*(r.choice(shared) for _ in range(30)), *r.sample(NAMES[30:], 20)])) for i in range(60)]
+    docs = [(i, as_cues(text(r, 60).split() + t.split()[:30] + text(r, 60).split(), r)) for i, t in items]
+    got = {(x["doc_id"], x["item_id"]) for x in L.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, i) for i in range(60)}
+
+
+def test_any_cut_of_the_tests_gives_the_same_rows(spark):
+    r = random.Random(9)
+    items = [(i, text(r, r.randint(12, 70))) for i in range(30)]
+    docs = [(d, as_cues(text(r, 80).split() + items[d % 30][1].split()[: 8 + d] + text(r, 80).split(), r)) for d in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    whole = rows(L.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")))
+    cut = [x for k in range(3) for x in rows(L.find_leaks(df, spark.createDataFrame(items[k::3], "item_id bigint, text string")))]
+    assert len(whole) > 20 and sorted(cut, key=repr) == whole
 
 
 def test_winnowing_keeps_a_fingerprint_of_every_long_enough_shared_run():
@@ -78,33 +100,44 @@ def test_alignment_against_a_plain_one():
     for _ in range(40):
         item = [r.randrange(1, 8) for _ in range(r.randint(1, 12))]
         doc = [r.randrange(1, 8) for _ in range(r.randint(1, 20))]
-        weight = [r.choice([1, 2]) for _ in item]
-        score = [[0] * (len(doc) + 1) for _ in range(len(item) + 1)]
-        top = 0
+        # score, equal words, item words of the best alignment that ends at each place, by plain recursion
+        best = [[(0, 0, 0)] * (len(doc) + 1) for _ in range(len(item) + 1)]
         for i, w in enumerate(item, 1):
-            k = weight[i - 1]
             for j, x in enumerate(doc, 1):
-                score[i][j] = max(0, score[i - 1][j - 1] + (L.MATCH * k if x == w else -L.DIFFERENT * k), score[i - 1][j] - L.SKIPPED * k, score[i][j - 1] - L.INSERTED)
-                top = max(top, score[i][j])
-        equal, rare, stretch = L.align(np.array([item]), np.array([weight]), np.array([doc]))
-        assert rare[0] <= equal[0] <= stretch[0] <= len(item)
-        assert (equal[0] > 0) == (top > 0)
+                s, e, n = best[i - 1][j - 1]
+                u, f, m = best[i - 1][j]
+                v, g, k = best[i][j - 1]
+                top = max((s + L.MATCH, e + 1, n + 1) if x == w else (s - L.DIFFERENT, e, n + 1), (u - L.SKIPPED, f, m + 1), (v - L.INSERTED, g, k))
+                best[i][j] = top if top[0] > 0 else (0, 0, 0)
+        equal, stretch, last, end = L.align(np.array([item]), np.array([doc]))
+        top = max(x for row in best for x in row)
+        assert (equal[0], stretch[0]) == top[1:]
+        assert not top[0] or best[last[0] + 1][end[0] + 1] == top
 
 
-def test_plain_and_damaged_passages_little_longer_than_two_fifths():
+def test_plain_and_damaged_passages_little_longer_than_two_fifths(spark):
     r = random.Random(7)
-    items = [text(r, 50).split() for _ in range(60)]
-    # an item's second half has few names: a passage there has fewer rare words than the item on average
-    items = [[*map(r.choice, [NAMES] * 25)] + [r.choice(NAMES if k % 8 == 4 else COMMON) for k in range(25)] for _ in items]
-    index = L.Index.of([*range(60)], [" ".join(w) for w in items])
+    # an item's second half has few names
+    items = [[*map(r.choice, [NAMES] * 25)] + [r.choice(NAMES if k % 8 == 4 else COMMON) for k in range(25)] for _ in range(60)]
     docs, want = [], set()
     for i, w in enumerate(items):
         for kind in range(4):
             part = w[28:] if kind == 0 else w[4:26] if kind == 1 else w[:20] if kind == 2 else w[5:23]
-            if kind == 1:  # the words next to both ends are replaced, a rare one each
+            if kind == 1:  # the words next to both ends are replaced
                 part = [part[0], "qqqqqqq", *part[2:-2], "zzzzzzz", part[-1]]
             if kind < 3:
                 want.add((len(docs), i))
-            docs.append(" ".join(["xyzzyx"] * 30 + part + ["yzxxzy"] * 30))
-    doc, item, *_ = L.search(index, np.arange(len(docs)), docs)
-    assert set(zip(doc.tolist(), item.tolist())) == want
+            docs.append((len(docs), " ".join(["xyzzyx"] * 30 + part + ["yzxxzy"] * 30)))
+    got = L.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want
+
+
+def test_a_document_of_many_batches(spark):
+    """A very long document whose rows fill several batches, in which every item stands, and damage by insertion."""
+    r = random.Random(2)
+    items = [(i, text(r, 40)) for i in range(300)]
+    long = "\n".join(text(r, 30) + " " + t for _ in range(3) for _, t in items)
+    spread = "\n".join(" ".join(x for w in items[0][1].split() for x in (w, "zzz", "yyy")) for _ in range(1))
+    df = spark.createDataFrame([(1, long), (2, spread), (3, items[7][1])], "doc_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in L.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(1, i) for i in range(300)} | {(3, 7)}
