@@ -281,3 +281,20 @@ def test_every_graph_is_ordered(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/flow_event.parquet")
     got = rows(QUERIES["graph_order"](spark, str(tmp_path)))
     assert got == sorted([("1", 1, "a"), ("1", 2, "m"), ("1", 3, "z"), ("2", 1, "w"), ("2", 2, "y"), ("3", 1, "p"), ("3", None, "q"), ("3", None, "r")], key=repr)
+
+
+def test_a_join_of_a_hot_key_is_split(spark):
+    facts = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", "x") for i in range(600)] + [(9999, None, "x")], "id int, k string, v string")
+    dim = spark.createDataFrame([("hot", 1), *((f"k{i}", i) for i in range(0, 600, 6)), (None, 7)], "k string, w int")
+    for how in ("left", "inner"):
+        want = rows(facts.join(dim, ["k"], how).select("id", "k", "v", "w"))
+        got = joins.salted_join(facts, dim, ["k"], how, rows=10)
+        assert rows(got.select("id", "k", "v", "w")) == want and set(got.columns) == {"id", "k", "v", "w"}
+        assert rows(joins.salted_join(facts, dim, ["k"], how).select("id", "k", "v", "w")) == want
+        # the hot key's rows lie in many tasks
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        held = got.where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert held > 1
+    assert rows(joins.salted_join(facts.limit(0), dim, ["k"], rows=10)) == []
+    assert not joins.is_small(dim, rows=10) and not joins.is_small(dim, size=50) and joins.is_small(dim)
