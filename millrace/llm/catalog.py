@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.language import identify
+from millrace.llm.language import document_languages, identify
 from millrace.llm.leakage import find_leaks
 from millrace.llm.packing import assign
 from millrace.sources.tables import table
@@ -45,13 +45,28 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """All segments of documents whose label is missing or wrong, and of those with several segments."""
-    return _segments(spark, d).where("not label_fits or n_segments > 1").select("doc_id", "seg_no", "lang")
+    return _segments(spark, d).where("seg_no > 0 and (not label_fits or n_segments > 1)").select("doc_id", "seg_no", "lang")
 
 
 def p8_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Every segment with its language and confidence."""
+    """Every segment with its language and confidence; segment 0 stands for a document without one."""
     return _segments(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p6_assignment, p6_waste, p7_found, p7_items, p8_found, p8_segments)}
-ORACLE: dict[str, str] = {}
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with text: the language of most of its cues, its confidence, and its number of segments."""
+    return document_languages(_segments(spark, d))
+
+
+def p8_untold(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with text, those of them that have no language, and those whose confidence is no probability: none must be."""
+    told = document_languages(_segments(spark, d)).withColumn("told", F.lit(1))
+    texts = table(spark, d, "documents").where("doc_id is not null and text is not null and text != ''").select("doc_id").distinct()
+    bad = F.col("told").isNotNull() & ~F.coalesce(F.col("confidence").between(0, 1.000001), F.lit(False))
+    return texts.join(told, "doc_id", "left").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("lang").isNull()).alias("n_untold"), F.count_if(bad).alias("n_bad"))
+
+
+QUERIES = {f.__name__: f for f in (p6_assignment, p6_waste, p7_found, p7_items, p8_found, p8_segments, p8_documents, p8_untold)}
+ORACLE: dict[str, str] = {
+    "p8_untold": "SELECT count(DISTINCT doc_id) AS n_documents, 0::BIGINT AS n_untold, 0::BIGINT AS n_bad FROM documents WHERE doc_id IS NOT NULL AND text <> ''",
+}

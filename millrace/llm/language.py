@@ -19,8 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.subtitles import cues, repair_encoding
+from millrace.llm.subtitles import Alphabet, cues
 from millrace.operators.durable import durable
+from millrace.operators.joins import salted_join
 
 #: Labelled rows that the text model is fitted on, at most.
 MAX_SAMPLE = 20_000
@@ -85,6 +86,7 @@ class TextModel:
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.languages = sorted({lang for lang, _ in samples})
+        self.alphabet = Alphabet("".join({c for _, text in samples for c in text}))
         self.words: list[Counter] = [Counter() for _ in self.languages]
         self.runs: list[Counter] = [Counter() for _ in self.languages]
         self.pairs: list[Counter] = [Counter() for _ in self.languages]
@@ -148,7 +150,7 @@ def _relative(sums: np.ndarray) -> np.ndarray:
 
 def cue_scores(scores: WordScores, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     """The cues' scores of many documents end to end, each relative to its best language; the number of cues of each document; the words of each weak cue."""
-    spoken = [cues(repair_encoding(t)) if t else [] for t in texts]
+    spoken = [cues(scores.model.alphabet.repair(t)) if t else [] for t in texts]
     counts = np.array([len(c) for c in spoken], np.int64)
     total = int(counts.sum())
     if not total:
@@ -272,7 +274,8 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
     ``documents``: doc_id, text, lang, source; ``samples``: lang (code), text, of which at most MAX_SAMPLE rows,
     spread evenly over the languages, are read. A segment is a stretch of at least LEAST_CUES spoken cues in one language; sounds, adverts and shorter
     stretches make no segment and end none. ``label_fits``: the label names the language of some segment.
-    A document with a null id or text, an empty one, or one without a segment gives no row. Null labels and sources
+    A document without a segment gives one row of ``seg_no`` 0 with its most likely language: by what it says, if
+    anything, and by label and source. A null id or text, or an empty text, gives no row. Null labels and sources
     give no evidence beyond the corpus. Exact repeated rows give repeated segments. Other columns are ignored.
     """
     labelled = samples.where("lang is not null and text is not null").select("lang", "text")
@@ -314,7 +317,7 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
                     of_doc[j]["at"].append(int(k - offsets[j]))
                     of_doc[j]["words"].append(" ".join(w))
                 out["__weak_at"], out["__weak"] = [x["at"] for x in of_doc], [x["words"] for x in of_doc]
-                yield out[has]
+                yield out
 
     # one byte a cue and language is kept, so that the texts are read once
     read_ = durable(rows.mapInPandas(read, "doc_id bigint, declared string, source string, __lang int, __scores binary, __weak_at array<int>, __weak array<string>"))
@@ -323,7 +326,7 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
     evidence = read_.withColumn("__suffix", F.coalesce(suffix, F.lit("")))
     even = F.array(*[F.lit(1.0 / states)] * states)
     # grouped first by all three, so that the three priors are rolled up from few rows
-    counted = evidence.groupBy("declared", "source", "__suffix", "__lang").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counted = evidence.where("__lang >= 0").groupBy("declared", "source", "__suffix", "__lang").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
     def share(by: list[str], parent: Column, weight: float) -> Column:
         sums = F.array(*(F.sum(F.when(F.col("__lang") == i, F.col("n")).otherwise(0.0)) for i in range(states)))
@@ -340,7 +343,8 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
         .select(F.col("source"), _log_share(F.col("__counts"), F.col("__above"), HOST_WEIGHT).alias("__host"))
     )
     by_label = share(["declared"], top, HOST_WEIGHT).where("declared is not null").withColumnRenamed("__share", "__label")
-    joined = evidence.join(by_source, "source", "left").join(by_label, "declared", "left")
+    # one source, or one label, may hold much of the corpus
+    joined = salted_join(salted_join(evidence, by_source, ["source"]), by_label, ["declared"])
     # corpus x (source / corpus) x (label / corpus)
     prior = F.transform(F.arrays_zip(F.coalesce("__host", top).alias("h"), F.coalesce("__label", top).alias("l"), top.alias("c")), lambda x: F.log(x["h"]) + F.log(x["l"]) - F.log(x["c"]))
     fused = joined.select("doc_id", "declared", "__scores", "__weak_at", "__weak", prior.alias("__prior"))
@@ -361,6 +365,16 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
                 prior -= np.log(np.exp(prior).sum(axis=1, keepdims=True))
                 path = best_paths(scores, counts, prior)
                 doc, lang, first, last, spoken = segments(path, counts)
+                bare = np.setdiff1d(np.arange(len(counts)), doc)
+                if len(bare):
+                    # no segment: all cues together, and the priors
+                    told = prior[bare] + np.array([scores[a : a + n].sum(axis=0) for a, n in zip((np.cumsum(counts) - counts)[bare], counts[bare])])
+                    told = np.exp(_relative(told))
+                    most = told.argmax(axis=1)
+                    own, codes = part.iloc[bare], np.array(names)[most]
+                    yield pd.DataFrame(
+                        {"doc_id": own["doc_id"], "seg_no": 0, "lang": codes, "confidence": told[np.arange(len(bare)), most] / told.sum(axis=1), "n_cues": counts[bare], "declared": own["declared"], "label_fits": codes == own["declared"].to_numpy(), "n_segments": 0}
+                    )
                 if not len(doc):
                     continue
                 belief = np.exp(scores + np.repeat(prior, counts, axis=0))
@@ -380,3 +394,10 @@ def identify(documents: DataFrame, samples: DataFrame) -> DataFrame:
                 )
 
     return fused.mapInPandas(decide, "doc_id bigint, seg_no int, lang string, confidence double, n_cues int, declared string, label_fits boolean, n_segments int")
+
+
+def document_languages(segments_: DataFrame) -> DataFrame:
+    """One row per document of the result of ``identify``: doc_id, lang (of most cues, of equally many the first code), confidence (the mean over its cues), n_segments."""
+    per = segments_.groupBy("doc_id", "lang").agg(F.sum("n_cues").alias("n"), F.sum(F.col("confidence") * F.greatest("n_cues", F.lit(1))).alias("c"), F.sum(F.greatest("n_cues", F.lit(1))).alias("w"), F.max("n_segments").alias("n_segments"))
+    best = F.max_by(F.struct("lang", "c", "w", "n_segments"), F.struct("n", F.lit(1) - F.ascii("lang"), F.lit(0) - F.ascii(F.substring("lang", 2, 1))))
+    return per.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.lang", (F.col("b.c") / F.col("b.w")).alias("confidence"), "b.n_segments")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.subtitles import cues, repair_encoding
+from millrace.llm.subtitles import Alphabet, cues
 from millrace.operators.durable import durable
 
 K, WINDOW = 4, 3
@@ -65,9 +65,9 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.translate(_FOLD).replace("rn", "m").replace("ss", "s"))
 
 
-def document_words(text: str) -> list[str]:
+def document_words(text: str, alphabet: Alphabet) -> list[str]:
     """The words spoken in a document, as written."""
-    spoken = "\n".join(cues(repair_encoding(text)))
+    spoken = "\n".join(cues(alphabet.repair(text)))
     return _WORD.findall(spoken if spoken.isascii() or unicodedata.is_normalized("NFC", spoken) else unicodedata.normalize("NFC", spoken))
 
 
@@ -300,7 +300,7 @@ def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _scan(docs: DataFrame, bits, fewest: int) -> DataFrame:
+def _scan(docs: DataFrame, bits, fewest: int, alphabet: Alphabet) -> DataFrame:
     """The one pass over the corpus. Of each document with enough fingerprints that pass the filter: a row with its words, then a row for each of these."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,7 +309,7 @@ def _scan(docs: DataFrame, bits, fewest: int) -> DataFrame:
         hashes, taken, uid = Hashes(), bits.value, TaskContext.get().partitionId() << 40
         for pdf in batches:
             for i in range(0, len(pdf), 512):
-                split = [document_words(t) for t in pdf["text"].iloc[i : i + 512]]
+                split = [document_words(t, alphabet) for t in pdf["text"].iloc[i : i + 512]]
                 ids = np.fromiter((hashes[w] for s in split for w in s), np.uint64, sum(map(len, split)))
                 lengths = np.array([len(s) for s in split], np.int64)
                 starts = np.cumsum(lengths) - lengths
@@ -428,7 +428,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, den
         return documents.sparkSession.createDataFrame([], FOUND)
     small = sizes["n"] <= broadcast_postings and sizes["bytes"] <= BROADCAST_BYTES
     bits = documents.sparkSession.sparkContext.broadcast(_filter_bits(postings, sizes["n"]))
-    scanned = _scan(docs, bits, int(least_hits(sizes["least"], share)))
+    # the tests' letters beyond ASCII; there are no more than Unicode has
+    beyond = tests.select(F.explode(F.split(F.regexp_replace("text", r"[\x00-\x7f]", ""), "")).alias("c")).where("c != ''").distinct().collect()
+    scanned = _scan(docs, bits, int(least_hits(sizes["least"], share)), Alphabet("".join(sorted(r["c"] for r in beyond))))
     texts = table.select("item_id", "real_id", "item_text")
     if small:
         met = scanned.join(F.broadcast(postings), "h", "left").where("words is not null or item_id is not null")

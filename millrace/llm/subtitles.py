@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import re
 
-# Letters beyond ASCII that the languages at hand write, and marks that subtitles use.
+# Letters beyond ASCII that common languages write, and marks that subtitles use. The texts at hand add theirs.
 _LETTERS = "àâäáãåçèéêëíîïñóôöõòùúûüßœæąćęłńśźżабвгдежзийклмнопрстуфхцчшщъыьэюяё"
 _MARKS = "﻿♪♫¿¡«»“”„‘’–—…№€°·"
-_USUAL = frozenset(_LETTERS + _LETTERS.upper() + "ẞ" + _MARKS + "".join(map(chr, range(128))))
-_UNUSUAL = re.compile("[^" + re.escape("".join(sorted(_USUAL))) + "]")
 _BEYOND = re.compile(r"[\w\u0080-\U0010ffff]*[^\x00-\x7f][\w\u0080-\U0010ffff]*")
 _MISPLACED_CAPITAL = re.compile(r"[À-ÝŁŚŻĄĘĆŃŹ](?<=[a-z].)")
 #: A capital with an accent after a small letter: usual letters in an unusual place.
@@ -33,29 +31,39 @@ def _to_bytes(codec: str) -> dict[int, str]:
 _BACK = {wrong: _to_bytes(wrong) for wrong, _ in _MISREADINGS}
 
 
-def _oddness(text: str) -> int:
-    """The number of characters that no language at hand writes, or not in such places."""
-    return sum(map(text.count, set(text) - _USUAL)) + 4 * text.count("�") + len(_MISPLACED.findall(text))
-
-
-def repair_encoding(text: str) -> str:
-    """``text`` as it was written, if it was read in a wrong encoding; the reading with the fewest odd characters wins, none if no reading is much better."""
-    if text.isascii() or not (_UNUSUAL.search(text) or _MISPLACED_CAPITAL.search(text)):
-        return text
-    body = text.lstrip("﻿")
-    # a reading is judged by the words that aren't plain ASCII: the others are the same in every reading
-    sample = " ".join(_BEYOND.findall(body))
-    best, least = None, _oddness(sample)
-    for wrong, right in _MISREADINGS:
-        read = _read_again(sample, wrong, right)
-        if read is None:
-            continue
-        odd = _oddness(read) + read.count("?")
-        if odd < least * 0.7:
-            best, least = (wrong, right), odd
-            if odd * 20 < len(read):
-                break
-    return (best and _read_again(body, *best)) or text
+class Alphabet:
+    """What letters are usual, so that a text read in a wrong encoding can be told: those of common languages and ``letters``, as sample texts hold them."""
+
+    def __init__(self, letters: str = ""):
+        own = _LETTERS + "".join(sorted({x for c in letters if c.isalpha() and not c.isascii() for x in c.lower() + c.upper()}))
+        self.usual = frozenset(own + own.upper() + "ẞ" + _MARKS + "".join(map(chr, range(128))))
+        self.unusual = re.compile("[^" + re.escape("".join(sorted(self.usual))) + "]")
+
+    def __reduce__(self):
+        return Alphabet, ("".join(sorted(c for c in self.usual if c.isalpha() and not c.isascii())),)
+
+    def oddness(self, text: str) -> int:
+        """The number of characters that aren't usual, or not in such places."""
+        return sum(map(text.count, set(text) - self.usual)) + 4 * text.count("�") + len(_MISPLACED.findall(text))
+
+    def repair(self, text: str) -> str:
+        """``text`` as it was written, if it was read in a wrong encoding; the reading with the fewest odd characters wins, none if no reading is much better."""
+        if text.isascii() or not (self.unusual.search(text) or _MISPLACED_CAPITAL.search(text)):
+            return text
+        body = text.lstrip("﻿")
+        # a reading is judged by the words that aren't plain ASCII: the others are the same in every reading
+        sample = " ".join(_BEYOND.findall(body))
+        best, least = None, self.oddness(sample)
+        for wrong, right in _MISREADINGS:
+            read = _read_again(sample, wrong, right)
+            if read is None:
+                continue
+            odd = self.oddness(read) + read.count("?")
+            if odd < least * 0.7:
+                best, least = (wrong, right), odd
+                if odd * 20 < len(read):
+                    break
+        return (best and _read_again(body, *best)) or text
 
 
 def _read_again(text: str, wrong: str, right: str) -> str | None:
@@ -69,19 +77,27 @@ _FRAMES = re.compile(r"^﻿?\{\d*\}\{\d*\}", re.M)
 _TAGS = re.compile(r"</?\w[^<>\n]{0,60}>|\{\\[^{}\n]{0,40}\}")
 _BROKEN = re.compile(r"(?<=\w)-\n[ \t]*(?=\w)")
 _SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|♪[^♪]*(?:♪|\Z)|(?<!\w)\*[^*]+\*")
-# How adverts in subtitle files begin, and what their addresses look like.
-_PITCHES = ("subtitles by", "sync and corrections", "rate this file", "watch any film", "support us and", "your product here")
-_ADDRESS = re.compile(r"\.\s?(?:e\s?x\s?a\s?m\s?p\s?l\s?e\b|i\s?n\s?v\s?a\s?l\s?i\s?d\b|com\b|net\b|org\b)|://|www\.", re.I)
-_FRAMED = re.compile(r"\s*(?:~.*\bteam\b|-=.*=-)", re.I | re.S)
+# How credits begin, and top-level names of web addresses.
+_CREDITS = ("subtitles by", "sync and corrections", "synced by", "translated by")
+_TOP = "com|net|org|info|biz|tv|io|example|invalid|test"
+#: A known top-level name, or a dot inside a word, where prose would have a space or a capital; or letters set apart after one.
+_HOST = re.compile(rf"\.(?:(?<=\w\w\.)[a-z]{{2}}|\s?(?i:{_TOP})\b)")
+_MAYBE_HOST = re.compile(rf"{_HOST.pattern}|\.\s\w\s\w\b")
+_SPACED = re.compile(r"(?<!\S)(\S)\s(?=\S)")
+_FRAMED = re.compile(r"\s*(?:~.*\bteam\b|-=.*=-)", re.S)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-_HINTS = ("example", "x a m p l e", "invalid", "v a l i d", ".com", ".net", ".org", "www.", "://")
+def _signs(low: str) -> bool:
+    return "://" in low or "www" in low or "@" in low
 
 
 def is_advert(cue: str) -> bool:
+    """A cue that names a web address, also with its letters set apart, or is a credit."""
     low = cue.lower()
-    return low.startswith(_PITCHES) or (any(h in low for h in _HINTS) and bool(_ADDRESS.search(low))) or (cue[:1] in "~-" and bool(_FRAMED.match(cue)))
+    if low.startswith(_CREDITS) or (low[:1] in "~-" and _FRAMED.match(low)) or _signs(low):
+        return True
+    return bool(_MAYBE_HOST.search(cue)) and bool(_HOST.search(cue) or _HOST.search(_SPACED.sub(r"\1", cue)))
 
 
 def _timed(lines: list[str]) -> list[str]:
@@ -122,7 +138,7 @@ def cues(text: str) -> list[str]:
     else:
         parts = text.split("\n")
     low = text.lower()
-    adverts = "~" in low or "-=" in low or any(h in low for h in _HINTS) or any(x in low for x in _PITCHES)
+    adverts = "~" in low or "-=" in low or any(x in low for x in _CREDITS) or _signs(low) or bool(_MAYBE_HOST.search(text))
     sounds = "[" in text or "(" in text or "♪" in text or "*" in text
     out = []
     for p in parts:

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 
 from millrace.llm import language as L
-from millrace.llm.subtitles import cues, repair_encoding
+from millrace.llm.subtitles import Alphabet, cues
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,13 +44,23 @@ def test_segments_labels_and_odd_documents(spark, samples):
     for r in L.identify(df, samples).collect():
         got.setdefault(r["doc_id"], []).append((r["seg_no"], r["lang"], r["label_fits"]))
         assert 0 < r["confidence"] <= 1
-    want = {1: [(1, "en", True)], 2: [(1, "en", False)], 3: [(1, "en", True), (2, "de", True)], 4: [(1, "en", True)], 6: [(1, "de", False), (2, "pl", False)], 10: [(1, "pl", True)], 11: [(1, "pl", False)], 12: [(1, "de", False)]}
+    # 5 has two cues and 9 none: no segment, but a language
+    want = {5: [(0, "en", False)], 9: [(0, "en", True)], 1: [(1, "en", True)], 2: [(1, "en", False)], 3: [(1, "en", True), (2, "de", True)], 4: [(1, "en", True)], 6: [(1, "de", False), (2, "pl", False)], 10: [(1, "pl", True)], 11: [(1, "pl", False)], 12: [(1, "de", False)]}
     assert {k: sorted(v) for k, v in got.items()} == want
+    told = {r["doc_id"]: (r["lang"], r["n_segments"]) for r in L.document_languages(L.identify(df, samples)).collect()}
+    assert {*told} == {*want} and told[5] == ("en", 0) and told[2] == ("en", 1) and told[3][1] == 2
     assert rows(L.identify(df.limit(0), samples)) == []
     with pytest.raises(ValueError):
         L.identify(df, samples.limit(0))
 
 
+def test_letters_of_the_samples_are_usual():
+    text = "Příliš žluťoučký kůň úpěl ďábelské ódy"
+    assert Alphabet().oddness(text) > 0 == Alphabet(text).oddness(text)
+    assert Alphabet(text).repair(text) == text
+    assert Alphabet(text).repair(text.encode("utf-8").decode("cp437")) == text
+
+
 def brute_segments(path):
     runs = []
     for x in path:
@@ -105,13 +115,13 @@ def test_cues_leave_out_what_isnt_spoken():
 def test_encodings_are_repaired(wrong, right):
     text = "Zauważył zieloną łódź nad rzeką. Później zgubił żółty klucz." if right != "cp1252" else "El niño pequeño abrió el farol. ¿Quién lo olvidó? Mañana llegará después."
     broken = "".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in text.encode(right))
-    assert repair_encoding(broken) == text
-    assert repair_encoding(text) == text
+    assert Alphabet().repair(broken) == text
+    assert Alphabet().repair(text) == text
 
 
 def test_russian_read_as_latin():
     text = "Старый садовник нашёл три старые карты возле колодца."
-    assert repair_encoding(text.encode("cp1251").decode("latin-1")) == text
+    assert Alphabet().repair(text.encode("cp1251").decode("latin-1")) == text
 
 
 def test_more_words_in_weak_cues_of_one_task_than_the_first_table_holds(spark, samples):
