@@ -1,4 +1,4 @@
-"""Queries p1_ to p5_: the general operators for pipeline data over the supplied tables."""
+"""Queries p1_, p2_, p4_ and p5_: the general operators for pipeline data over the supplied tables."""
 
 from __future__ import annotations
 
@@ -9,14 +9,11 @@ from millrace.operators.durable import durable
 from millrace.operators.grid import regular_grid
 from millrace.operators.hotkeys import dominating_values, key_quantiles, key_totals
 from millrace.operators.intervals import merge_intervals
-from millrace.operators.quantiles import combine, read_quantiles, summarize
 from millrace.operators.shred import Shape, entity_table, shred, with_owner
 from millrace.sources.tables import micros, table
 
 SLOT_US = 10_000_000
 GAP_LIMIT_US = 60_000_000
-PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-RANK_ERROR = 0.01
 
 
 def _all_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -102,33 +99,6 @@ def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select(F.col("record_id").alias("flow_run_id"), F.coalesce("block_name", "map_key").alias("block_name"), "block_type", "state", F.expr("try_cast(consumed as bigint)").alias("items_consumed"), F.expr("try_cast(produced as bigint)").alias("items_produced")).distinct()
 
 
-def _payments(spark: SparkSession, d: str) -> DataFrame:
-    """Each payment_id once, with the region of its invoice and its day."""
-    paid = table(spark, d, "payment").where("payment_id is not null and gross_amount is not null and invoice_id is not null")
-    once = paid.groupBy("payment_id").agg(F.min(F.struct("invoice_id", F.col("gross_amount").alias("amount"), "paid_at")).alias("p")).select("p.*")
-    regions = table(spark, d, "invoice").where("id is not null and region is not null").groupBy(F.col("id").alias("invoice_id")).agg(F.min("region").alias("region"))
-    return once.join(regions, "invoice_id").select(F.lit("gross_amount").alias("field"), F.col("region").alias("group_value"), F.col("amount").cast("double").alias("v"), F.date_trunc("day", "paid_at").cast("string").alias("day"))
-
-
-def _throughput(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "benchmark_result").where("result_id is not null and library is not null and throughput_per_sec is not null")
-    once = runs.groupBy("result_id").agg(F.min(F.struct("library", "throughput_per_sec", "run_at")).alias("r")).select("r.*")
-    return once.select(F.lit("throughput_per_sec").alias("field"), F.col("library").alias("group_value"), F.col("throughput_per_sec").alias("v"), F.date_trunc("day", "run_at").cast("string").alias("day"))
-
-
-def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of gross_amount per region and of throughput_per_sec per library, with their proven rank error."""
-    values = _payments(spark, d).unionByName(_throughput(spark, d))
-    return read_quantiles(summarize(values, ["field", "group_value"], "v", RANK_ERROR), ["field", "group_value"], PROBS)
-
-
-def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
-    """The same from summaries made for each day apart and then combined. A row without a day goes to a day of its own."""
-    values = _payments(spark, d).unionByName(_throughput(spark, d)).fillna({"day": ""})
-    daily = summarize(values, ["field", "group_value", "day"], "v", RANK_ERROR)
-    return read_quantiles(combine(daily, ["field", "group_value"], RANK_ERROR), ["field", "group_value"], PROBS)
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The customers and lanes that stand in at least one twentieth of their table's rows."""
     one = dominating_values(table(spark, d, "invoice"), "customer").select(F.lit("customer").alias("field"), "key_value")
@@ -165,7 +135,7 @@ def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(_readings(spark, d), _SERIES, "at_us", "current_count", SLOT_US, GAP_LIMIT_US)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_entries, p2_blocks, p3_percentiles, p3_combined_days, p4_found, p4_totals, p4_quantiles, p5_found, p5_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_entries, p2_blocks, p4_found, p4_totals, p4_quantiles, p5_found, p5_grid)}
 
 _P1_SPANS = """
 WITH rows_ AS (
