@@ -1,4 +1,4 @@
-"""Queries p6_ to p8_: the operators on text over the supplied tables. They have no SQL; the tests hold them against brute force."""
+"""Queries p3_ and p6_ to p8_ over the supplied tables. What SQL can't give has a query beside it that says how far the result holds, and that has SQL."""
 
 from __future__ import annotations
 
@@ -8,8 +8,59 @@ from pyspark.sql import functions as F
 from millrace.llm.language import document_languages, identify
 from millrace.llm.leakage import find_leaks
 from millrace.llm.packing import assign
+from millrace.llm.quantiles import combine, read_quantiles, summarize
+from millrace.operators.joins import small_side
 from millrace.sources.tables import table
 
+PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+RANK_ERROR = 0.01
+
+
+def _payments(spark: SparkSession, d: str) -> DataFrame:
+    """Each payment_id once, with the region of its invoice and its day."""
+    paid = table(spark, d, "payment").where("payment_id is not null and gross_amount is not null and invoice_id is not null")
+    once = paid.groupBy("payment_id").agg(F.min(F.struct("invoice_id", F.col("gross_amount").alias("amount"), "paid_at")).alias("p")).select("p.*")
+    regions = table(spark, d, "invoice").where("id is not null and region is not null").groupBy(F.col("id").alias("invoice_id")).agg(F.min("region").alias("region"))
+    return once.join(regions, "invoice_id").select(F.lit("gross_amount").alias("field"), F.col("region").alias("group_value"), F.col("amount").cast("double").alias("v"), F.date_trunc("day", "paid_at").cast("string").alias("day"))
+
+
+def _throughput(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "benchmark_result").where("result_id is not null and library is not null and throughput_per_sec is not null")
+    once = runs.groupBy("result_id").agg(F.min(F.struct("library", "throughput_per_sec", "run_at")).alias("r")).select("r.*")
+    return once.select(F.lit("throughput_per_sec").alias("field"), F.col("library").alias("group_value"), F.col("throughput_per_sec").alias("v"), F.date_trunc("day", "run_at").cast("string").alias("day"))
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    return _payments(spark, d).unionByName(_throughput(spark, d))
+
+
+def p3_daily(spark: SparkSession, d: str) -> DataFrame:
+    """The summaries of each day, group and field, as a pipeline stores them to combine them later. A row without a day goes to a day of its own."""
+    return summarize(_values(spark, d).fillna({"day": ""}), ["field", "group_value", "day"], "v", RANK_ERROR)
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of gross_amount per region and of throughput_per_sec per library, with their proven rank error."""
+    return read_quantiles(summarize(_values(spark, d), ["field", "group_value"], "v", RANK_ERROR), ["field", "group_value"], PROBS)
+
+
+def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the summaries of each day, combined."""
+    return read_quantiles(combine(p3_daily(spark, d), ["field", "group_value"], RANK_ERROR), ["field", "group_value"], PROBS)
+
+
+def p3_outside(spark: SparkSession, d: str) -> DataFrame:
+    """Per group the values that count, and the percentiles of ``p3_combined_days`` whose true rank lies outside the bound given with them: none may."""
+    told = small_side(p3_combined_days(spark, d).select("field", "group_value", "prob", F.col("value").alias("told"), "n_values", "off_ranks", "rank_error"))
+    values = _values(spark, d).where("v is not null and not isnan(v) and abs(v) < double('infinity') and group_value is not null")
+    ranks = values.join(told, ["field", "group_value"]).groupBy("field", "group_value", "prob").agg(
+        F.count_if(F.col("v") < F.col("told")).alias("below"), F.count_if(F.col("v") <= F.col("told")).alias("upto"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("n_values", "off_ranks", "rank_error"))
+    )
+    sought = F.greatest(F.lit(1), F.ceil(F.col("prob") * F.col("n")))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - sought, sought - F.col("upto"))
+    bad = (off > F.col("off_ranks")) | (F.col("rank_error") > RANK_ERROR) | (F.col("off_ranks") > RANK_ERROR * F.col("n") + 1) | (F.col("n") != F.col("n_values"))
+    return ranks.groupBy("field", "group_value").agg(F.max("n").alias("n_values"), F.count(F.lit(1)).alias("n_percentiles"), F.count_if(bad).alias("n_outside"))
+
 
 def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Every document's containers for each capacity."""
@@ -66,7 +117,12 @@ def p8_untold(spark: SparkSession, d: str) -> DataFrame:
     return texts.join(told, "doc_id", "left").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("lang").isNull()).alias("n_untold"), F.count_if(bad).alias("n_bad"))
 
 
-QUERIES = {f.__name__: f for f in (p6_assignment, p6_waste, p7_found, p7_items, p8_found, p8_segments, p8_documents, p8_untold)}
+QUERIES = {f.__name__: f for f in (p3_daily, p3_percentiles, p3_combined_days, p3_outside, p6_assignment, p6_waste, p7_found, p7_items, p8_found, p8_segments, p8_documents, p8_untold)}
 ORACLE: dict[str, str] = {
+    "p3_outside": """WITH p AS (SELECT payment_id, min(invoice_id) AS invoice_id FROM payment WHERE payment_id IS NOT NULL AND gross_amount IS NOT NULL AND invoice_id IS NOT NULL GROUP BY payment_id),
+i AS (SELECT id, min(region) AS region FROM invoice WHERE id IS NOT NULL AND region IS NOT NULL GROUP BY id),
+b AS (SELECT result_id, min(library) AS library FROM benchmark_result WHERE result_id IS NOT NULL AND library IS NOT NULL AND throughput_per_sec IS NOT NULL AND isfinite(throughput_per_sec) GROUP BY result_id)
+SELECT 'gross_amount' AS field, region AS group_value, count(*) AS n_values, 6::BIGINT AS n_percentiles, 0::BIGINT AS n_outside FROM p JOIN i ON invoice_id = id GROUP BY region
+UNION ALL SELECT 'throughput_per_sec', library, count(*), 6, 0 FROM b GROUP BY library""",
     "p8_untold": "SELECT count(DISTINCT doc_id) AS n_documents, 0::BIGINT AS n_untold, 0::BIGINT AS n_bad FROM documents WHERE doc_id IS NOT NULL AND text <> ''",
 }
