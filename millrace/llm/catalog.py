@@ -9,6 +9,7 @@ from millrace.llm.language import document_languages, identify
 from millrace.llm.leakage import find_leaks
 from millrace.llm.packing import assign
 from millrace.llm.quantiles import combine, read_quantiles, summarize
+from millrace.operators.durable import durable
 from millrace.operators.joins import small_side
 from millrace.sources.tables import table
 
@@ -76,6 +77,17 @@ def p6_waste(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_broken(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity the documents assigned, containers over the capacity, texts split though they fit or into more pieces than they need, and texts of another length than for another capacity: none must be."""
+    placed = durable(p6_assignment(spark, d).join(F.broadcast(table(spark, d, "pack_spec")), "spec_id"))
+    over = placed.groupBy("spec_id", "container_id", "capacity").agg(F.sum("n_tokens").alias("n")).groupBy("spec_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_overfull"))
+    texts = placed.groupBy("spec_id", "capacity", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    lengths = texts.groupBy("doc_id").agg((F.min("n") != F.max("n")).alias("differs"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity")))
+    split = texts.join(lengths, "doc_id").groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("pieces") != needed).alias("n_wrongly_split"), F.count_if("differs").alias("n_differing"))
+    return split.join(over, "spec_id").select("spec_id", "n_documents", "n_overfull", "n_wrongly_split", "n_differing")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_item").select("item_id", "text"))
 
@@ -85,6 +97,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("doc_id", "item_id")
 
 
+def _spoken(text):
+    """A text in lower case with its words one space apart, without the lines of numbers and times of subtitle files."""
+    flat = F.regexp_replace(F.translate(F.lower(text), "\r\u2028\u2029\u0085", "\n\n\n\n"), r"(?m)^[0-9:.,> \t-]*$", " ")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(flat, r"[^a-zà-ÿа-яёąćęłńóśźżœ0-9]+", " ")), F.lit(" "))
+
+
+def p7_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """The documents and items found of which the document holds the item's text whole and word by word. SQL finds them by looking for each item in each document."""
+    docs = table(spark, d, "documents").select("doc_id", _spoken(F.col("text")).alias("doc_text"))
+    items = table(spark, d, "eval_item").select("item_id", _spoken(F.col("text")).alias("item_text"))
+    return p7_found(spark, d).join(docs, "doc_id").join(small_side(items), "item_id").where(F.contains("doc_text", "item_text")).select("doc_id", "item_id")
+
+
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """Per leaked test item: the documents that hold it and the widest share of it found."""
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max(F.col("stretch") / F.col("item_words")).alias("widest_share"))
@@ -117,12 +142,19 @@ def p8_untold(spark: SparkSession, d: str) -> DataFrame:
     return texts.join(told, "doc_id", "left").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("lang").isNull()).alias("n_untold"), F.count_if(bad).alias("n_bad"))
 
 
-QUERIES = {f.__name__: f for f in (p3_daily, p3_percentiles, p3_combined_days, p3_outside, p6_assignment, p6_waste, p7_found, p7_items, p8_found, p8_segments, p8_documents, p8_untold)}
+QUERIES = {f.__name__: f for f in (p3_daily, p3_percentiles, p3_combined_days, p3_outside, p6_assignment, p6_waste, p6_broken, p7_found, p7_items, p7_verbatim, p8_found, p8_segments, p8_documents, p8_untold)}
 ORACLE: dict[str, str] = {
     "p3_outside": """WITH p AS (SELECT payment_id, min(invoice_id) AS invoice_id FROM payment WHERE payment_id IS NOT NULL AND gross_amount IS NOT NULL AND invoice_id IS NOT NULL GROUP BY payment_id),
 i AS (SELECT id, min(region) AS region FROM invoice WHERE id IS NOT NULL AND region IS NOT NULL GROUP BY id),
 b AS (SELECT result_id, min(library) AS library FROM benchmark_result WHERE result_id IS NOT NULL AND library IS NOT NULL AND throughput_per_sec IS NOT NULL AND isfinite(throughput_per_sec) GROUP BY result_id)
 SELECT 'gross_amount' AS field, region AS group_value, count(*) AS n_values, 6::BIGINT AS n_percentiles, 0::BIGINT AS n_outside FROM p JOIN i ON invoice_id = id GROUP BY region
 UNION ALL SELECT 'throughput_per_sec', library, count(*), 6, 0 FROM b GROUP BY library""",
+    "p6_broken": """SELECT spec_id, count(DISTINCT doc_id) AS n_documents, 0::BIGINT AS n_overfull, 0::BIGINT AS n_wrongly_split, 0::BIGINT AS n_differing
+FROM pack_spec, documents WHERE doc_id IS NOT NULL AND capacity > 0 GROUP BY spec_id""",
+    "p7_verbatim": r"""WITH d AS (SELECT doc_id, regexp_replace(translate(lower(text), chr(13) || chr(8232) || chr(8233) || chr(133), chr(10) || chr(10) || chr(10) || chr(10)), '(?m)^[0-9:.,> \t-]*$', ' ', 'g') AS t FROM documents),
+i AS (SELECT item_id, regexp_replace(translate(lower(text), chr(13) || chr(8232) || chr(8233) || chr(133), chr(10) || chr(10) || chr(10) || chr(10)), '(?m)^[0-9:.,> \t-]*$', ' ', 'g') AS t FROM eval_item),
+dd AS (SELECT doc_id, ' ' || trim(regexp_replace(t, '[^a-zà-ÿа-яёąćęłńóśźżœ0-9]+', ' ', 'g')) || ' ' AS t FROM d),
+ii AS (SELECT item_id, ' ' || trim(regexp_replace(t, '[^a-zà-ÿа-яёąćęłńóśźżœ0-9]+', ' ', 'g')) || ' ' AS t FROM i)
+SELECT DISTINCT doc_id, item_id FROM dd, ii WHERE contains(dd.t, ii.t)""",
     "p8_untold": "SELECT count(DISTINCT doc_id) AS n_documents, 0::BIGINT AS n_untold, 0::BIGINT AS n_bad FROM documents WHERE doc_id IS NOT NULL AND text <> ''",
 }

@@ -1,14 +1,17 @@
 """Texts of varying length into containers of fixed capacity with little unused space (problem 6).
 
-Method: bin completion with branch and bound. The largest text left is put into a container and the fillings
-around it that no other filling dominates are enumerated, the least waste first; waste bounds cut branches, and
-best-fit solutions are the incumbents to beat. Texts meet in lots of a bounded number, so each lot is solved in one
-task and a corpus of any size in as many tasks; a lot leaves at most its last containers partly filled.
+Method: bin completion with branch and bound. Best fit gives the first solution of a lot. While that has more
+containers than the lower bound, a search tries to pack some of its containers, drawn from the whole lot, into one
+fewer: the largest text left is put into a container, the fillings around it of any number of texts that no other
+filling dominates are enumerated, the least waste first, and a branch ends where its waste exceeds what one fewer
+container leaves free. Texts meet in lots of a bounded number, so each lot is solved in one task and a corpus of any
+size in as many tasks; a lot leaves at most its last containers partly filled.
 """
 
 from __future__ import annotations
 
 import base64
+import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,8 +29,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of a lot, on average.
 LOT = 4_000
-#: Texts whose containers are solved again by branch and bound, and the branches tried.
-EXACT_ITEMS, EXACT_NODES = 32, 4_000
+#: A search is over so many texts, or as many more as its lower bound needs, up to four times as many; it opens so many containers, and tries so many fillings of each.
+WINDOW, NODES, WIDTH = 250, 120, 4
+#: Searches of a lot at most, and how many may fail in a row.
+ROUNDS, MISSES = 16, 4
 
 
 @lru_cache(maxsize=4)
@@ -39,27 +44,28 @@ def _encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Characters encoded at a time; longer texts are cut before a space, where the tokenizer cuts too.
+#: Characters encoded at a time; longer texts are cut between two of the tokenizer's own pieces. A longer piece is encoded whole.
 SLICE = 1 << 16
 
 
+@lru_cache(maxsize=1)
+def _pieces():
+    import regex
+
+    return regex.compile(PATTERN)
+
+
 def count_tokens(encoding, text: str | None) -> int:
+    """The tokens of the whole text, as many as the tokenizer gives for it at once."""
     if not text:
         return 0
     if len(text) <= SLICE:
         return len(encoding.encode_ordinary(text))
     total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + SLICE)
-        if end < len(text):
-            cut = text.rfind(" ", at + SLICE // 2, end)
-            # a cut before a single space that follows a letter or digit is one the tokenizer makes as well
-            while cut > 0 and not (text[cut - 1].isalnum() and text[cut + 1 : cut + 2].isalnum()):
-                cut = text.rfind(" ", at + SLICE // 2, cut)
-            end = cut if cut > at else end
-        total += len(encoding.encode_ordinary(text[at:end]))
-        at = end
-    return total
+    for piece in _pieces().finditer(text):
+        if piece.end() - at >= SLICE:
+            total, at = total + len(encoding.encode_ordinary(text[at : piece.end()])), piece.end()
+    return total + len(encoding.encode_ordinary(text[at:]))
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -111,150 +117,143 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-class _Left:
-    """The items left, by size, with the largest size that fits any room at hand."""
-
-    def __init__(self, sizes: list[int], capacity: int):
-        self.count = np.bincount(np.array(sizes, np.int64), minlength=capacity + 1)
-        have = np.where(self.count > 0, np.arange(capacity + 1), 0)
-        self.fits = np.maximum.accumulate(have)  # room -> largest size left that fits it, 0 if none
-
-    def take(self, size: int) -> None:
-        self.count[size] -= 1
-        if not self.count[size]:
-            below = self.fits[size - 1] if size else 0
-            end = size + int(np.searchsorted(self.fits[size:], size, "right"))
-            self.fits[size:end] = below
-
-    def fillings(self, room: int) -> list[int]:
-        """The sizes, three at most, that leave the least waste; of equal waste those with the largest item, which dominates."""
-        one = int(self.fits[room])
-        if one == room or not one:
-            return [one] if one else []
-        best, waste = [one], room - one
-        first = np.flatnonzero(self.count[1 : one + 1]) + 1
-        first = first[::-1]
-        second = self.fits[np.minimum(room - first, first)]
-        twice = (second == first) & (self.count[first] < 2)
-        second = np.where(twice, self.fits[np.maximum(first - 1, 0)], second)
-        second = np.where(second <= room - first, second, 0)
-        left = room - first - second
-        at = int(left.argmin())
-        if second[at] and left[at] < waste:
-            best, waste = [int(first[at]), int(second[at])], int(left[at])
-        if waste:
-            # a third item beside the pairs that leave room for one
-            usable = (second > 0) & (left > 0)
-            third = self.fits[np.minimum(left, second)]
-            used = (third == first).astype(np.int64) + (third == second)
-            third = np.where(usable & (self.count[third] > used), third, 0)
-            rest = np.where(third > 0, left - third, room)
-            at = int(rest.argmin())
-            if rest[at] < waste:
-                best = [int(first[at]), int(second[at]), int(third[at])]
-        return best
-
-
-def completion(sizes: list[int], capacity: int) -> list[list[int]]:
-    """One descent of bin completion: around the largest item left, large items while several fit, then the filling with the least waste."""
-    by_size: dict[int, list[int]] = {}
-    for i, s in enumerate(sizes):
-        by_size.setdefault(s, []).append(i)
-    left, remaining, bins = _Left(sizes, capacity), len(sizes), []
-    left.count[0] = 0
-    while remaining:
-        size = int(left.fits[capacity])
-        now, room = [size], capacity - size
-        left.take(size)
-        while room:
-            largest = int(left.fits[room])
-            if not largest:
-                break
-            if largest * 4 <= room:
-                chosen = [largest]
-            else:
-                chosen = left.fillings(room)
-            for s in chosen:
-                left.take(s)
-                now.append(s)
-                room -= s
-        remaining -= len(now)
-        bins.append([by_size[s].pop() for s in now])
-    return bins
-
+def fillings(sizes: list[int], room: int, most: int, width: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, places) of up to ``width`` fillings of ``room`` by some of ``sizes`` (from large to small) that waste at most ``most``; least waste first, of equal waste larger sizes first.
 
-def branch_and_bound(sizes: list[int], capacity: int, target: int, nodes: int = EXACT_NODES) -> list[list[int]] | None:
-    """A packing of a few items into at most ``target`` containers, or None if none was found within ``nodes`` branches."""
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    A number whose bits are the sums that the sizes from a place on can make tells which branches end in a filling, so none is entered in vain.
+    """
+    n, mask = len(sizes), (1 << (room + 1)) - 1
+    sums = [1] * (n + 1)
+    for k in range(n - 1, -1, -1):
+        sums[k] = (sums[k + 1] | (sums[k + 1] << sizes[k])) & mask
+    found = 0
+    for waste in range(min(most, room) + 1):
+        if not (sums[0] >> (room - waste)) & 1:
+            continue
+        todo: list[tuple[int, int, tuple[int, ...]]] = [(0, room - waste, ())]
+        while todo:
+            k, left, chosen = todo.pop()
+            if not left:
+                yield waste, chosen
+                found += 1
+                if found == width:
+                    return
+                continue
+            ways, last = [], -1
+            while k < n and len(ways) < width and (sums[k] >> left) & 1:
+                s = sizes[k]
+                if s != last and s <= left and (sums[k + 1] >> (left - s)) & 1:
+                    ways.append((k + 1, left - s, (*chosen, k)))
+                    last = s
+                k += 1
+            todo.extend(reversed(ways))
+
+
+def dominated(chosen: list[int], left: dict[int, int], waste: int) -> bool:
+    """Whether a size left out could stand for one or two of those chosen, and waste no more: such a filling needn't be tried, as what it frees is no harder to place. ``left``: size -> how many there are in all."""
+    for i, a in enumerate(chosen):
+        if any(left.get(a + d, 0) > chosen.count(a + d) for d in range(1, waste + 1)):
+            return True
+        for b in chosen[i + 1 :]:
+            if any(left.get(a + b + d, 0) > chosen.count(a + b + d) for d in range(waste + 1)):
+                return True
+    return False
+
+
+def branch_and_bound(sizes: list[int], capacity: int, target: int, nodes: int = NODES, width: int = WIDTH) -> list[list[int]] | None:
+    """The items' numbers in at most ``target`` containers, or None if ``nodes`` containers opened and ``width`` fillings of each have shown no such packing."""
     slack = target * capacity - sum(sizes)
     if slack < 0:
         return None
-    left = nodes
-
-    def fillings(items: list[int], room: int) -> Iterator[tuple[int, list[int]]]:
-        """Undominated fillings, least waste first: a set is dropped if an item left out could replace one of it and waste less."""
-        found: list[tuple[int, list[int]]] = []
-
-        def grow(k: int, chosen: list[int], free: int) -> None:
-            if len(found) > 200:
-                return
-            fits = False
-            last = -1
-            for j in range(k, len(items)):
-                s = sizes[items[j]]
-                if s <= free and s != last:
-                    fits, last = True, s
-                    grow(j + 1, [*chosen, items[j]], free - s)
-            if not fits:
-                taken = set(chosen)
-                spare = [sizes[i] for i in items if i not in taken]
-                if not any(0 < t - sizes[i] <= free for i in chosen for t in spare):
-                    found.append((free, chosen))
-
-        grow(0, [], room)
-        yield from sorted(found, key=lambda x: (x[0], len(x[1])))
-
-    def descend(items: list[int], wasted: int) -> list[list[int]] | None:
-        nonlocal left
-        if not items:
-            return []
-        first, rest = items[0], items[1:]
-        for waste, chosen in fillings(rest, capacity - sizes[first]):
-            if wasted + waste > slack:
-                return None  # the others waste more
-            left -= 1
-            if left < 0:
-                return None
-            taken = set(chosen)
-            below = descend([i for i in rest if i not in taken], wasted + waste)
-            if below is not None:
-                return [[first, *chosen], *below]
+    opened = 0
+    # a container is open at each step: its first item, the items after it, what may still be wasted, the fillings left to try
+    steps: list[tuple[int, list[int], int, Iterator]] = []
+    packed: list[list[int]] = []
+    items, free = sorted(range(len(sizes)), key=lambda i: -sizes[i]), slack
+    while True:
+        if sum(sizes[i] for i in items) <= capacity and (len(packed) < target or not items):
+            return [*packed, items] if items else packed
+        if len(packed) < target and opened < nodes:
+            opened += 1
+            rest = [sizes[i] for i in items[1:]]
+            steps.append((items[0], items[1:], free, fillings(rest, capacity - sizes[items[0]], free, width)))
+        # the next filling of the innermost container that has one
+        while steps:
+            first, others, free, ways = steps[-1]
+            del packed[len(steps) - 1 :]
+            counts: dict[int, int] = {}
+            for i in others:
+                counts[sizes[i]] = counts.get(sizes[i], 0) + 1
+            way = next((w for w in ways if not dominated([sizes[others[k]] for k in w[1]], counts, w[0])), None) if opened <= nodes else None
+            if way is not None:
+                break
+            steps.pop()
+        else:
+            return None
+        waste, places = way
+        taken = set(places)
+        packed.append([first, *(others[k] for k in places)])
+        items, free = [i for k, i in enumerate(others) if k not in taken], free - waste
+        if opened >= nodes and sum(sizes[i] for i in items) > capacity:
+            return None
+
+
+def _window(bins: list[list[int]], sizes: list[int], capacity: int, turn: int, chance: random.Random) -> list[int] | None:
+    """Containers that might be packed into one fewer: the emptiest, until one container's room is free, and others in changing order, until the lower bound allows it."""
+    waste = [capacity - sum(sizes[i] for i in b) for b in bins]
+    order = sorted(range(len(bins)), key=lambda k: (-waste[k], k))
+    chosen, free, n = [], 0, 0
+    for k in order:
+        if free >= capacity * (1 + 0.15 * (turn % 4)):
+            break
+        chosen.append(k)
+        free, n = free + waste[k], n + len(bins[k])
+    if free < capacity:
         return None
-
-    return descend(order, 0)
+    held = set(chosen)
+    others = [k for k in order if k not in held]
+    if turn % 3 == 0:
+        chance.shuffle(others)
+    elif turn % 3 == 1:  # those with small items
+        others.sort(key=lambda k: min(sizes[i] for i in bins[k]) * (1 + chance.random()))
+    else:  # those with many items
+        others.sort(key=lambda k: (-len(bins[k]), chance.random()))
+    want, rest = max(WINDOW, n), iter(others)
+    while True:
+        for k in rest:
+            chosen.append(k)
+            n += len(bins[k])
+            if n >= want:
+                break
+        else:
+            want = 4 * WINDOW + 1
+        if lower_bound([sizes[i] for k in chosen for i in bins[k]], capacity) < len(chosen):
+            return chosen
+        if want > 4 * WINDOW:
+            return []
+        want = want * 3 // 2
 
 
-def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Lists of item numbers, one per container. No item may be larger than the capacity; items of size 0 go into the first container."""
+def pack(sizes: list[int], capacity: int, gains: list[int] | None = None) -> list[list[int]]:
+    """Lists of item numbers, one per container. No item may be larger than the capacity; items of size 0 go into the first container. ``gains`` gets a 1 for each container that the search saved over best fit."""
+    capacity = int(capacity)  # numpy's numbers have too few bits for the sums of the fillings
     full = [i for i, s in enumerate(sizes) if s]
-    real = [sizes[i] for i in full]
-    bound = lower_bound(real, capacity)
-    best = best_fit(real, capacity)
-    if len(best) > bound:
-        other = completion(real, capacity)
-        best = min(best, other, key=len)
-        # the emptiest containers are solved again into one fewer, within the bounds of branch_and_bound
-        while len(best) > bound:
-            best.sort(key=lambda b: sum(real[i] for i in b), reverse=True)
-            tail, n = len(best), 0
-            while tail and n + len(best[tail - 1]) <= EXACT_ITEMS:
-                tail -= 1
-                n += len(best[tail])
-            loose = [i for b in best[tail:] for i in b]
-            again = branch_and_bound([real[i] for i in loose], capacity, len(best) - tail - 1) if len(best) - tail > 1 else None
-            if again is None:
-                break
-            best = best[:tail] + [[loose[i] for i in b] for b in again]
+    real = [int(sizes[i]) for i in full]
+    bound, best, missed, chance = lower_bound(real, capacity), best_fit(real, capacity), 0, random.Random(len(real))
+    for turn in range(ROUNDS):
+        if len(best) <= bound or missed == MISSES:
+            break
+        chosen = _window(best, real, capacity, turn, chance)
+        if chosen is None:
+            break
+        items = [i for k in chosen for i in best[k]]
+        again = branch_and_bound([real[i] for i in items], capacity, len(chosen) - 1) if chosen else None
+        missed += again is None
+        if again is not None:
+            held, missed = set(chosen), 0
+            best = [b for k, b in enumerate(best) if k not in held] + [[items[i] for i in b] for b in again]
+            if gains is not None:
+                gains.append(1)
     out = [[full[i] for i in b] for b in best]
     empty = [i for i, s in enumerate(sizes) if not s]
     if empty:

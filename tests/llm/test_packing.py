@@ -84,6 +84,54 @@ def test_assignment(spark):
     assert rows(P.assign(df, specs.limit(0))) == []
 
 
+def test_the_search_saves_containers_over_best_fit():
+    gains = []
+    for seed in range(6):
+        r = random.Random(seed)
+        sizes, own = [min(1000, int(r.lognormvariate(5.9, 0.8)) + 1) for _ in range(1200)], []
+        bins = P.pack(sizes, 1000, own)
+        assert len(bins) == len(P.best_fit(sizes, 1000)) - len(own) >= P.lower_bound(sizes, 1000)
+        gains += own
+    assert len(gains) > 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_fillings_against_all_sets(seed):
+    r = random.Random(seed)
+    sizes = sorted((r.randint(1, 12) for _ in range(r.randint(0, 9))), reverse=True)
+    room, most = r.randint(0, 30), r.randint(0, 8)
+    want = set()
+    for mask in range(1 << len(sizes)):
+        some = tuple(s for k, s in enumerate(sizes) if mask >> k & 1)
+        if 0 <= room - sum(some) <= most:
+            want.add((room - sum(some), some))
+    got = [(w, tuple(sizes[k] for k in c)) for w, c in P.fillings(sizes, room, most, 10_000)]
+    assert len(got) == len(set(got)) and set(got) == want and [w for w, _ in got] == sorted(w for w, _ in got)
+
+
+def test_dominated_fillings():
+    assert P.dominated([3, 2], {3: 1, 2: 1, 5: 1}, 0)  # one of 5 for 3 + 2
+    assert P.dominated([3], {3: 1, 4: 1}, 1)
+    assert not P.dominated([3, 2], {3: 1, 2: 1, 6: 1}, 0)
+    assert not P.dominated([4, 4], {4: 2}, 0)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_branch_and_bound_finds_what_there_is(seed):
+    r = random.Random(seed)
+    sizes = [r.randint(2, 9) for _ in range(8)]
+    n = best(sizes, 12)
+    found = P.branch_and_bound(sizes, 12, n, 100_000, 1000)
+    assert sorted(i for b in found for i in b) == list(range(8)) and len(found) <= n and all(sum(sizes[i] for i in b) <= 12 for b in found)
+    assert P.branch_and_bound(sizes, 12, n - 1, 100_000, 1000) is None
+
+
+@pytest.mark.parametrize("text", ["7" * 70_007, "?!" * 90_000, "a" * 150_000, " " * 70_000 + "x", "x \n\n  y " * 20_000, "語" * 70_000, "don't 12 " * 9_000])
+def test_long_texts_without_places_to_cut(text):
+    encoding = P._encoding(P.TOKENIZER)
+    assert P.count_tokens(encoding, text) == len(encoding.encode_ordinary(text))
+
+
 def test_long_texts_are_cut_where_the_tokenizer_cuts():
     r = random.Random(1)
     text = " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) for _ in range(60_000))
