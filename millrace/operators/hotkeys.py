@@ -2,7 +2,8 @@
 
 Method: distributed exact selection. A value's rank is found by refining histograms: every task counts its rows
 per (key, bin) before anything is shuffled, bins of all tasks add up, and each sought rank narrows to the bin it
-falls in, until the bin holds one distinct value. Rows of a hot key are never brought together.
+falls in, until the bin holds one distinct value. Rows of a hot key are never brought together, and the driver sees
+one row per rank sought.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from millrace.operators.ordered import PART, laid_out
 BINS = 1024
 #: A key with more than one part in HOT_PARTS of the rows is hot, so there are at most HOT_PARTS hot keys; that bounds what is broadcast.
 HOT_PARTS = 200
-#: Keys with fewer rows than this are never hot: their rows fit easily into one task.
+#: Keys with fewer rows than this are never hot.
 HOT_LEAST = 50_000
 
 
@@ -34,51 +35,52 @@ class _Bracket:
     ranks: dict[int, list]
 
 
-def _refine(df: DataFrame, keys: list[str], value: str, open_: list[_Bracket], bins: int) -> dict[int, list[tuple[int, int, int, int]]]:
-    """Of each bracket its non-empty bins (bin, rows, least value, greatest value), in order. One pass over ``df``.
-
-    The brackets are broadcast: there are at most HOT_PARTS keys times the ranks sought per key.
-    """
-    spark = df.sparkSession
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    schema = T.StructType([T.StructField(f"__b{i}", kinds[k]) for i, k in enumerate(keys)] + [T.StructField(n, T.LongType()) for n in ("__bracket", "__lo", "__hi", "__width")])
-    data = [(*b.key, i, b.lo, b.hi, (b.hi - b.lo) // bins + 1) for i, b in enumerate(open_)]
-    brackets = F.broadcast(spark.createDataFrame(data, schema))
-    on: Column = (F.col(value) >= F.col("__lo")) & (F.col(value) <= F.col("__hi"))
-    for i, k in enumerate(keys):
-        on = on & (F.col(k) == F.col(f"__b{i}"))
-    hit = df.join(brackets, on)
-    counted = hit.groupBy("__bracket", F.expr(f"(`{value}` - __lo) div __width").alias("__bin")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    found: dict[int, list] = {i: [] for i in range(len(open_))}
-    for r in counted.collect():
-        found[r["__bracket"]].append((r["__bin"], r["n"], r["lo"], r["hi"]))
-    for bins_ in found.values():
-        bins_.sort()
-    return found
-
-
-def select_ranks(df: DataFrame, keys: list[str], value: str, brackets: list[_Bracket], bins: int = BINS, worth=lambda rows: True) -> list[tuple[tuple, object, int, int]]:
+def select_ranks(df: DataFrame, keys: list[str], value: str, brackets: list[_Bracket], bins: int = BINS, least_rows: int = 0) -> list[tuple[tuple, object, int, int]]:
     """Exact order statistics of a few keys: (key, tag, value, rows that have this value) for every rank sought.
 
     ``value`` is a bigint column without nulls whose greatest difference fits a bigint. A pass narrows every open
     bracket by a factor of ``bins`` and tightens it to the values that occur, so the passes grow as the logarithm
-    of the distinct values. ``worth``: whether a bin of so many rows is of interest; other bins are left.
+    of the distinct values. A row finds its bracket by hash joins: its key gives the first, bracket and bin give each
+    that follows. What is broadcast and collected has a row per key, or per rank sought. Bins of fewer than
+    ``least_rows`` rows are left.
     """
+    spark = df.sparkSession
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    width = lambda b: (b.hi - b.lo) // bins + 1
+    cell = F.expr(f"(`{value}` - __lo) div __width")
+    place = [T.StructField(n, T.LongType()) for n in ("__b", "__lo", "__width")]
+    first = spark.createDataFrame([(*b.key, i, b.lo, width(b)) for i, b in enumerate(brackets)], T.StructType([T.StructField(f"__k{i}", kinds[k]) for i, k in enumerate(keys)] + place))
+    met = F.lit(True)
+    for i, k in enumerate(keys):
+        met = met & (F.col(k) == F.col(f"__k{i}"))
+    rows = df.join(F.broadcast(first), met).select(value, "__b", cell.alias("__cell"))
     done: list[tuple[tuple, object, int, int]] = []
-    open_ = brackets
+    open_ = dict(enumerate(brackets))
+    named = len(brackets)
     while open_:
-        following: list[_Bracket] = []
-        for i, found in _refine(df, keys, value, open_, bins).items():
-            b, below = open_[i], 0
-            for _, rows, lo, hi in found:
-                inside = {r - below: tags for r, tags in b.ranks.items() if below < r <= below + rows}
-                below += rows
-                if inside and worth(rows):
-                    if lo == hi:
-                        done.extend((b.key, tag, lo, rows) for tags in inside.values() for tag in tags)
-                    else:
-                        following.append(_Bracket(b.key, lo, hi, rows, inside))
+        sought = spark.createDataFrame([(i, r) for i, b in open_.items() for r in b.ranks], "__b bigint, rank bigint")
+        counted = rows.groupBy("__b", "__cell").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        counted = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("__b").orderBy("__cell")))  # at most ``bins`` rows a bracket
+        hits = counted.join(F.broadcast(sought), "__b").where("rank <= upto and rank > upto - n").collect()
+        following: dict[int, _Bracket] = {}
+        names: dict[tuple[int, int], int] = {}
+        for r in hits:
+            b, below = open_[r["__b"]], r["upto"] - r["n"]
+            if r["n"] < least_rows:
+                continue
+            if r["lo"] == r["hi"]:
+                done.extend((b.key, tag, r["lo"], r["n"]) for tag in b.ranks[r["rank"]])
+                continue
+            at = (r["__b"], r["__cell"])
+            if at not in names:
+                names[at], named = named, named + 1
+                following[names[at]] = _Bracket(b.key, r["lo"], r["hi"], r["n"], {})
+            following[names[at]].ranks[r["rank"] - below] = b.ranks[r["rank"]]
         open_ = following
+        if open_:
+            steps = [(*at, i, open_[i].lo, width(open_[i])) for at, i in names.items()]
+            table = spark.createDataFrame(steps, T.StructType([T.StructField("__from", T.LongType()), T.StructField("__at", T.LongType()), *place]))
+            rows = rows.withColumnRenamed("__b", "__was").join(F.broadcast(table), (F.col("__was") == F.col("__from")) & (F.col("__cell") == F.col("__at"))).select(value, "__b", cell.alias("__cell"))
     return done
 
 
@@ -98,7 +100,7 @@ def dominating_values(df: DataFrame, column: str, parts: int = 20) -> DataFrame:
     hashes: list[int] = []
     if stats["n"] and stats["n"] >= least:
         ranks = {r: [r] for r in range(least, stats["n"] + 1, least)}
-        found = select_ranks(hashed, ["g"], "h", [_Bracket((0,), stats["lo"], stats["hi"], stats["n"], ranks)], worth=lambda n: n >= least)
+        found = select_ranks(hashed, ["g"], "h", [_Bracket((0,), stats["lo"], stats["hi"], stats["n"], ranks)], least_rows=least)
         hashes = sorted({v for _, _, v, _ in found})
     return (
         hashed.where(F.col("h").isin(hashes) if hashes else F.lit(False))
@@ -146,8 +148,7 @@ def key_quantiles(df: DataFrame, key: str, value: str, probs: list[float], hot_l
     """Exact quantiles per key: ``key_value``, ``prob``, ``quantile``, ``n_values``; the value of rank ceil(prob * n), at least 1.
 
     Keys of more rows than both ``hot_least`` and one part in ``hot_parts`` of the table go through rank selection
-    and are at most ``hot_parts``. The other keys' rows are gathered per key while each has at most ``hot_least``; in a
-    table so large that some have more, they are sorted over all partitions and the ranks read off there.
+    and are at most ``hot_parts``. The other keys' rows are sorted over all partitions and the ranks read off there.
     Rows with a null key or value don't count, repeated rows count each, ties count each. An empty table gives no rows.
     """
     spark = df.sparkSession
@@ -170,11 +171,5 @@ def key_quantiles(df: DataFrame, key: str, value: str, probs: list[float], hot_l
     of_hot = spark.createDataFrame([(k[0], p, v, n) for k, (p, n), v, _ in chosen], "key_value string, prob double, __q bigint, n_values bigint")
 
     cold = rows.where(~F.col("key_value").isin(names)) if names else rows
-    if bound > hot_least:
-        of_cold = _sorted_ranks(cold, probs)
-        return of_hot.unionByName(of_cold).select("key_value", "prob", back.alias("quantile"), "n_values")
-    listed = cold.groupBy("key_value").agg(F.array_sort(F.collect_list("v")).alias("all"))  # at most `bound` values a key
-    of_cold = listed.select("key_value", F.explode(F.array(*(F.lit(float(p)) for p in probs))).alias("prob"), F.size("all").cast("bigint").alias("n_values"), "all").select(
-        "key_value", "prob", F.element_at("all", F.greatest(F.lit(1), F.ceil(F.col("prob") * F.col("n_values"))).cast("int")).alias("__q"), "n_values"
-    )
+    of_cold = _sorted_ranks(cold, probs)
     return of_hot.unionByName(of_cold).select("key_value", "prob", back.alias("quantile"), "n_values")

@@ -132,8 +132,10 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> Dat
         if islands.get(r[PART]) is not None:
             opened = islands[r[PART]]
 
+    carried = df.sparkSession.sparkContext.broadcast((carry, closes))  # an entry per partition: sent once to each executor, not with each task
+
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scan, part = None, None
+        (carry, closes), scan, part = carried.value, None, None
         for pdf in batches:
             if len(pdf):
                 if scan is None:
