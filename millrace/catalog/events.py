@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import events as ev
 from millrace.operators import joins
+from millrace.operators.ordered import running_within
 from millrace.sources.tables import micros, table
 
 
@@ -31,11 +32,9 @@ def snapshot_fold(spark, d):
 
 def edge_rates(spark, d):
     """Items per second between a channel's samples, with the running sum of its counts as items."""
-    from pyspark.sql import Window
-
     edge = ["flow_run_id", "source_block", "target_block"]
     rows = table(spark, d, "channel_stats").select(*edge, micros("timestamp").alias("us"), "current_count").dropna().groupBy(*edge, "us").agg(F.max("current_count").alias("n"))
-    rows = rows.withColumn("items", F.sum("n").over(Window.partitionBy(*edge).orderBy("us").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running_within(rows, edge, ["us"], F.col("n"), "items")
     return ev.edge_rates(rows, edge, "us", "items").select(*edge, "us", "rate")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.durable import durable
-from millrace.operators.ordered import numbered, segmented
+from millrace.operators.ordered import PART, laid_out, numbered, numbered_within, running, segmented
 
 
 def _positive(n: int, what: str) -> None:
@@ -20,30 +20,32 @@ def batch_by_size(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     return numbered(df, order, "__rn").withColumn("batch_id", F.expr(f"(__rn - 1) div {size} + 1")).drop("__rn")
 
 
-def batch_by_size_or_tick(df: DataFrame, size: int, ts_us: str, period_us: int, start_us: int | None = None, within: list[str] | None = None) -> DataFrame:
+def batch_by_size_or_tick(df: DataFrame, size: int, ts_us: str, period_us: int, start_us: int | None = None, within: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Adds ``tick`` and ``chunk``: a timer that ticks every ``period_us`` from ``start_us`` cuts batches, and so do ``size`` rows.
 
     The timer is free-running: a batch cut by size doesn't restart it. ``start_us`` None: the first time of the
-    stream, or of each group of ``within``. A tick's rows are numbered in the tick's own task.
+    stream, or of each group of ``within``. Rows are taken by time, those of one time by ``order``, or by their other
+    columns where none is given, so that the batches are the same each time. A null time has a null tick.
     """
     _positive(size, "the batch size")
     _positive(period_us, "the period")
     keys = within or []
-    if start_us is None and not keys:
-        start_us = df.agg(F.min(ts_us)).first()[0] or 0
-    origin = F.lit(start_us) if start_us is not None else F.min(ts_us).over(Window.partitionBy(*keys))
-    rows = df.withColumn("__origin", origin.cast("bigint")).withColumn("tick", F.expr(f"(`{ts_us}` - __origin) div {period_us}"))
-    w = Window.partitionBy(*keys, "tick").orderBy(ts_us)
-    return rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size)).drop("__origin")
+    ties = order or [c for c, kind in df.dtypes if c not in (*keys, ts_us) and "map<" not in kind]
+    rows = laid_out(df, [*keys, *dict.fromkeys([ts_us, *ties])])
+    if start_us is None:
+        rows = running(rows, keys, F.col(ts_us).cast("bigint"), "__origin", "min")
+    else:
+        rows = rows.withColumn("__origin", F.lit(start_us).cast("bigint"))
+    rows = rows.withColumn("tick", F.expr(f"(`{ts_us}` - __origin) div {period_us}"))
+    rows = running(rows, [*keys, "tick"], F.lit(1).cast("bigint"), "__rn")
+    return rows.withColumn("chunk", F.floor((F.col("__rn") - 1) / size)).drop("__origin", "__rn", "__at", PART)
 
 
 def epoch_batch(df: DataFrame, size: int, key: Column, order: list[str]) -> DataFrame:
     """Adds ``epoch_seq`` (contiguous runs of ``key``) and ``batch_no`` from 1 within it: batches never span epochs."""
     _positive(size, "the batch size")
     rows = segmented(df.withColumn("__key", key), "__key", order).drop("__key")
-    first = rows.withColumn("__order", F.struct(*order))
-    w = Window.partitionBy("epoch_seq").orderBy("__order")
-    return first.withColumn("batch_no", (F.floor((F.row_number().over(w) - 1) / size) + 1).cast("bigint")).drop("__order")
+    return numbered_within(rows, ["epoch_seq"], order, "__rn").withColumn("batch_no", F.expr(f"(__rn - 1) div {size} + 1")).drop("__rn")
 
 
 def row_ranges(df: DataFrame, parts: int, order: list[str]) -> DataFrame:

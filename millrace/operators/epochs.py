@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors
-from millrace.operators.ordered import last_known, numbered, segmented
+from millrace.operators.ordered import last_known, numbered, numbered_within, segmented
 
 
 #: Known epochs that an ancestor may be sought among.
@@ -70,8 +70,7 @@ def cut_epochs(df: DataFrame, policy: EpochPolicy, order: list[str], ts_us: str
     start = df.agg(F.min(ts_us)).first()[0] or 0
     rows = df.withColumn("__tick", F.expr(f"(`{ts_us}` - {start}) div {policy.window_us}"))
     if policy.items is not None:
-        w = Window.partitionBy("__tick").orderBy(*order)
-        rows = rows.withColumn("__tick", F.struct("__tick", F.floor((F.row_number().over(w) - 1) / policy.items).alias("chunk")))
+        rows = numbered_within(rows, ["__tick"], order, "__rn").withColumn("__tick", F.struct("__tick", F.expr(f"(__rn - 1) div {policy.items}").alias("chunk"))).drop("__rn")
     return segmented(rows, "__tick", order).drop("__tick")
 
 

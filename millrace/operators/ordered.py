@@ -125,3 +125,41 @@ def running_max(df: DataFrame, value: str, order: list[str], lane: str, name: st
     w = Window.partitionBy(PART, lane).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(F.broadcast(df.sparkSession.createDataFrame(before, schema)), [PART, lane])
     return joined.withColumn(name, F.greatest(F.max(value).over(w), F.col("__carry"))).drop(PART, "__at", "__carry")
+
+
+def running(rows: DataFrame, keys: list[str], value: Column, name: str, how: str = "sum") -> DataFrame:
+    """Rows laid out by ``keys`` and an order, with the sum (or "max", "min") of ``value`` over the rows of the key up to each row, itself included.
+
+    A key's rows may fill many partitions: each partition's rows are worked through by themselves, and its first key is handed
+    what the partitions before hold of it. Null keys equal each other; a null value changes nothing. ``PART`` and ``__at`` stay.
+    """
+    agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+    put = {"sum": lambda a, b: a + b, "max": max, "min": min}[how]
+    rows = rows.withColumn("__v", value)
+    pieces = rows.groupBy(PART, *keys).agg(F.min("__at").alias("__first"), agg("__v").alias("__held"))
+    key = F.struct(*keys) if keys else F.lit(0)
+    ends = pieces.groupBy(PART).agg(F.min_by(key, "__first").alias("head"), F.max_by(F.struct(key.alias("k"), F.col("__held").alias("v")), "__first").alias("tail"), F.count(F.lit(1)).alias("n")).collect()
+    before, last, held = [], None, None
+    for i, r in enumerate(sorted(ends, key=lambda r: r[PART])):
+        carry = held if i and r["head"] == last else None
+        before.append((r[PART], carry))
+        own = r["tail"]["v"]
+        held = own if r["n"] > 1 or carry is None else carry if own is None else put(carry, own)
+        last = r["tail"]["k"]
+    kind = pieces.schema["__held"].dataType
+    small = rows.sparkSession.createDataFrame(before, T.StructType([T.StructField(PART, T.IntegerType()), T.StructField("__carry", kind)]))
+    group = Window.partitionBy(PART, *keys)
+    upto = agg("__v").over(group.orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    carry = F.when(F.min("__at").over(group) == 0, F.col("__carry"))
+    both = F.coalesce(upto, F.lit(0)) + F.coalesce(carry, F.lit(0)) if how == "sum" else (F.greatest if how == "max" else F.least)(upto, carry)
+    return rows.join(F.broadcast(small), PART).withColumn(name, both.cast(kind)).drop("__v", "__carry")
+
+
+def running_within(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, how: str = "sum") -> DataFrame:
+    """``df`` with the running sum, maximum or minimum of ``value`` within each key in the given order."""
+    return running(laid_out(df, [*keys, *order]), keys, value, name, how).drop(PART, "__at")
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
+    """``df`` with row numbers from 1 within each key, also where one key holds all rows. The order must tell a key's rows apart for the numbers to be the same each time."""
+    return running_within(df, keys, order, F.lit(1).cast("bigint"), name)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import numbered, running_max
+from millrace.operators.ordered import PART, laid_out, numbered, running, running_max
 
 
 def release_windows(df: DataFrame, arrival: str, order: list[str], permits: int, segments: int = 1) -> DataFrame:
@@ -17,6 +17,12 @@ def release_windows(df: DataFrame, arrival: str, order: list[str], permits: int,
     """
     if permits <= 0 or segments <= 0:
         raise ValueError("permits and segments must be positive")
+    if segments == 1:
+        # S = 1: any earlier item bounds the release by a_m + floor((i - m) / permits), so one running maximum does
+        rows = laid_out(df, order)
+        rows = running(rows, [], F.lit(1).cast("bigint"), "__i")
+        rows = running(rows, [], (F.col(arrival) * permits - F.col("__i")).cast("bigint"), "__m", "max")
+        return rows.withColumn("release", F.expr(f"(__i + __m - pmod(__i + __m, {permits})) div {permits}")).drop("__i", "__m", "__at", PART)
     rows = numbered(df, order, "__rn").withColumn("__i", F.col("__rn") - 1).withColumn("__j", F.expr(f"__i div {permits}")).withColumn("__class", F.col("__i") % permits)
     rows = running_max(rows.withColumn("__a", (F.col(arrival) - F.col("__j") * segments).cast("bigint")), "__a", ["__i"], "__class", "__m")
     return rows.withColumn("release", (F.col("__m") + F.col("__j") * segments).cast("bigint")).drop("__rn", "__i", "__j", "__class", "__a", "__m")
@@ -27,15 +33,12 @@ def token_bucket(df: DataFrame, tick: str, order: list[str], capacity: int, toke
 
     ``tick`` is the tick of arrival and doesn't fall in the given order. From arrival j on, the bucket has at most its
     capacity, so item i leaves no sooner than a_j + ceil((i - j + 1 - capacity) / tokens) for each j <= i, and at the
-    greatest of these. Split by j modulo ``tokens``, each part is a running maximum.
+    greatest of these: ceil((i + 1 - capacity + max of (a_j * tokens - j)) / tokens), one running maximum over many tasks.
     """
     if capacity <= 0 or tokens <= 0:
         raise ValueError("capacity and tokens must be positive")
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("__i", F.row_number().over(w) - 1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    parts = [F.col(tick).cast("bigint")]
-    for s in range(tokens):
-        best = F.max(F.when(F.col("__i") % tokens == s, F.col(tick) - F.expr(f"__i div {tokens}"))).over(upto)
-        parts.append(F.ceil((F.col("__i") + 1 - capacity - s) / F.lit(float(tokens))) + best)
-    return rows.withColumn("release", F.greatest(*parts) if len(parts) > 1 else parts[0]).drop("__i")
+    rows = running(laid_out(df, [*by, *order]), by, F.lit(1).cast("bigint"), "__i")
+    rows = running(rows, by, (F.col(tick) * tokens - F.col("__i")).cast("bigint"), "__m", "max")
+    # ceil(x / tokens), exact for any bigint
+    leaves = F.expr(f"-((-(__i + 1 - {capacity} + __m) - pmod(-(__i + 1 - {capacity} + __m), {tokens})) div {tokens})")
+    return rows.withColumn("release", F.greatest(F.col(tick).cast("bigint"), leaves)).drop("__i", "__m", "__at", PART)

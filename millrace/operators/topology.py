@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import numbered_within
+
 
 def broadcast_to(df: DataFrame, branches: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
     """Every branch sees every row. Frames are immutable, so no copy is made."""
@@ -54,5 +56,7 @@ def control_to_all(data: DataFrame, control: DataFrame, route: Column, targets:
 
 
 def round_robin(df: DataFrame, consumers: int, order: list[str], by: list[str]) -> DataFrame:
-    """Adds ``consumer``: the rows of each key in turn to the consumers."""
-    return df.withColumn("consumer", ((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) % consumers).cast("int"))
+    """Adds ``consumer``: the rows of each key in turn to the consumers. A key of any number of rows is numbered over many tasks."""
+    if consumers <= 0:
+        raise ValueError("at least one consumer is needed")
+    return numbered_within(df, by, order, "__rn").withColumn("consumer", ((F.col("__rn") - 1) % consumers).cast("int")).drop("__rn")

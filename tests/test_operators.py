@@ -298,3 +298,44 @@ def test_a_join_of_a_hot_key_is_split(spark):
         assert held > 1
     assert rows(joins.salted_join(facts.limit(0), dim, ["k"], rows=10)) == []
     assert not joins.is_small(dim, rows=10) and not joins.is_small(dim, size=50) and joins.is_small(dim)
+
+
+@pytest.mark.parametrize("hot", [1.0, 0.5])
+def test_order_within_a_key_that_holds_all_rows(spark, hot):
+    """A key's rows span all partitions; numbers, sums and maxima are carried over."""
+    r = random.Random(3)
+    data = [("hot" if r.random() < hot else r.choice(["a", "z", None]), i, r.choice([None, r.randrange(-50, 50)])) for i in range(800)]
+    df = spark.createDataFrame(data, "k string, i int, v bigint")
+    laid = ordered.laid_out(df, ["k", "i"])
+    assert laid.where("k = 'hot'").select(ordered.PART).distinct().count() >= (4 if hot == 1 else 2)
+    want = {}
+    state = {}
+    for k, i, v in sorted(data, key=lambda x: x[1]):
+        n, s, m = state.get(k, (0, None, None))
+        n += 1
+        s = s if v is None else (s or 0) + v
+        m = v if m is None else m if v is None else max(m, v)
+        state[k] = (n, s, m)
+        want[i] = (n, s or 0, m)
+    got = {x["i"]: x["rn"] for x in ordered.numbered_within(df, ["k"], ["i"]).collect()}
+    assert got == {i: w[0] for i, w in want.items()}
+    got = {x["i"]: x["s"] for x in ordered.running_within(df, ["k"], ["i"], F.col("v"), "s").collect()}
+    assert got == {i: w[1] for i, w in want.items()}
+    got = {x["i"]: x["m"] for x in ordered.running_within(df, ["k"], ["i"], F.col("v"), "m", "max").collect()}
+    assert got == {i: w[2] for i, w in want.items()}
+    assert rows(ordered.numbered_within(df.limit(0), ["k"], ["i"])) == []
+
+
+def test_hot_ticks_epochs_and_keys_are_batched_right(spark):
+    df = spark.range(1000).selectExpr("cast(id as int) i", "1 as k", "cast(id div 900 as bigint) as day", "7L as us")
+    one = batching.batch_by_size_or_tick(df, 30, "us", 10, order=["i"]).collect()
+    assert all(x["tick"] == 0 and x["chunk"] == x["i"] // 30 for x in one)
+    assert sorted(x["chunk"] for x in batching.batch_by_size_or_tick(df, 30, "us", 10).collect()) == sorted(i // 30 for i in range(1000))
+    got = batching.epoch_batch(df, 50, F.col("day"), ["i"]).collect()
+    assert all(x["batch_no"] == (x["i"] % 900) // 50 + 1 and x["epoch_seq"] == x["i"] // 900 + 1 for x in got)
+    got = epochs.cut_epochs(df, epochs.EpochPolicy.by_count_or_time(40, 1000), ["i"], "us").collect()
+    assert all(x["epoch_seq"] == x["i"] // 40 + 1 for x in got)
+    got = topology.round_robin(df, 3, ["i"], ["k"]).collect()
+    assert all(x["consumer"] == x["i"] % 3 for x in got)
+    got = ratelimit.token_bucket(df.withColumn("t", F.lit(0)), "t", ["i"], 1000, 1000, ["k"])
+    assert {x["release"] for x in got.collect()} == {0}
