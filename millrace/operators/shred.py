@@ -14,12 +14,15 @@ from dataclasses import dataclass, field
 from json.decoder import scanstring
 from json.scanner import NUMBER_RE
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ADJACENCY = "record_id string, doc bigint, node int, parent int, label string, ordinal int, kind string, container string, owner int, map_key string, scalar string"
 _COLUMNS = [c.split()[0] for c in ADJACENCY.split(", ")]
+_KINDS = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in ADJACENCY.split(", ")]
+#: Rows that a task hands on at a time.
+AT_ONCE = 10_000
 NODE = ["record_id", "doc", "node"]
 
 
@@ -192,21 +195,25 @@ def shred(df: DataFrame, record_id: str, text: str, shape: Shape) -> DataFrame:
     rows = df.select(F.col(record_id).cast("string").alias("record_id"), F.col(text).alias("text")).where("record_id is not null and text is not null")
     rows = rows.select("record_id", F.xxhash64("record_id", "text").alias("doc"), "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for pdf in batches:
-            for r, d, t in zip(pdf["record_id"], pdf["doc"], pdf["text"]):
+        for batch in batches:
+            for r, d, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 value = parse(t, shape.max_wraps)
                 if isinstance(value, (dict, list)):
                     for row in _nodes(r, d, value, shape):
                         out.append(row)
-                        if len(out) == 20_000:
-                            yield pd.DataFrame(out, columns=_COLUMNS)
+                        if len(out) == AT_ONCE:
+                            yield _batch(out)
                             out = []
         if out:
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            yield _batch(out)
 
-    return rows.mapInPandas(run, ADJACENCY)
+    return rows.mapInArrow(run, ADJACENCY)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_COLUMNS)
 
 
 def entity_table(nodes: DataFrame, containers: dict[str, str], fields: dict[str, tuple[str, ...]]) -> DataFrame:
