@@ -158,11 +158,45 @@ s AS (SELECT flow_run_id, source_block, target_block, (t // 10000000) * 10000000
 p AS (SELECT *, lead(slot_us) OVER w AS next_us, lead(f) OVER w AS nf FROM s WINDOW w AS (PARTITION BY flow_run_id, source_block, target_block ORDER BY slot_us)),
 missing AS (SELECT *, unnest(generate_series(slot_us + 10000000, next_us - 10000000, 10000000)) AS at_us FROM p WHERE next_us > slot_us + 10000000)
 """
+_P2_FOUND = r"""
+WITH RECURSIVE raw AS (SELECT DISTINCT 'flow_event' AS record_table, id::VARCHAR AS record_id, payload AS t FROM flow_event WHERE id IS NOT NULL AND payload IS NOT NULL
+  UNION ALL SELECT DISTINCT 'flow_snapshot', flow_run_id, snapshot_json FROM flow_snapshot WHERE flow_run_id IS NOT NULL AND snapshot_json IS NOT NULL),
+good AS (SELECT record_table, record_id, t FROM raw WHERE json_valid(t)),
+-- JSON text inside JSON strings
+open_ AS (SELECT record_table, record_id, t FROM good
+  UNION ALL SELECT record_table, record_id, t FROM (SELECT record_table, record_id, json_extract_string(t, '$') AS t FROM open_ WHERE json_type(t) = 'VARCHAR') WHERE json_valid(t)),
+docs AS (SELECT row_number() OVER () AS doc, record_table, record_id, t FROM open_ WHERE json_type(t) IN ('OBJECT', 'ARRAY')),
+outer_ AS (SELECT doc, 0 AS tree, x.id AS node, x.parent, x.key, x.type, x.value, x.atom FROM docs, json_tree(docs.t) x),
+texts AS (SELECT doc, node AS tree, parent AS above, json_extract_string(value, '$') AS t FROM outer_ WHERE lower(key) = 'triggerparamsjson' AND type = 'VARCHAR'),
+inner_ AS (SELECT doc, tree, x.id AS node, x.parent, x.key, x.type, x.value, x.atom FROM (SELECT * FROM texts WHERE json_valid(t)) i, json_tree(i.t) x),
+n AS (SELECT * FROM outer_ UNION ALL SELECT * FROM inner_),
+kinds AS (SELECT * FROM (VALUES ('flow_event', 'blocks', 'block'), ('flow_event', 'edges', 'edge'), ('flow_event', 'batches', 'batch'), ('flow_event', 'journals', 'journal'), ('flow_event', 'entries', 'entry'), ('flow_snapshot', 'blocks', 'block'), ('flow_snapshot', 'channels', 'channel')) k(record_table, label, kind)),
+named AS (SELECT doc, tree, parent, max(json_extract_string(value, '$')) FILTER (lower(key) = 'blockname') AS block, max(json_extract_string(value, '$')) FILTER (lower(key) = 'sourceblock') AS source, max(json_extract_string(value, '$')) FILTER (lower(key) = 'targetblock') AS target,
+  max(json_extract_string(value, '$')) FILTER (lower(key) = 'batchid') AS batch, max(json_extract_string(value, '$')) FILTER (lower(key) = 'journalid') AS journal, max(json_extract_string(value, '$')) FILTER (lower(key) = 'entryid') AS entry, max(json_extract_string(value, '$')) FILTER (lower(key) = 'journaltype') AS journal_type, max(json_extract_string(value, '$')) FILTER (lower(key) = 'account') AS account, max(json_extract_string(value, '$')) FILTER (lower(key) = 'amount') AS amount, max(json_extract_string(value, '$')) FILTER (lower(key) = 'blocktype') AS block_type, max(json_extract_string(value, '$')) FILTER (lower(key) = 'state') AS state, max(json_extract_string(value, '$')) FILTER (lower(key) = 'itemsconsumed') AS consumed, max(json_extract_string(value, '$')) FILTER (lower(key) = 'itemsproduced') AS produced
+  FROM n WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL') GROUP BY doc, tree, parent),
+boxes AS (SELECT n.doc, n.tree, n.node, n.parent, n.type, k.kind, m.block, m.source, m.target FROM n JOIN docs d ON d.doc = n.doc JOIN kinds k ON k.record_table = d.record_table AND k.label = lower(n.key)
+  LEFT JOIN named m ON m.doc = n.doc AND m.tree = n.tree AND m.parent = n.node WHERE n.type IN ('OBJECT', 'ARRAY')),
+single AS (SELECT doc, tree, node, kind, NULL AS map_key, 0 AS ordinal, parent AS above FROM boxes WHERE type = 'OBJECT' AND (kind IN ('edge', 'batch', 'journal', 'entry') OR (kind = 'block' AND block IS NOT NULL) OR (kind = 'channel' AND (source IS NOT NULL OR target IS NOT NULL)))),
+many AS (SELECT n.doc, n.tree, n.node, b.kind, CASE WHEN b.type = 'OBJECT' THEN n.key END AS map_key, CASE WHEN b.type = 'ARRAY' THEN n.key::INT END AS ordinal, b.parent AS above FROM boxes b JOIN n ON n.doc = b.doc AND n.tree = b.tree AND n.parent = b.node
+  WHERE n.type = 'OBJECT' AND NOT EXISTS (FROM single s WHERE s.doc = b.doc AND s.tree = b.tree AND s.node = b.node)),
+found AS (SELECT f.*, m.block, m.source, m.target, m.batch, m.journal, m.entry, m.journal_type, m.account, m.amount, m.block_type, m.state, m.consumed, m.produced FROM (SELECT * FROM single UNION ALL SELECT * FROM many) f LEFT JOIN named m ON m.doc = f.doc AND m.tree = f.tree AND m.parent = f.node),
+keyed AS (SELECT *, coalesce(CASE kind WHEN 'block' THEN coalesce(block, map_key) WHEN 'batch' THEN batch WHEN 'journal' THEN journal WHEN 'entry' THEN entry ELSE coalesce(source, '') || '>' || coalesce(target, '') END, '') AS node_key FROM found)
+"""
 ORACLE = {
     "p1_found": _P1_SPANS + "SELECT entity_kind, entity_key, span_kind, start_us, end_us FROM spans",
     "p1_coverage": _P1_SPANS
     + """SELECT entity_kind, entity_key, count(*) FILTER (span_kind = 'period') AS n_periods, count(*) FILTER (span_kind = 'gap') AS n_gaps,
   coalesce(sum(end_us - start_us) FILTER (span_kind = 'period'), 0)::BIGINT AS covered_us, coalesce(sum(end_us - start_us) FILTER (span_kind = 'gap'), 0)::BIGINT AS idle_us FROM spans GROUP BY ALL""",
+    "p2_found": _P2_FOUND + """, journals AS (SELECT j.doc, j.tree, j.node, b.node_key AS batch_key, j.node_key FROM keyed j LEFT JOIN keyed b ON b.doc = j.doc AND b.tree = j.tree AND b.node = j.above AND b.kind = 'batch' WHERE j.kind = 'journal')
+SELECT DISTINCT d.record_table, d.record_id, k.kind AS node_kind, CASE k.kind WHEN 'journal' THEN coalesce(j.batch_key, '') WHEN 'entry' THEN coalesce(coalesce(o.batch_key, '') || '/' || o.node_key, '') ELSE '' END AS parent_key, k.node_key
+FROM keyed k JOIN docs d ON d.doc = k.doc LEFT JOIN journals j ON j.doc = k.doc AND j.tree = k.tree AND j.node = k.node LEFT JOIN journals o ON o.doc = k.doc AND o.tree = k.tree AND o.node = k.above""",
+    "p2_entries": _P2_FOUND
+    + """SELECT DISTINCT d.record_id::BIGINT AS event_id, b.batch AS batch_id, j.journal AS journal_id, j.journal_type, e.entry AS entry_id, e.ordinal, e.account, try_cast(e.amount AS DECIMAL(18,2)) AS amount
+  FROM keyed e JOIN docs d ON d.doc = e.doc LEFT JOIN keyed j ON j.doc = e.doc AND j.tree = e.tree AND j.node = e.above AND j.kind = 'journal'
+  LEFT JOIN keyed b ON b.doc = j.doc AND b.tree = j.tree AND b.node = j.above AND b.kind = 'batch' WHERE e.kind = 'entry' AND d.record_table = 'flow_event'""",
+    "p2_blocks": _P2_FOUND
+    + """SELECT DISTINCT d.record_id AS flow_run_id, coalesce(block, map_key) AS block_name, block_type, state, try_cast(consumed AS BIGINT) AS items_consumed, try_cast(produced AS BIGINT) AS items_produced
+  FROM keyed k JOIN docs d ON d.doc = k.doc WHERE k.kind = 'block' AND d.record_table = 'flow_snapshot'""",
     "p4_found": """SELECT 'customer' AS field, customer AS key_value FROM invoice WHERE customer <> '' GROUP BY customer HAVING count(*) * 20 >= (SELECT count(*) FROM invoice)
   UNION ALL SELECT 'processor_lane', processor_lane FROM payment WHERE processor_lane <> '' GROUP BY processor_lane HAVING count(*) * 20 >= (SELECT count(*) FROM payment)""",
     "p4_totals": """SELECT 'customer' AS field, customer AS key_value, count(*) AS n_rows, count(amount) AS n_values, sum(amount)::DECIMAL(28,2) AS total, min(amount) AS least, max(amount) AS greatest FROM invoice GROUP BY customer
