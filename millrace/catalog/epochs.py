@@ -93,6 +93,15 @@ def aligned_epochs(spark, d):
     return epochs.align_sources(e).select("seq", "n_sources", F.cardinality("vector").cast("bigint").alias("n_entries"))
 
 
+def epoch_barrier(spark, d):
+    """Epochs of each event type, one per hundred of its events; made when all types have come as far, held beyond, and all held where a sixth source is awaited that never comes."""
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    e = e.select("source", F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr("n div 100"))).alias("seq"))
+    types = [r[0] for r in table(spark, d, "events").select("event_type").distinct().collect()]
+    all_come = epochs.barrier(e, types).select("seq", "n_sources", "made", F.lit("all").alias("awaited"))
+    return all_come.unionByName(epochs.barrier(e, [*types, "audit"]).select("seq", "n_sources", "made", F.lit("one more").alias("awaited")))
+
+
 def checkpoint_every_n(spark, d):
     """M-1: every fifth day segment."""
     rows = epochs.segment_by_key(table(spark, d, "events").select("event_id", F.to_date("ts").alias("day")), "day", ["event_id"]).groupBy("epoch_seq").agg(F.max("event_id").alias("last_id"))
@@ -115,7 +124,7 @@ def checkpoint_states(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (segment_by_key, segment_by_day, segment_by_clock, single_epoch, cut_by_policy, epoch_vector_merge, vector_subsumes, vector_ancestor, block_progress, global_watermark, progress_cleared, aligned_epochs, checkpoint_every_n, checkpoint_time_based, checkpoint_states)
+    for f in (segment_by_key, segment_by_day, segment_by_clock, single_epoch, cut_by_policy, epoch_vector_merge, vector_subsumes, vector_ancestor, block_progress, global_watermark, progress_cleared, aligned_epochs, epoch_barrier, checkpoint_every_n, checkpoint_time_based, checkpoint_states)
 }
 
 _COUNTS = "WITH c AS (SELECT user_id, event_type AS source, count(*) AS seq FROM events GROUP BY 1, 2)"
@@ -137,6 +146,8 @@ SELECT user_id, (CASE WHEN c >= 5 AND w >= 5 AND NOT (k = 2 AND c = 5 AND w = 5)
     "global_watermark": _PROGRESS + " SELECT source, min(seq) AS seq FROM h GROUP BY 1",
     "progress_cleared": _PROGRESS + ", w AS (SELECT source, min(seq) AS m FROM h GROUP BY 1) SELECT block, count(*) AS n FROM p LEFT JOIN w USING (source) WHERE m IS NULL OR seq > m OR NOT done GROUP BY 1",
     "aligned_epochs": "SELECT event_id // 100 AS seq, count(DISTINCT event_type) AS n_sources, count(DISTINCT event_type) AS n_entries FROM events GROUP BY 1",
+    "epoch_barrier": """WITH c AS (SELECT event_type, count(*) // 100 AS n FROM events GROUP BY 1), s AS (SELECT event_type, unnest(range(1, n + 1)) AS seq FROM c),
+a AS (SELECT seq, count(*) AS n_sources FROM s GROUP BY 1) SELECT seq, n_sources, seq <= (SELECT min(n) FROM c) AS made, 'all' AS awaited FROM a UNION ALL SELECT seq, n_sources, false, 'one more' FROM a""",
     "checkpoint_every_n": _RUNS.format(key="ts::DATE") + " SELECT epoch_seq, max(event_id) AS last_id, epoch_seq % 5 = 0 AS checkpoint FROM e GROUP BY 1",
     "checkpoint_time_based": """WITH RECURSIVE h AS (SELECT epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM events GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY hour) AS r FROM h),
 g AS (SELECT r, hour, n, hour AS last, true AS checkpoint FROM i WHERE r = 1 UNION ALL SELECT i.r, i.hour, i.n, CASE WHEN i.hour - g.last >= 10 THEN i.hour ELSE g.last END, i.hour - g.last >= 10 FROM g JOIN i ON i.r = g.r + 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, joins, routing, topology
+from millrace.operators.ordered import numbered_within
 from millrace.operators.rowops import FilterConfig, filter_rows
 from millrace.plans.flows import build_flow, standard_registry
 from millrace.sources.sinks import chunk_log
@@ -117,6 +118,17 @@ def route_dynamic_counts(spark, d):
     return rows.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
+def route_template(spark, d):
+    """each event type's rows through a flow made from one template with the type's own settings: values scaled, batches of its own size."""
+    known = spark.createDataFrame([("click", 2, 10), ("error", 3, 20), ("purchase", 5, 7), ("signup", 7, 1000), ("view", 11, 3)], "route string, factor int, size int")
+
+    def template(rows):
+        rows = numbered_within(rows, ["route"], ["event_id"], "n")
+        return rows.withColumn("batch", F.expr("(n - 1) div size")).groupBy("route", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event_id") * F.col("factor")).alias("total"))
+
+    return routing.route_dynamic(_by_type(spark, d).select("event_id", "event_type"), F.col("event_type"), 10, known, template).select("route", "batch", "n", "total")
+
+
 def route_merge(spark, d):
     """price bands with a surcharge each, merged."""
     band = F.when(F.col("o_totalprice") < 100000, "low").when(F.col("o_totalprice") < 250000, "middle").otherwise("high")
@@ -207,7 +219,7 @@ def sorted_page(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (broadcast_fanout_counts, competing_assignment, round_robin_per_user, fan_in_union, row_concat, column_merge, dedup_global, dedup_in_chunk, control_broadcast, set_operations, route_static, route_tag_filter, route_dynamic_counts,
+    for f in (broadcast_fanout_counts, competing_assignment, round_robin_per_user, fan_in_union, row_concat, column_merge, dedup_global, dedup_in_chunk, control_broadcast, set_operations, route_static, route_tag_filter, route_dynamic_counts, route_template,
               route_merge, route_expiring_sessions, routed_epoch_grid, groupby_per_chunk, groupby_global, grouping_sets, nest_orders, unnest_orders, lookup_join, write_back_lookup, log_chunks, dynamic_flow, sorted_page)
 }
 
@@ -225,6 +237,9 @@ ORACLE = {
     "route_static": "SELECT event_type AS route, count(*) AS n, sum(value::DECIMAL(18,2))::DECIMAL(38,2) AS total FROM events GROUP BY 1",
     "route_tag_filter": "SELECT event_id, event_type AS route FROM events WHERE event_type IN ('purchase', 'click')",
     "route_dynamic_counts": "SELECT event_type AS route, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1",
+    "route_template": """WITH s(route, factor, size) AS (VALUES ('click', 2, 10), ('error', 3, 20), ('purchase', 5, 7), ('signup', 7, 1000), ('view', 11, 3)),
+n AS (SELECT event_type AS route, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events)
+SELECT n.route, n.n // size AS batch, count(*) AS n, sum(event_id * factor)::BIGINT AS total FROM n JOIN s ON s.route = n.route GROUP BY 1, 2""",
     "route_merge": """WITH r AS (SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS price, CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 250000 THEN 'middle' ELSE 'high' END AS route FROM orders)
 SELECT o_orderkey, (price + CASE route WHEN 'low' THEN 1 WHEN 'middle' THEN 2.5 ELSE 10 END)::DECIMAL(18,2) AS price, route FROM r""",
     "route_expiring_sessions": """WITH n AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 86400000000 THEN 0 ELSE 1 END AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

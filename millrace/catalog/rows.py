@@ -141,6 +141,12 @@ def rate_sliding_window(spark, d):
     return ratelimit.release_windows(rows, "a", ["event_id"], 3, 4).select("event_id", "release")
 
 
+def rate_reject(spark, d):
+    """Without a queue, the first three events of each type and hour are accepted, the others rejected."""
+    rows = _events(spark, d).select("event_id", "event_type", F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("hour"))
+    return ratelimit.reject_beyond(rows, "hour", ["event_id"], 3, ["event_type"]).select("event_id", "accepted")
+
+
 def token_bucket(spark, d):
     """Per user a bucket of 5 tokens with 2 more each day."""
     rows = _events(spark, d).select("event_id", "user_id", F.expr(f"unix_micros(cast(ts as timestamp)) div {DAY_US}").alias("day"))
@@ -190,7 +196,7 @@ _FILTERS = {
 QUERIES = {
     f.__name__: f
     for f in (etl_batch_aggregate, filter_predicate, select_columns, select_rename, derive_columns, flat_map_project, validate_enrich, invoice_payments, metrics_totals, batch_by_size, batch_items, batch_by_size_or_tick, epoch_batch,
-              partition_row_ranges, accumulate_chunks, rate_fixed_window, rate_sliding_window, token_bucket, incremental_read, anchored_read, describe_numeric, envelope_map, trigger_parameters)
+              partition_row_ranges, accumulate_chunks, rate_fixed_window, rate_sliding_window, rate_reject, token_bucket, incremental_read, anchored_read, describe_numeric, envelope_map, trigger_parameters)
 } | _FILTERS
 
 _ENRICHED = """WITH v AS (SELECT event_id, ts, coalesce(length(props), 0) > 0 AND event_id >= 0 AS is_valid,
@@ -204,6 +210,7 @@ SELECT event_id, ({segments} * (i // 3) + max(a - {segments} * (i // 3)) OVER (P
 
 
 ORACLE = {
+    "rate_reject": "SELECT event_id, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 3600000000 ORDER BY event_id) <= 3 AS accepted FROM events",
     "filter_predicate": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000",
     "filter_config_greater": _FILTER_SQL + "o_custkey > 1000",
     "filter_config_less": _FILTER_SQL + "o_custkey < 100",

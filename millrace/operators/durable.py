@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in ``spark.checkpoint.dir``; make one only where that is unset and the master is local."""
     sc = spark.sparkContext
+    # a checkpoint is removed once nothing in the driver refers to it, unless the cluster says otherwise
+    sc._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if sc.getCheckpointDir() is not None:
         return
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -104,6 +104,22 @@ def align_sources(epochs: DataFrame) -> DataFrame:
     return epochs.groupBy("seq").agg(F.countDistinct("source").alias("n_sources"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("source", F.col("seq").alias("s"))))).alias("vector"))
 
 
+def barrier(epochs: DataFrame, sources: list[str]) -> DataFrame:
+    """(seq, n_sources, vector, made): the barrier of registered sources, which enter an epoch only when all have finished the one before.
+
+    ``epochs``: source, seq - the epochs that each source has finished, from 1. An epoch is ``made`` when every registered
+    source has come as far; those beyond are held, whoever has finished them, and all are while a source hasn't come at
+    all. A row of a source that isn't registered fails the query; rows with a null count for nothing; repeated rows count once.
+    """
+    if not sources:
+        raise ValueError("at least one source is needed")
+    known = F.when(F.col("source").isin(*sources), F.col("source")).otherwise(F.raise_error(F.concat(F.lit("source not registered: "), F.col("source"))))
+    rows = epochs.where("source is not null and seq is not null").withColumn("source", known)
+    far = {r["source"]: r["far"] for r in rows.groupBy("source").agg(F.max("seq").alias("far")).collect()}  # a row per registered source
+    mark = min(far.get(s, 0) for s in sources)
+    return align_sources(rows).withColumn("made", F.col("seq") <= mark)
+
+
 def most_specific_ancestor(vectors_: DataFrame, candidates: DataFrame, key: str, value: str) -> DataFrame:
     """(key, ancestor): of the candidates that each vector subsumes and doesn't equal, the one with the most sources, then the greatest sum, then the least key.
 

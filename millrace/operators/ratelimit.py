@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import PART, laid_out, numbered, running, running_max
+from millrace.operators.ordered import PART, laid_out, numbered, numbered_within, running, running_max
 
 
 def release_windows(df: DataFrame, arrival: str, order: list[str], permits: int, segments: int = 1) -> DataFrame:
@@ -28,6 +28,16 @@ def release_windows(df: DataFrame, arrival: str, order: list[str], permits: int,
     return rows.withColumn("release", (F.col("__m") + F.col("__j") * segments).cast("bigint")).drop("__rn", "__i", "__j", "__class", "__a", "__m")
 
 
+def reject_beyond(df: DataFrame, window: str, order: list[str], permits: int, by: list[str] | None = None) -> DataFrame:
+    """Adds ``accepted``: a limiter without a queue lets the first ``permits`` items of each window through, per key of ``by``, and rejects the rest.
+
+    Items of one window are numbered over many tasks. A null window is a window of its own.
+    """
+    if permits <= 0:
+        raise ValueError("permits must be positive")
+    return numbered_within(df, [*(by or []), window], order, "__rn").withColumn("accepted", F.col("__rn") <= permits).drop("__rn")
+
+
 def token_bucket(df: DataFrame, tick: str, order: list[str], capacity: int, tokens: int, by: list[str]) -> DataFrame:
     """Adds ``release``: the tick at which each item gets its token. A bucket per key of ``by`` is full at first and gets ``tokens`` each tick, up to ``capacity``.
 

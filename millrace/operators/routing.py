@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.durable import durable
+from millrace.operators.joins import salted_join
 from millrace.operators.ordered import count_up, with_previous
 from millrace.operators.topology import fan_in
 
@@ -24,18 +26,38 @@ def tag_and_filter(df: DataFrame, key: Column, routes: list[str]) -> DataFrame:
     return df.withColumn("route", key).where(F.col("route").isin(*routes))
 
 
-def route_dynamic(df: DataFrame, key: Column, most: int | None = None) -> DataFrame:
-    """Adds ``route``, made on first sight of each key; more than ``most`` distinct keys fail."""
+def route_dynamic(df: DataFrame, key: Column, most: int | None = None, settings: DataFrame | None = None, template: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Every key's rows through a flow of their own, made on first sight of the key from one template. Adds ``route``; more than ``most`` distinct keys fail.
+
+    ``settings``: what a route is made with, a row per key in the column ``route``; a key that has none, and a null key,
+    fail the query. ``template``: the flow of one route, written once for all: it gets the rows of all routes with ``route`` and
+    their settings, and keeps them apart by ``route`` (``ordered.numbered_within`` and its kind, grouping, windows), so
+    that any number of routes is one pass over the rows, and a hot route is many tasks.
+    """
+    rows = df.withColumn("route", key)
     if most is not None:
-        seen = df.select(key.alias("k")).where("k is not null").distinct().limit(most + 1).count()
+        seen = rows.select("route").where("route is not null").distinct().limit(most + 1).count()
         if seen > most:
             raise ValueError(f"more than {most} dynamic routes")
-    return df.withColumn("route", key)
+    if settings is not None:
+        made = settings.withColumn("__made", F.lit(True))
+        rows = salted_join(rows, made, ["route"])
+        missing = F.raise_error(F.concat(F.lit("no settings for route "), F.coalesce(F.col("route").cast("string"), F.lit("null"))))
+        rows = rows.withColumn("route", F.when(F.col("__made"), F.col("route")).otherwise(missing)).drop("__made")
+    return template(rows) if template else rows
+
 
+def merge_routes(df: DataFrame, routes: dict[str, Callable[[DataFrame], DataFrame]], route: str = "route", keep: bool = False) -> DataFrame:
+    """Each route's rows through its own blocks, the results in one frame. A row whose route has no blocks, or is null, fails the query.
 
-def merge_routes(df: DataFrame, routes: dict[str, Callable[[DataFrame], DataFrame]], route: str = "route") -> DataFrame:
-    """Each route's rows through its own blocks, the results in one frame."""
-    return fan_in(*(f(df.where(F.col(route) == name)) for name, f in routes.items()))
+    ``keep``: the rows are computed once and kept for all branches; without it each branch works out its own rows,
+    which for few branches over a scan is cheaper.
+    """
+    known = ", ".join(routes)
+    unknown = F.raise_error(F.concat(F.lit("no route "), F.coalesce(F.col(route).cast("string"), F.lit("null")), F.lit(f"; routes: {known}")))
+    rows = df.withColumn(route, F.when(F.col(route).isin(*routes), F.col(route)).otherwise(unknown))
+    rows = durable(rows) if keep else rows
+    return fan_in(*(f(rows.where(F.col(route) == name)) for name, f in routes.items()))
 
 
 def expiring_sessions(df: DataFrame, key: str, ts: str, expiry_us: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.sinks import folder_names
+
 
 class CheckpointStore:
     """Checkpoints (id, vector, time in microseconds, states by block) as Parquet, one partition per id. Saving an id again replaces it."""
@@ -22,10 +23,9 @@ class CheckpointStore:
 
     def all(self) -> DataFrame:
         """All checkpoints; an empty frame if there are none."""
-        try:
-            return self.spark.read.schema(f"{self.SCHEMA}, checkpoint_id string").parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], f"{self.SCHEMA}, checkpoint_id string")
+        kind = f"{self.SCHEMA}, checkpoint_id string"
+        there = any(n.startswith("checkpoint_id=") for n in folder_names(self.spark, self.path))
+        return self.spark.read.schema(kind).parquet(self.path) if there else self.spark.createDataFrame([], kind)
 
     def get(self, checkpoint_id: str) -> Row | None:
         return self.all().where(F.col("checkpoint_id") == checkpoint_id).first()

@@ -25,6 +25,32 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema)
 
 
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow IPC files of a folder that all executors can read as a local path; a task per file, a batch at a time."""
+    import os
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    path = path.removeprefix("file://")
+    files = sorted(f"{path}/{n}" for n in os.listdir(path) if n.endswith(".arrow"))
+    if not files:
+        raise FileNotFoundError(f"no Arrow files in {path}")
+    with pa.memory_map(files[0]) as source:
+        schema = from_arrow_schema(pa.ipc.open_file(source).schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for names in batches:
+            for name in names.column(0).to_pylist():
+                with pa.memory_map(name) as source:
+                    reader = pa.ipc.open_file(source)
+                    for i in range(reader.num_record_batches):
+                        yield reader.get_batch(i)
+
+    names = spark.createDataFrame([(f,) for f in files], "f string").repartition(len(files), "f")
+    return names.mapInArrow(run, schema)
+
+
 def from_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """Rows pushed from outside; the channel is complete when the iterable ends."""
     return spark.createDataFrame([*rows], schema)
@@ -42,12 +68,12 @@ def read_after(df: DataFrame, id_column: str, anchor: int, epoch_size: int) -> D
     return batch_by_size(df.where(F.col(id_column) > anchor), epoch_size, [id_column]).withColumnRenamed("batch_id", "epoch_seq")
 
 
-def read_changes(df: DataFrame, version: str, after: int, up_to: int | None) -> DataFrame:
+def read_changes(df: DataFrame, version: str, after: int, up_to: int | None, strategy: str = "VersionDiffFallback") -> DataFrame:
     """Rows with a version in (after, up_to], the upper end held to the latest there is; ``strategy`` tells how they were found."""
     rows = df.where(F.col(version) > after)
     if up_to is not None:
         rows = rows.where(F.col(version) <= up_to)
-    return rows.withColumn("strategy", F.lit("VersionDiffFallback"))
+    return rows.withColumn("strategy", F.lit(strategy))
 
 
 class _Part(InputPartition):

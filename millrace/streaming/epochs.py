@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
-from millrace.operators.epochs import EpochPolicy
+from millrace.operators.epochs import EpochPolicy, cut_epochs
 from millrace.sources.sinks import write_epoch
 
 
@@ -24,12 +24,18 @@ class EpochHooks:
 
 @dataclass
 class EpochConfig:
-    """Policy, hooks, checkpoint strategy (a test of the epoch's number) and named processors, each a function of the epoch's rows."""
+    """Policy, hooks, checkpoint strategy (a test of the epoch's number) and named processors, each a function of the epoch's rows.
+
+    With ``order`` the rows of each micro-batch are cut into epochs by the policy, times by ``ts_us``: processors find the
+    cut in ``epoch_seq``, from 1 in each micro-batch. Without it a micro-batch is one epoch.
+    """
 
     policy: EpochPolicy = field(default_factory=EpochPolicy.by_count)
     hooks: EpochHooks = field(default_factory=EpochHooks)
     checkpoint: Callable[[int], bool] | None = None
     processors: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+    order: list[str] | None = None
+    ts_us: str | None = None
 
     def add_processor(self, name: str, function: Callable[[DataFrame], DataFrame]) -> EpochConfig:
         if not name.strip():
@@ -42,6 +48,8 @@ class EpochConfig:
     def check(self) -> None:
         if not self.processors:
             raise ValueError("at least one processor is needed")
+        if self.order and self.policy.window_us is not None and not self.ts_us:
+            raise ValueError("a policy by time needs the column of times")
 
 
 def run_configured(stream: DataFrame, out: str, checkpoint: str, config: EpochConfig) -> dict[str, list[int]]:
@@ -53,8 +61,9 @@ def run_configured(stream: DataFrame, out: str, checkpoint: str, config: EpochCo
         config.hooks.on_begin(epoch)
         df.persist()
         try:
+            rows = cut_epochs(df, config.policy, config.order, config.ts_us) if config.order else df
             for name, f in config.processors.items():
-                write_epoch(f(df), f"{out}/{name}", epoch)
+                write_epoch(f(rows), f"{out}/{name}", epoch)
         except Exception as e:
             config.hooks.on_error(epoch, e)
             raise

@@ -26,6 +26,11 @@ def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
+def read_epoch_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream in which what each append to the folder wrote is an epoch of its own, in the order of the appends, if each wrote one file."""
+    return read_files(spark, path, schema, 1)
+
+
 def run_epochs(stream: DataFrame, out: str, checkpoint: str, body: Callable[[DataFrame, int], DataFrame] | None = None, mode: str = "append") -> list[int]:
     """Works off all there is: each micro-batch is an epoch, ``body`` runs in it once, its rows replace those of an earlier try. The epochs run.
 
@@ -42,10 +47,10 @@ def run_epochs(stream: DataFrame, out: str, checkpoint: str, body: Callable[[Dat
     return done
 
 
-def window_counts(stream: DataFrame, ts: str, size: str, keys: list[str], late: str) -> DataFrame:
-    """Counts per key and tumbling window of event time; rows later than ``late`` behind the latest are dropped."""
+def window_counts(stream: DataFrame, ts: str, size: str, keys: list[str], late: str, slide: str | None = None) -> DataFrame:
+    """Counts per key and window of event time, tumbling or every ``slide``; rows whose window has ended ``late`` before the latest time of earlier epochs are dropped."""
     rows = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
-    return rows.groupBy(F.window("__ts", size).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys, "n")
+    return rows.groupBy(F.window("__ts", size, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys, "n")
 
 
 def running_counts(stream: DataFrame, key: str, kind: str = "bigint") -> DataFrame:
