@@ -40,7 +40,7 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, brackets: list[_Bra
 
     ``value`` is a bigint column without nulls whose greatest difference fits a bigint. A pass narrows every open
     bracket by a factor of ``bins`` and tightens it to the values that occur, so the passes grow as the logarithm
-    of the distinct values. A row finds its bracket by hash joins: its key gives the first, bracket and bin give each
+    of the distinct values. A row finds its bracket by hash joins: its key, if there are any, gives the first, bracket and bin give each
     that follows. What is broadcast and collected has a row per key, or per rank sought. Bins of fewer than
     ``least_rows`` rows are left.
     """
@@ -49,11 +49,15 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, brackets: list[_Bra
     width = lambda b: (b.hi - b.lo) // bins + 1
     cell = F.expr(f"(`{value}` - __lo) div __width")
     place = [T.StructField(n, T.LongType()) for n in ("__b", "__lo", "__width")]
-    first = spark.createDataFrame([(*b.key, i, b.lo, width(b)) for i, b in enumerate(brackets)], T.StructType([T.StructField(f"__k{i}", kinds[k]) for i, k in enumerate(keys)] + place))
-    met = F.lit(True)
-    for i, k in enumerate(keys):
-        met = met & (F.col(k) == F.col(f"__k{i}"))
-    rows = df.join(F.broadcast(first), met).select(value, "__b", cell.alias("__cell"))
+    if keys:
+        first = spark.createDataFrame([(*b.key, i, b.lo, width(b)) for i, b in enumerate(brackets)], T.StructType([T.StructField(f"__k{i}", kinds[k]) for i, k in enumerate(keys)] + place))
+        met = F.lit(True)
+        for i, k in enumerate(keys):
+            met = met & (F.col(k) == F.col(f"__k{i}"))
+        rows = df.join(F.broadcast(first), met).select(value, "__b", cell.alias("__cell"))
+    else:  # one bracket over all rows; its number 0 is written so that the planner doesn't see a constant, over which it can't hash
+        (b,) = brackets
+        rows = df.select(value, (F.col(value) - F.col(value)).alias("__b"), F.lit(b.lo).cast("bigint").alias("__lo"), F.lit(width(b)).cast("bigint").alias("__width")).select(value, "__b", cell.alias("__cell"))
     done: list[tuple[tuple, object, int, int]] = []
     open_ = dict(enumerate(brackets))
     named = len(brackets)
@@ -92,7 +96,7 @@ def dominating_values(df: DataFrame, column: str, parts: int = 20) -> DataFrame:
     which settles hash collisions. Nulls and empty values are no candidates but count in the total; repeated rows
     count each. An empty table gives no rows.
     """
-    rows = df.select(F.lit(0).alias("g"), F.col(column).cast("string").alias("key_value"))
+    rows = df.select(F.col(column).cast("string").alias("key_value"))
     rows = rows.withColumn("h", F.when(F.col("key_value") != "", F.shiftrightunsigned(F.xxhash64("key_value"), 1)))
     stats = rows.agg(F.count(F.lit(1)).alias("total"), F.count("h").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).first()
     hashed, total = rows.where("h is not null"), stats["total"]
@@ -100,7 +104,7 @@ def dominating_values(df: DataFrame, column: str, parts: int = 20) -> DataFrame:
     hashes: list[int] = []
     if stats["n"] and stats["n"] >= least:
         ranks = {r: [r] for r in range(least, stats["n"] + 1, least)}
-        found = select_ranks(hashed, ["g"], "h", [_Bracket((0,), stats["lo"], stats["hi"], stats["n"], ranks)], least_rows=least)
+        found = select_ranks(hashed, [], "h", [_Bracket((), stats["lo"], stats["hi"], stats["n"], ranks)], least_rows=least)
         hashes = sorted({v for _, _, v, _ in found})
     return (
         hashed.where(F.col("h").isin(hashes) if hashes else F.lit(False))

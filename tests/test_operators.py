@@ -339,3 +339,86 @@ def test_hot_ticks_epochs_and_keys_are_batched_right(spark):
     assert all(x["consumer"] == x["i"] % 3 for x in got)
     got = ratelimit.token_bucket(df.withColumn("t", F.lit(0)), "t", ["i"], 1000, 1000, ["k"])
     assert {x["release"] for x in got.collect()} == {0}
+
+
+def test_routes_without_blocks_or_settings_fail(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "route string, v int")
+    ab = df.where("route is not null")
+    both = {"a": lambda x: x, "b": lambda x: x.withColumn("v", F.col("v") * 10)}
+    for keep in (False, True):
+        assert rows(routing.merge_routes(ab, both, keep=keep)) == [("a", 1), ("b", 20)]
+        with pytest.raises(Exception, match="no route b; routes: a"):
+            routing.merge_routes(ab, {"a": both["a"]}, keep=keep).collect()
+    with pytest.raises(Exception, match="no route null"):
+        routing.merge_routes(df, both).collect()
+    settings = spark.createDataFrame([("a", 7)], "route string, size int")
+    assert rows(routing.route_dynamic(ab.where("route = 'a'").drop("route").withColumn("k", F.lit("a")), F.col("k"), 2, settings).select("route", "size")) == [("a", 7)]
+    for frame in (ab, df.where("route is null")):
+        with pytest.raises(Exception, match="no settings for route"):
+            routing.route_dynamic(frame.withColumnRenamed("route", "k"), F.col("k"), 5, settings).collect()
+
+
+def test_barrier(spark):
+    e = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 2), (None, 9), ("a", None)], "source string, seq bigint")
+    got = {r["seq"]: (r["n_sources"], r["vector"], r["made"]) for r in epochs.barrier(e, ["a", "b"]).collect()}
+    assert got == {1: (2, {"a": 1, "b": 1}, True), 2: (2, {"a": 2, "b": 2}, True), 3: (1, {"a": 3}, False)}
+    assert not any(r["made"] for r in epochs.barrier(e, ["a", "b", "c"]).collect())
+    with pytest.raises(Exception, match="source not registered: b"):
+        epochs.barrier(e, ["a"]).collect()
+    with pytest.raises(ValueError):
+        epochs.barrier(e, [])
+    assert rows(epochs.barrier(e.limit(0), ["a"])) == []
+
+
+def test_a_limiter_without_a_queue_rejects(spark):
+    df = spark.createDataFrame([(i, i // 50 if i < 99 else None) for i in range(100)], "i int, w int")
+    got = {r["i"]: r["accepted"] for r in ratelimit.reject_beyond(df, "w", ["i"], 20).collect()}
+    assert got == {i: i % 50 < 20 or i == 99 for i in range(100)}
+    with pytest.raises(ValueError):
+        ratelimit.reject_beyond(df, "w", ["i"], 0)
+
+
+def test_version_log_raises_what_it_cannot_read(spark, tmp_path):
+    log = sinks.VersionLog(spark, str(tmp_path / "log"))
+    assert log.read() is None and log.latest() == 0 and log.changes(0) is None
+    df = ints(spark, 5)
+    assert log.append(df) == (1, 5) and log.append(df.limit(0)) == (1, 0) and log.append(df) == (2, 5)
+    assert log.latest() == 2 and log.changes(1).count() == 5
+    assert {r["strategy"] for r in log.changes(0).collect()} == {"VersionDiffFallback"}
+    (tmp_path / "log" / "commit_version=1" / "part-broken.parquet").write_text("not parquet")
+    for f in (tmp_path / "log").rglob("part-0*"):
+        f.unlink()
+    with pytest.raises(Exception):
+        log.read().count()
+    assert log.latest() == 2  # and the next append doesn't start at 1 again
+    fed = sinks.VersionLog(spark, str(tmp_path / "fed"), feed=True)
+    fed.append(df)
+    fed.append(df)
+    assert {r["strategy"] for r in fed.changes(0).collect()} == {"ChangeDataFeed"}
+    # a version whose feed is gone: the fallback
+    import shutil
+
+    shutil.rmtree(tmp_path / "fed" / "_change_feed" / "commit_version=2")
+    assert {r["strategy"] for r in fed.changes(0).collect()} == {"VersionDiffFallback"} and {r["strategy"] for r in fed.changes(0, 1).collect()} == {"ChangeDataFeed"}
+
+
+def test_arrow_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * i, None, [i]) for i in range(50)], "i int, s string, n double, a array<int>").repartition(3)
+    sinks.write_arrow(df, str(tmp_path / "a"))
+    assert rows(readers.read_arrow(spark, str(tmp_path / "a"))) == rows(df)
+    sinks.write_arrow(df.limit(0), str(tmp_path / "none"))
+    with pytest.raises(FileNotFoundError):
+        readers.read_arrow(spark, str(tmp_path / "none"))
+
+
+def test_event_sink_snapshots_by_policy(spark, tmp_path):
+    log, snaps = (sinks.VersionLog(spark, str(tmp_path / x)) for x in ("log", "snaps"))
+    fold = lambda df: df.groupBy("run").agg(F.max("id").alias("as_of"))
+    make = lambda xs: spark.createDataFrame(xs, "id bigint, run string, kind string")
+    one = make([(1, "r", "FlowStartedEvent"), (2, "r", "BlockMetricsEvent"), (3, "s", "BlockMetricsEvent")])
+    assert sinks.event_sink(one, log, snaps, "run", "id", "kind", fold) == {"version": 1, "events": 3, "snapshots": 1}
+    two = make([(4, "r", "FlowCompletedEvent"), (100, "s", "BlockMetricsEvent")])
+    assert sinks.event_sink(two, log, snaps, "run", "id", "kind", fold) == {"version": 2, "events": 2, "snapshots": 2}
+    assert rows(snaps.read().select("run", "as_of")) == [("r", 2), ("r", 4), ("s", 100)]
+    assert rows(sinks.read_events(log, "run", "kind", "FlowCompletedEvent").select("id")) == sorted([(1,), (3,), (4,), (100,)], key=repr)
+    assert sinks.event_sink(two.limit(0), log, snaps, "run", "id", "kind", fold)["events"] == 0

@@ -89,3 +89,32 @@ def test_hooks_errors_and_progress(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         run_configured(runs.read_files(spark, src, "id bigint, k bigint", 1), out, str(tmp_path / "ck2"), failing)
     assert log[-1] == ("error", 0)
+
+
+def test_policy_cuts_a_micro_batch(spark, tmp_path):
+    from millrace.operators.epochs import EpochPolicy
+    from millrace.streaming.epochs import EpochConfig, run_configured
+
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    files(spark, src, 2)
+    config = EpochConfig(policy=EpochPolicy.by_count(4), order=["id"])
+    config.add_processor("sizes", lambda df: df.groupBy("epoch_seq").agg(F.count(F.lit(1)).alias("n")))
+    run_configured(runs.read_files(spark, src, "id bigint, k bigint", 1), out, ck, config)
+    assert rows(spark.read.parquet(f"{out}/sizes").select("epoch", "epoch_seq", "n")) == [(e, s, n) for e in (0, 1) for s, n in ((1, 4), (2, 4), (3, 2))]
+    bad = EpochConfig(policy=EpochPolicy.by_time(5), order=["id"])
+    bad.add_processor("x", lambda df: df)
+    with pytest.raises(ValueError):
+        bad.check()
+
+
+def test_late_rows_are_dropped_by_window(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    for hours in ([0, 1, 30], [31], [32], [0, 27, 33]):  # the last file's first row is late
+        spark.createDataFrame([(h,) for h in hours], "h int").selectExpr("timestamp_ntz '2025-01-01 00:30:00' + make_interval(0, 0, 0, 0, h) as ts", "'k' as k").coalesce(1).write.mode("append").parquet(src)
+    stream = runs.window_counts(runs.read_epoch_files(spark, src, "ts timestamp_ntz, k string"), "ts", "2 hours", ["k"], "6 hours", "1 hour")
+    done = runs.run_epochs(stream, out, ck, mode="update")
+    hour = F.expr("timestampdiff(HOUR, timestamp_ntz '2025-01-01 00:00:00', window_start)").alias("hour")
+    got = dict(rows(spark.read.parquet(out).groupBy(hour).agg(F.max_by("n", "epoch"))))
+    assert len(done) >= 4
+    # the row at 0:30 of the last file, 31 hours behind, counts nowhere; that at 27:30 does, six hours being allowed
+    assert got == {-1: 1, 0: 2, 1: 1, 26: 1, 27: 1, 29: 1, 30: 2, 31: 2, 32: 2, 33: 1}
