@@ -80,6 +80,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return both.select("record_table", "record_id", F.col("kind").alias("node_kind"), F.coalesce("parent_key", F.lit("")).alias("parent_key"), "node_key").distinct()
 
 
+def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The whole adjacency tables, with every scalar: per record the nodes by kind. A map counts as an object."""
+    both = _shredded(spark, d, "flow_event", None).withColumn("record_table", F.lit("flow_event")).unionByName(_shredded(spark, d, "flow_snapshot", None).withColumn("record_table", F.lit("flow_snapshot")))
+    # copies of a record have equal nodes
+    once = both.groupBy("record_table", "record_id", "doc", "node").agg(F.first("kind").alias("kind"))
+    return once.groupBy("record_table", "record_id").agg(F.count_if(F.col("kind").isin("object", "map")).alias("n_objects"), F.count_if(F.col("kind") == "scalar").alias("n_scalars"))
+
+
 def p2_entries(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of journal entries, linked to batch and journal."""
     nodes = _shredded(spark, d, "flow_event", {"batchid", "journalid", "journaltype", "entryid", "account", "amount"})
@@ -135,7 +143,7 @@ def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(_readings(spark, d), _SERIES, "at_us", "current_count", SLOT_US, GAP_LIMIT_US)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_entries, p2_blocks, p4_found, p4_totals, p4_quantiles, p5_found, p5_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_nodes, p2_entries, p2_blocks, p4_found, p4_totals, p4_quantiles, p5_found, p5_grid)}
 
 _P1_SPANS = """
 WITH rows_ AS (
@@ -158,7 +166,7 @@ s AS (SELECT flow_run_id, source_block, target_block, (t // 10000000) * 10000000
 p AS (SELECT *, lead(slot_us) OVER w AS next_us, lead(f) OVER w AS nf FROM s WINDOW w AS (PARTITION BY flow_run_id, source_block, target_block ORDER BY slot_us)),
 missing AS (SELECT *, unnest(generate_series(slot_us + 10000000, next_us - 10000000, 10000000)) AS at_us FROM p WHERE next_us > slot_us + 10000000)
 """
-_P2_FOUND = r"""
+NESTED = r"""
 WITH RECURSIVE raw AS (SELECT DISTINCT 'flow_event' AS record_table, id::VARCHAR AS record_id, payload AS t FROM flow_event WHERE id IS NOT NULL AND payload IS NOT NULL
   UNION ALL SELECT DISTINCT 'flow_snapshot', flow_run_id, snapshot_json FROM flow_snapshot WHERE flow_run_id IS NOT NULL AND snapshot_json IS NOT NULL),
 good AS (SELECT record_table, record_id, t FROM raw WHERE json_valid(t)),
@@ -187,14 +195,18 @@ ORACLE = {
     "p1_coverage": _P1_SPANS
     + """SELECT entity_kind, entity_key, count(*) FILTER (span_kind = 'period') AS n_periods, count(*) FILTER (span_kind = 'gap') AS n_gaps,
   coalesce(sum(end_us - start_us) FILTER (span_kind = 'period'), 0)::BIGINT AS covered_us, coalesce(sum(end_us - start_us) FILTER (span_kind = 'gap'), 0)::BIGINT AS idle_us FROM spans GROUP BY ALL""",
-    "p2_found": _P2_FOUND + """, journals AS (SELECT j.doc, j.tree, j.node, b.node_key AS batch_key, j.node_key FROM keyed j LEFT JOIN keyed b ON b.doc = j.doc AND b.tree = j.tree AND b.node = j.above AND b.kind = 'batch' WHERE j.kind = 'journal')
+    "p2_found": NESTED + """, journals AS (SELECT j.doc, j.tree, j.node, b.node_key AS batch_key, j.node_key FROM keyed j LEFT JOIN keyed b ON b.doc = j.doc AND b.tree = j.tree AND b.node = j.above AND b.kind = 'batch' WHERE j.kind = 'journal')
 SELECT DISTINCT d.record_table, d.record_id, k.kind AS node_kind, CASE k.kind WHEN 'journal' THEN coalesce(j.batch_key, '') WHEN 'entry' THEN coalesce(coalesce(o.batch_key, '') || '/' || o.node_key, '') ELSE '' END AS parent_key, k.node_key
 FROM keyed k JOIN docs d ON d.doc = k.doc LEFT JOIN journals j ON j.doc = k.doc AND j.tree = k.tree AND j.node = k.node LEFT JOIN journals o ON o.doc = k.doc AND o.tree = k.tree AND o.node = k.above""",
-    "p2_entries": _P2_FOUND
+    "p2_nodes": NESTED
+    + """, a AS (SELECT d.record_table, d.record_id, n.type FROM n JOIN docs d ON d.doc = n.doc LEFT JOIN texts t ON t.doc = n.doc AND n.tree = 0 AND t.tree = n.node AND json_valid(t.t) AND json_type(t.t) <> 'NULL'
+  WHERE t.doc IS NULL OR d.record_table <> 'flow_event')
+SELECT record_table, record_id, count(*) FILTER (type = 'OBJECT') AS n_objects, count(*) FILTER (type NOT IN ('OBJECT', 'ARRAY')) AS n_scalars FROM a GROUP BY 1, 2""",
+    "p2_entries": NESTED
     + """SELECT DISTINCT d.record_id::BIGINT AS event_id, b.batch AS batch_id, j.journal AS journal_id, j.journal_type, e.entry AS entry_id, e.ordinal, e.account, try_cast(e.amount AS DECIMAL(18,2)) AS amount
   FROM keyed e JOIN docs d ON d.doc = e.doc LEFT JOIN keyed j ON j.doc = e.doc AND j.tree = e.tree AND j.node = e.above AND j.kind = 'journal'
   LEFT JOIN keyed b ON b.doc = j.doc AND b.tree = j.tree AND b.node = j.above AND b.kind = 'batch' WHERE e.kind = 'entry' AND d.record_table = 'flow_event'""",
-    "p2_blocks": _P2_FOUND
+    "p2_blocks": NESTED
     + """SELECT DISTINCT d.record_id AS flow_run_id, coalesce(block, map_key) AS block_name, block_type, state, try_cast(consumed AS BIGINT) AS items_consumed, try_cast(produced AS BIGINT) AS items_produced
   FROM keyed k JOIN docs d ON d.doc = k.doc WHERE k.kind = 'block' AND d.record_table = 'flow_snapshot'""",
     "p4_found": """SELECT 'customer' AS field, customer AS key_value FROM invoice WHERE customer <> '' GROUP BY customer HAVING count(*) * 20 >= (SELECT count(*) FROM invoice)

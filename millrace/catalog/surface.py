@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.catalog.problems import NESTED
 from millrace.functions import scalars
 from millrace.operators import functions, topology
+from millrace.operators.durable import durable
 from millrace.operators.epochs import single_epoch
 from millrace.operators.shred import Shape, entity_table, shred
 from millrace.plans.graph import Block, Edge, Graph
@@ -120,11 +122,16 @@ def observed_metrics(spark, d):
     return spark.createDataFrame([(seen.get["n"], seen.get["last_key"])], "n bigint, last_key bigint")
 
 
-def graph_order(spark, d):
-    """The blocks of every graph defined in the events, in the order in which they can run; a block on or behind a cycle has no place."""
+def _graph_parts(spark, d):
+    """The blocks and edges of every graph defined in the events."""
     shape = Shape({"blocks": ("blockname",), "edges": ("sourceblock", "targetblock")}, frozenset({"edges"}), scalars=frozenset({"blockname", "sourceblock", "targetblock"}))
     nodes = shred(table(spark, d, "flow_event").where("event_type = 'FlowGraphDefinedEvent'"), "id", "payload", shape)
-    parts = entity_table(nodes, {"blocks": "block", "edges": "edge"}, {"name": ("blockName",), "source": ("sourceBlock",), "target": ("targetBlock",)})
+    return entity_table(nodes, {"blocks": "block", "edges": "edge"}, {"name": ("blockName",), "source": ("sourceBlock",), "target": ("targetBlock",)})
+
+
+def graph_order(spark, d):
+    """The blocks of every graph defined in the events, in the order in which they can run; a block on or behind a cycle has no place."""
+    parts = _graph_parts(spark, d)
 
     # a block is named by its key in a map if it holds no name itself
     name = F.coalesce("name", F.when(F.col("kind") == "block", F.col("map_key"))).alias("name")
@@ -142,6 +149,18 @@ def graph_order(spark, d):
     return graphs.select("record_id", "parts").mapInPandas(ordered, "record_id string, place bigint, block string")
 
 
+def graph_sound(spark, d):
+    """Per graph the blocks, those that ``graph_order`` gives a place, and the edges against that order: there must be none."""
+    order = durable(graph_order(spark, d).distinct())
+    edges = _graph_parts(spark, d).where("kind = 'edge'").select("record_id", "source", "target").distinct()
+    ends = [order.select("record_id", F.col("block").alias(end), F.col("place").alias(f"{end}_place")) for end in ("source", "target")]
+    wrong = F.col("target_place").isNotNull() & (F.col("source_place").isNull() | (F.col("source_place") >= F.col("target_place")))
+    broken = edges.join(ends[0], ["record_id", "source"]).join(ends[1], ["record_id", "target"]).where(wrong).groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = order.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count("place").alias("n_placed"), F.coalesce(F.max("place"), F.lit(0)).alias("last"))
+    bad = F.coalesce("n", F.lit(0)) + F.when(F.col("last") != F.col("n_placed"), 1).otherwise(0)
+    return counts.join(broken, "record_id", "left").select("record_id", "n_blocks", "n_placed", bad.cast("bigint").alias("n_broken"))
+
+
 def stream_tenants(spark, d):
     """A stream over a versioned log; the tenant is a partition column, the cursor is the checkpoint."""
     log = sinks.VersionLog(spark, runs.shared_folder(spark, "tenants"))
@@ -154,8 +173,16 @@ def stream_tenants(spark, d):
     return spark.read.parquet(f"{base}/out").groupBy(F.col("commit_version").cast("bigint").alias("commit_version")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (block_seconds, observed_metrics, graph_order, stream_tenants, map_batches, epoch_actor, scalar_function, grouped_function, epoch_streams, csv_round_trip, json_ingest, input_channel, checkpoint_store, stream_processors, top_per_group)}
+QUERIES = {f.__name__: f for f in (block_seconds, observed_metrics, graph_order, graph_sound, stream_tenants, map_batches, epoch_actor, scalar_function, grouped_function, epoch_streams, csv_round_trip, json_ingest, input_channel, checkpoint_store, stream_processors, top_per_group)}
 ORACLE = {
+    "graph_sound": NESTED
+    + """, g AS (SELECT DISTINCT id::VARCHAR AS record_id FROM flow_event WHERE event_type = 'FlowGraphDefinedEvent'),
+p AS (SELECT d.record_id, k.* FROM keyed k JOIN docs d ON d.doc = k.doc JOIN g ON g.record_id = d.record_id WHERE d.record_table = 'flow_event' AND k.kind IN ('block', 'edge')),
+b AS (SELECT DISTINCT record_id, coalesce(block, map_key) AS name FROM p WHERE kind = 'block' AND coalesce(block, map_key) IS NOT NULL),
+e AS (SELECT DISTINCT p.record_id, p.source, p.target FROM p JOIN b s ON s.record_id = p.record_id AND s.name = p.source JOIN b t ON t.record_id = p.record_id AND t.name = p.target WHERE p.kind = 'edge'),
+reach AS (SELECT * FROM e UNION SELECT r.record_id, r.source, e.target FROM reach r JOIN e ON e.record_id = r.record_id AND e.source = r.target),
+held AS (SELECT DISTINCT r.record_id, r.target AS name FROM reach r JOIN (SELECT record_id, source FROM reach WHERE source = target) c ON c.record_id = r.record_id AND c.source = r.source)
+SELECT b.record_id, count(*) AS n_blocks, count(*) - count(held.name) AS n_placed, 0::BIGINT AS n_broken FROM b LEFT JOIN held ON held.record_id = b.record_id AND held.name = b.name GROUP BY 1""",
     "block_seconds": "WITH b AS (SELECT state, (epoch_us(end_time) - epoch_us(start_time)) / 1e6 AS s FROM block_snapshot) SELECT state, count(s) AS n, min(s) AS least, max(s) AS greatest FROM b GROUP BY 1",
     "observed_metrics": "SELECT count(*) AS n, max(o_orderkey) AS last_key FROM orders",
     "stream_tenants": "SELECT CASE WHEN event_type = 'click' THEN 1 ELSE 2 END::BIGINT AS commit_version, count(*) AS n FROM events WHERE user_id % 3 = 1 GROUP BY 1",

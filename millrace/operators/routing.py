@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.durable import durable
+from millrace.operators.durable import durable, shuffle_partitions
 from millrace.operators.joins import salted_join
 from millrace.operators.ordered import count_up, with_previous
 from millrace.operators.topology import fan_in
@@ -77,7 +77,10 @@ def routed_epochs(df: DataFrame, route: str, epoch: str, routes: list[str] | Dat
     counts = df.groupBy(epoch, route).agg(F.count(F.lit(1)).alias("n"))
     epochs = df.select(epoch).distinct()
     if isinstance(routes, DataFrame):
-        grid = epochs.crossJoin(routes.select(route).distinct())
+        # every epoch meets every route, as the result asks; each of the parts that the epochs fall into gets a copy of the routes
+        parts = shuffle_partitions(df.sparkSession)
+        of_part = routes.select(route).distinct().withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        grid = epochs.withColumn("__part", F.pmod(F.xxhash64(epoch), F.lit(parts)).cast("int")).join(of_part, "__part").drop("__part")
         met = F.col(f"g.{epoch}").eqNullSafe(F.col(f"c.{epoch}")) & F.col(f"g.{route}").eqNullSafe(F.col(f"c.{route}"))
         return grid.alias("g").join(counts.alias("c"), met, "left").select(f"g.{epoch}", f"g.{route}", F.coalesce("c.n", F.lit(0)).alias("n"))
     grid = epochs.withColumn(route, F.explode(F.array(*(F.lit(r) for r in routes))))
