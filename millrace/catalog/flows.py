@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, joins, routing, topology
@@ -164,6 +165,28 @@ def grouping_sets(spark, d):
     return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cube_counts(spark, d):
+    """Orders by status and priority in every combination."""
+    return table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+
+
+def chosen_grouping_sets(spark, d):
+    """Orders by status and by priority apart, and in all; distinct customers beside the counts."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return table(spark, d, "orders").groupingSets([[status], [priority], []], status, priority).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("n_customers"))
+
+
+def window_frames(spark, d):
+    """Per customer the orders' ranks, quarters, first and last price, and the mean over three neighbours; no customer holds many orders."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    near, all_ = w.rowsBetween(-1, 1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_price = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.rank().over(by_price).alias("price_rank"), F.dense_rank().over(by_price).alias("price_dense"), F.ntile(4).over(w).alias("quarter"),
+        F.first("o_totalprice").over(all_).alias("first_price"), F.last("o_totalprice").over(all_).alias("last_price"), F.round(F.avg("o_totalprice").over(near), 4).alias("near_mean"), F.lag("o_orderkey").over(w).alias("before"),
+    )
+
+
 def nest_orders(spark, d):
     """Orders with their lines as arrays; size and first part of each."""
     line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
@@ -220,7 +243,7 @@ def sorted_page(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (broadcast_fanout_counts, competing_assignment, round_robin_per_user, fan_in_union, row_concat, column_merge, dedup_global, dedup_in_chunk, control_broadcast, set_operations, route_static, route_tag_filter, route_dynamic_counts, route_template,
-              route_merge, route_expiring_sessions, routed_epoch_grid, groupby_per_chunk, groupby_global, grouping_sets, nest_orders, unnest_orders, lookup_join, write_back_lookup, log_chunks, dynamic_flow, sorted_page)
+              route_merge, route_expiring_sessions, routed_epoch_grid, groupby_per_chunk, groupby_global, grouping_sets, cube_counts, chosen_grouping_sets, window_frames, nest_orders, unnest_orders, lookup_join, write_back_lookup, log_chunks, dynamic_flow, sorted_page)
 }
 
 ORACLE = {
@@ -249,6 +272,12 @@ SELECT e.epoch, r.event_type, count(x.event_id) AS n FROM e CROSS JOIN r LEFT JO
     "groupby_per_chunk": "SELECT event_id // 1000 AS chunk, event_type, count(*) AS n, sum(value::DECIMAL(18,2))::DECIMAL(38,2) AS total FROM events GROUP BY 1, 2",
     "groupby_global": "SELECT event_type, round(avg(value), 6) AS mean, sum(value::DECIMAL(18,2))::DECIMAL(38,2) AS total, count(*) AS n FROM events GROUP BY 1",
     "grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "cube_counts": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus, o_orderpriority)::BIGINT AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "chosen_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS n_customers FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "window_frames": """SELECT o_orderkey, (rank() OVER p)::INT AS price_rank, (dense_rank() OVER p)::INT AS price_dense, (ntile(4) OVER w)::INT AS quarter, first_value(o_totalprice) OVER a AS first_price, last_value(o_totalprice) OVER a AS last_price,
+  round(avg(o_totalprice) OVER n, 4) AS near_mean, lag(o_orderkey) OVER w AS before FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), p AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC), a AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+  n AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""",
     "nest_orders": "SELECT l_orderkey, count(*) AS n, min(l_partkey) AS first_part FROM lineitem GROUP BY 1",
     "unnest_orders": "SELECT l_orderkey, l_partkey, count(*) AS n, sum(l_quantity::DECIMAL(18,2))::DECIMAL(38,2) AS quantity FROM lineitem GROUP BY 1, 2",
     "lookup_join": "SELECT p_brand, n_name, sum(l_quantity::DECIMAL(18,2))::DECIMAL(38,2) AS quantity FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2",

@@ -220,19 +220,19 @@ def entity_table(nodes: DataFrame, containers: dict[str, str], fields: dict[str,
     """One row per object found in a container: its keys, ``kind``, ``owner``, ``map_key``, ``ordinal`` and ``fields``.
 
     containers: label -> kind of the entity. fields: column -> scalar labels it is taken from, in any letter case,
-    the first label that has a value first. Object nodes and scalar children meet by the object's id in one
+    the first label that has a value first; of labels that differ in letter case only, the first in the object. Object nodes and scalar children meet by the object's id in one
     shuffle; copies fold together on the map side.
     """
     wanted = sorted({x.lower() for labels in fields.values() for x in labels})
     low = F.lower("label")
     objects = nodes.where((F.col("kind") == "object") & F.col("container").isin([*containers]))
     children = nodes.where((F.col("kind") == "scalar") & low.isin(wanted) & F.col("container").isNull())
-    both = objects.select(*NODE, "container", "owner", "map_key", "ordinal", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("scalar")).unionByName(
-        children.select("record_id", "doc", F.col("parent").alias("node"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("int").alias("owner"), F.lit(None).cast("string").alias("map_key"), F.lit(None).cast("int").alias("ordinal"), low.alias("label"), "scalar")
+    both = objects.select(*NODE, "container", "owner", "map_key", "ordinal", F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("scalar")).unionByName(
+        children.select("record_id", "doc", F.col("parent").alias("node"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("int").alias("owner"), F.lit(None).cast("string").alias("map_key"), F.lit(None).cast("int").alias("ordinal"), F.col("ordinal").alias("at"), low.alias("label"), "scalar")
     )
     met = both.groupBy(*NODE).agg(
         *(F.max(c).alias(c) for c in ("container", "owner", "map_key", "ordinal")),
-        *(F.max(F.when(F.col("label") == x, F.col("scalar"))).alias(f"__s_{x}") for x in wanted),
+        *(F.min(F.when((F.col("label") == x) & F.col("scalar").isNotNull(), F.struct("at", "scalar")))["scalar"].alias(f"__s_{x}") for x in wanted),
     )
     kinds = F.create_map(*(F.lit(x) for pair in containers.items() for x in pair))
     return met.where(F.col("container").isNotNull()).select(*NODE, "owner", "map_key", "ordinal", kinds[F.col("container")].alias("kind"), *(F.coalesce(*(F.col(f"__s_{x.lower()}") for x in labels)).alias(c) for c, labels in fields.items()))

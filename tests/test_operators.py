@@ -422,3 +422,33 @@ def test_event_sink_snapshots_by_policy(spark, tmp_path):
     assert rows(snaps.read().select("run", "as_of")) == [("r", 2), ("r", 4), ("s", 100)]
     assert rows(sinks.read_events(log, "run", "kind", "FlowCompletedEvent").select("id")) == sorted([(1,), (3,), (4,), (100,)], key=repr)
     assert sinks.event_sink(two.limit(0), log, snaps, "run", "id", "kind", fold)["events"] == 0
+
+
+def test_leases_of_tenants(spark, tmp_path):
+    from millrace.sources.leases import Leases
+
+    now = [100.0]
+    one = Leases(spark, str(tmp_path / "l"), 10, lambda: now[0])
+    two = Leases(spark, str(tmp_path / "l"), 10, lambda: now[0])
+    assert one.holder("t") is None and one.acquire("t", "a") and one.holder("t") == ("a", 110.0)
+    assert not two.acquire("t", "b") and not two.release("t", "b")
+    now[0] = 105
+    assert one.acquire("t", "a") and two.holder("t") == ("a", 115.0)  # renewed
+    now[0] = 116
+    assert two.holder("t") is None and two.acquire("t", "b") and not one.acquire("t", "a")
+    assert two.release("t", "b") and one.acquire("t", "a")
+    assert one.cursor("t") == two.cursor("t")
+    for bad in ("", "a/b"):
+        with pytest.raises(ValueError):
+            one.acquire(bad, "a")
+    with pytest.raises(ValueError):
+        Leases(spark, "x", 0)
+
+
+def test_the_first_of_labels_that_differ_in_case(spark):
+    from millrace.operators.shred import Shape, entity_table, shred
+
+    df = spark.createDataFrame([("r", '{"blocks": [{"State": "a", "STATE": "z", "blockName": "b"}, {"STATE": null, "state": "c", "blockName": "d"}]}')], "id string, j string")
+    nodes = shred(df, "id", "j", Shape({"blocks": ("blockname",)}))
+    got = entity_table(nodes, {"blocks": "block"}, {"name": ("blockName",), "state": ("state",)}).select("name", "state")
+    assert rows(got) == [("b", "a"), ("d", "c")]
