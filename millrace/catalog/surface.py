@@ -17,7 +17,7 @@ from millrace.sources import readers, sinks
 from millrace.sources.checkpoints import CheckpointStore
 from millrace.sources.tables import table
 from millrace.streaming import runs
-from millrace.streaming.epochs import EpochConfig, run_configured
+from millrace.streaming.epochs import EpochConfig, Progress, run_configured, run_flows
 
 
 def map_batches(spark, d):
@@ -129,6 +129,53 @@ def _graph_parts(spark, d):
     return entity_table(nodes, {"blocks": "block", "edges": "edge"}, {"name": ("blockName",), "source": ("sourceBlock",), "target": ("targetBlock",)})
 
 
+def competing_workers(spark, d):
+    """B1: every order to exactly one of the workers that compete for partitions; what they added up."""
+    n, keys = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def work(rows):
+        for r in rows:
+            n.add(1)
+            keys.add(r["o_orderkey"])
+
+    sinks.for_each_part(table(spark, d, "orders").select("o_orderkey"), work)
+    return spark.createDataFrame([(n.value, keys.value)], "n bigint, total bigint")
+
+
+def output_rows(spark, d):
+    """B2: the rows of a result handed to the caller one after another: events per type and user group."""
+    counts = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 10).alias("user_group")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([tuple(r) for r in sinks.rows_of(counts)], "event_type string, user_group bigint, n bigint")
+
+
+def stream_progress(spark, d):
+    """What a listener is told while a stream runs: it started, its epochs with their rows and a rate, it ended."""
+    import time
+
+    told = Progress()
+    spark.streams.addListener(told)
+    try:
+        base = runs.shared_folder(spark, "progress")
+        stream = runs.read_files(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema)
+        runs.run_epochs(stream.select("event_id"), f"{base}/out", f"{base}/ck")
+        for _ in range(100):  # the listener is told a little later
+            if told.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(told)
+    rows = sum(n for _, _, n, _ in told.epochs)
+    rated = all(rate > 0 for _, _, n, rate in told.epochs if n)
+    return spark.createDataFrame([(len(told.started), len(told.ended), rows, rated)], "n_started bigint, n_ended bigint, n_rows bigint, rated boolean")
+
+
+def throttled_flows(spark, d):
+    """Five flows, at most two at a time."""
+    names = ["orders", "events", "part", "customer", "supplier"]
+    done, most = run_flows({n: (lambda n=n: table(spark, d, n).count()) for n in names}, 2, spark)
+    return spark.createDataFrame([(n, done[n], most <= 2) for n in names], "flow string, n bigint, held_back boolean")
+
+
 def graph_order(spark, d):
     """The blocks of every graph defined in the events, in the order in which they can run; a block on or behind a cycle has no place."""
     parts = _graph_parts(spark, d)
@@ -173,8 +220,12 @@ def stream_tenants(spark, d):
     return spark.read.parquet(f"{base}/out").groupBy(F.col("commit_version").cast("bigint").alias("commit_version")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (block_seconds, observed_metrics, graph_order, graph_sound, stream_tenants, map_batches, epoch_actor, scalar_function, grouped_function, epoch_streams, csv_round_trip, json_ingest, input_channel, checkpoint_store, stream_processors, top_per_group)}
+QUERIES = {f.__name__: f for f in (block_seconds, observed_metrics, competing_workers, output_rows, stream_progress, throttled_flows, graph_order, graph_sound, stream_tenants, map_batches, epoch_actor, scalar_function, grouped_function, epoch_streams, csv_round_trip, json_ingest, input_channel, checkpoint_store, stream_processors, top_per_group)}
 ORACLE = {
+    "competing_workers": "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders",
+    "output_rows": "SELECT event_type, user_id % 10 AS user_group, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_progress": "SELECT 1::BIGINT AS n_started, 1::BIGINT AS n_ended, count(*) AS n_rows, true AS rated FROM events",
+    "throttled_flows": "SELECT 'orders' AS flow, count(*) AS n, true AS held_back FROM orders UNION ALL SELECT 'events', count(*), true FROM events UNION ALL SELECT 'part', count(*), true FROM part UNION ALL SELECT 'customer', count(*), true FROM customer UNION ALL SELECT 'supplier', count(*), true FROM supplier",
     "graph_sound": NESTED
     + """, g AS (SELECT DISTINCT id::VARCHAR AS record_id FROM flow_event WHERE event_type = 'FlowGraphDefinedEvent'),
 p AS (SELECT d.record_id, k.* FROM keyed k JOIN docs d ON d.doc = k.doc JOIN g ON g.record_id = d.record_id WHERE d.record_table = 'flow_event' AND k.kind IN ('block', 'edge')),

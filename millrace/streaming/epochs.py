@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -107,3 +109,25 @@ def pool(spark: SparkSession, name: str) -> Iterator[None]:
         yield
     finally:
         sc.setLocalProperty("spark.scheduler.pool", before)
+
+
+def run_flows(flows: dict[str, Callable[[], object]], most: int, spark: SparkSession) -> tuple[dict[str, object], int]:
+    """Runs flows, at most ``most`` at a time, each in a scheduler pool of its own; their results by name, and how many ran at once at most. The first error is raised once those running have ended."""
+    if most <= 0:
+        raise ValueError("at least one flow must run")
+    lock, now, top = threading.Lock(), [0], [0]
+
+    def one(name: str, flow: Callable[[], object]) -> object:
+        with lock:
+            now[0] += 1
+            top[0] = max(top[0], now[0])
+        try:
+            with pool(spark, name):
+                return flow()
+        finally:
+            with lock:
+                now[0] -= 1
+
+    with ThreadPoolExecutor(most) as workers:
+        started = {name: workers.submit(one, name, flow) for name, flow in flows.items()}
+        return {name: f.result() for name, f in started.items()}, top[0]
