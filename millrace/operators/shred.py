@@ -225,11 +225,14 @@ def entity_table(nodes: DataFrame, containers: dict[str, str], fields: dict[str,
     """
     wanted = sorted({x.lower() for labels in fields.values() for x in labels})
     low = F.lower("label")
-    objects = nodes.where((F.col("kind") == "object") & F.col("container").isin([*containers]))
-    children = nodes.where((F.col("kind") == "scalar") & low.isin(wanted) & F.col("container").isNull())
-    both = objects.select(*NODE, "container", "owner", "map_key", "ordinal", F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("scalar")).unionByName(
-        children.select("record_id", "doc", F.col("parent").alias("node"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("int").alias("owner"), F.lit(None).cast("string").alias("map_key"), F.lit(None).cast("int").alias("ordinal"), F.col("ordinal").alias("at"), low.alias("label"), "scalar")
-    )
+    # one pass over the nodes: an object goes by its own number, a scalar by its parent's
+    is_object = (F.col("kind") == "object") & F.col("container").isin([*containers])
+    is_child = (F.col("kind") == "scalar") & low.isin(wanted) & F.col("container").isNull()
+    of_object = lambda c: F.when(is_object, F.col(c)).alias(c)
+    both = nodes.where(is_object | is_child).select(
+        "record_id", "doc", F.when(is_object, F.col("node")).otherwise(F.col("parent")).alias("node"), *(of_object(c) for c in ("container", "owner", "map_key", "ordinal")),
+        F.when(is_child, F.col("ordinal")).alias("at"), F.when(is_child, low).alias("label"), F.when(is_child, F.col("scalar")).alias("scalar"),
+    )
     met = both.groupBy(*NODE).agg(
         *(F.max(c).alias(c) for c in ("container", "owner", "map_key", "ordinal")),
         *(F.min(F.when((F.col("label") == x) & F.col("scalar").isNotNull(), F.struct("at", "scalar")))["scalar"].alias(f"__s_{x}") for x in wanted),
