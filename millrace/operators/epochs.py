@@ -123,15 +123,20 @@ def barrier(epochs: DataFrame, sources: list[str]) -> DataFrame:
 def most_specific_ancestor(vectors_: DataFrame, candidates: DataFrame, key: str, value: str) -> DataFrame:
     """(key, ancestor): of the candidates that each vector subsumes and doesn't equal, the one with the most sources, then the greatest sum, then the least key.
 
-    ``candidates`` is a list of known epochs of at most MOST_CANDIDATES rows, which is checked; it is held against each row.
+    ``candidates`` is a list of known epochs of at most MOST_CANDIDATES rows, which is checked. A candidate is looked at
+    only for vectors that have its first source: they meet by a hash join on that source. One that asks for no source meets all. A row without an ancestor, or with a null vector, gets null.
     """
     if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
         raise ValueError(f"more than {MOST_CANDIDATES} candidate epochs")
-    c = candidates.select(F.col(key).alias("__ck"), F.col(value).alias("__cv"))
+    asked = F.transform(F.filter(F.map_entries(F.col("__cv")), lambda e: e["value"] >= 0), lambda e: e["key"])  # a missing source counts as -1
+    c = candidates.select(F.col(key).alias("__ck"), F.col(value).alias("__cv")).where("__cv is not null")
+    c = c.withColumn("__by", F.struct((F.size(asked) > 0).alias("some"), F.coalesce(F.array_min(asked), F.lit("")).alias("source")))
+    ways = F.transform(F.coalesce(F.map_keys(F.col(value)), F.array().cast("array<string>")), lambda x: F.struct(F.lit(True).alias("some"), x.alias("source")))
+    rows = vectors_.select(key, value, F.explode(F.concat(ways, F.array(F.struct(F.lit(False).alias("some"), F.lit("").alias("source"))))).alias("__by"))
     equal = vectors.at_most(F.col(value), F.col("__cv")) & vectors.at_most(F.col("__cv"), F.col(value))
-    met = vectors_.join(F.broadcast(c), vectors.subsumes(F.col(value), F.col("__cv")) & ~equal, "left")
+    met = rows.join(F.broadcast(c), (rows["__by"] == c["__by"]) & F.col(value).isNotNull() & vectors.subsumes(F.col(value), F.col("__cv")) & ~equal, "left")
     rank = F.struct(F.cardinality("__cv"), vectors.total(F.col("__cv")), -F.col("__ck"))
-    return met.groupBy(key).agg(F.max_by("__ck", rank).alias("ancestor"))
+    return met.groupBy(key).agg(F.max_by("__ck", F.when(F.col("__ck").isNotNull(), rank)).alias("ancestor"))
 
 
 def every_n(df: DataFrame, seq: str, n: int) -> DataFrame:

@@ -452,3 +452,19 @@ def test_the_first_of_labels_that_differ_in_case(spark):
     nodes = shred(df, "id", "j", Shape({"blocks": ("blockname",)}))
     got = entity_table(nodes, {"blocks": "block"}, {"name": ("blockName",), "state": ("state",)}).select("name", "state")
     assert rows(got) == [("b", "a"), ("d", "c")]
+
+
+def test_most_specific_ancestor_against_all_pairs(spark):
+    r = random.Random(4)
+    make = lambda n: {s: r.randrange(-1, 6) for s in r.sample("abcde", n)}
+    own = [(i, make(r.randrange(0, 5))) for i in range(60)] + [(60, None)]
+    known = [(i, make(r.randrange(0, 4))) for i in range(40)] + [(40, {}), (41, {"a": -1})]
+
+    def best(v):
+        fits = [(len(c), sum(c.values()), -k) for k, c in known if v is not None and all(v.get(s, -1) >= n for s, n in c.items()) and c != v]
+        return -max(fits)[2] if fits else None
+
+    frames = [spark.createDataFrame(x, "id bigint, v map<string,bigint>") for x in (own, known)]
+    got = epochs.most_specific_ancestor(*frames, "id", "v")
+    assert dict(rows(got)) == {k: best(v) for k, v in own}
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
