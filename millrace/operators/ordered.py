@@ -109,24 +109,6 @@ def last_known(df: DataFrame, value: str, order: list[str], name: str) -> DataFr
     return joined.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), F.col("__carry"))).drop(PART, "__at", "__carry")
 
 
-def running_max(df: DataFrame, value: str, order: list[str], lane: str, name: str) -> DataFrame:
-    """``df`` with the greatest ``value`` (bigint) of the row's lane up to the row, carried over partition borders.
-
-    One summary row per partition and lane reaches the driver; lanes are few and known beforehand.
-    """
-    rows = laid_out(df, order)
-    best: dict = {}
-    before = []
-    summaries = rows.groupBy(PART, lane).agg(F.max(value).alias("m")).collect()
-    for r in sorted(summaries, key=lambda r: (r[PART], r[lane])):
-        before.append((r[PART], r[lane], best.get(r[lane])))
-        best[r[lane]] = max(r["m"], best.get(r[lane], r["m"]))
-    schema = T.StructType([T.StructField(PART, T.IntegerType()), T.StructField(lane, rows.schema[lane].dataType), T.StructField("__carry", T.LongType())])
-    w = Window.partitionBy(PART, lane).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(F.broadcast(df.sparkSession.createDataFrame(before, schema)), [PART, lane])
-    return joined.withColumn(name, F.greatest(F.max(value).over(w), F.col("__carry"))).drop(PART, "__at", "__carry")
-
-
 def running(rows: DataFrame, keys: list[str], value: Column, name: str, how: str = "sum") -> DataFrame:
     """Rows laid out by ``keys`` and an order, with the sum (or "max", "min") of ``value`` over the rows of the key up to each row, itself included.
 

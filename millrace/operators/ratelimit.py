@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import PART, laid_out, numbered, numbered_within, running, running_max
+from millrace.operators.ordered import PART, laid_out, numbered, numbered_within, running, running_within
 
 
 def release_windows(df: DataFrame, arrival: str, order: list[str], permits: int, segments: int = 1) -> DataFrame:
@@ -24,8 +24,8 @@ def release_windows(df: DataFrame, arrival: str, order: list[str], permits: int,
         rows = running(rows, [], (F.col(arrival) * permits - F.col("__i")).cast("bigint"), "__m", "max")
         return rows.withColumn("release", F.expr(f"(__i + __m - pmod(__i + __m, {permits})) div {permits}")).drop("__i", "__m", "__at", PART)
     rows = numbered(df, order, "__rn").withColumn("__i", F.col("__rn") - 1).withColumn("__j", F.expr(f"__i div {permits}")).withColumn("__class", F.col("__i") % permits)
-    rows = running_max(rows.withColumn("__a", (F.col(arrival) - F.col("__j") * segments).cast("bigint")), "__a", ["__i"], "__class", "__m")
-    return rows.withColumn("release", (F.col("__m") + F.col("__j") * segments).cast("bigint")).drop("__rn", "__i", "__j", "__class", "__a", "__m")
+    rows = running_within(rows, ["__class"], ["__i"], (F.col(arrival) - F.col("__j") * segments).cast("bigint"), "__m", "max")
+    return rows.withColumn("release", (F.col("__m") + F.col("__j") * segments).cast("bigint")).drop("__rn", "__i", "__j", "__class", "__m")
 
 
 def reject_beyond(df: DataFrame, window: str, order: list[str], permits: int, by: list[str] | None = None) -> DataFrame:

@@ -8,11 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.durable import durable
 from millrace.operators.ordered import numbered_within
 
 
-def broadcast_to(df: DataFrame, branches: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
-    """Every branch sees every row. Frames are immutable, so no copy is made."""
+def broadcast_to(df: DataFrame, branches: dict[str, Callable[[DataFrame], DataFrame]], keep: bool = False) -> dict[str, DataFrame]:
+    """Every branch sees every row. Frames are immutable, so no copy is made for a branch.
+
+    ``keep``: the rows are computed once and kept for all branches; without it each branch works out its own rows,
+    which over a scan is cheaper, as each reads only the columns and rows that it needs.
+    """
+    df = durable(df) if keep else df
     return {name: f(df) for name, f in branches.items()}
 
 

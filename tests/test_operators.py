@@ -101,6 +101,7 @@ def test_fan_out_and_compete(spark):
     df = ints(spark, 10)
     branches = topology.broadcast_to(df, {n: (lambda d: d) for n in "abc"})
     assert sum(b.count() for b in branches.values()) == 30
+    assert [b.count() for b in topology.broadcast_to(df, {n: (lambda d: d) for n in "abc"}, keep=True).values()] == [10] * 3
     shared = topology.assign_competing(df, 3, F.col("i"))
     assert shared.count() == 10 and shared.select("i").distinct().count() == 10
     with pytest.raises(ValueError):
