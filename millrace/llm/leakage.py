@@ -4,7 +4,8 @@ Method: winnowing. Words are folded (letter case, accents, letters that scanning
 hashes of k words the least is kept as a fingerprint, in corpus and test texts alike, so any shared run of w + k - 1
 words has a fingerprint in common. The corpus is read once; its fingerprints are joined by hash with those of the test
 texts; the hits of a document and an item that lie near one diagonal are extended by a local alignment of the words
-around them, and the aligned share of the item decides. No word counts more than another.
+around them, and the aligned share of the item decides. No word counts more than another; a passage that consists of
+phrases which many test texts share is no case.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ DENSITY = 0.75
 BAND = 24
 #: Different fingerprints in one band that make a candidate; fewer where an undamaged passage of the least length may have fewer.
 LEAST_HITS = 3
+#: A fingerprint is telling if at most HELD test texts hold it, or one part in HELD_PART of them. Two different fingerprints make a candidate if one is
+#: telling; and a passage, once aligned, counts if TELLING of its fingerprints are (or as many as the item has): phrases that many test texts share are no case.
+HELD, HELD_PART, TELLING = 3, 100, 2
 #: Fingerprints and bytes of test texts up to which they are broadcast; beyond, the corpus' hits are shuffled to them.
 BROADCAST_POSTINGS, BROADCAST_BYTES = 2_000_000, 64 << 20
 #: Slots of the filter that keeps corpus fingerprints no test text has from leaving their task: so many for each of the tests', at most.
@@ -161,16 +165,16 @@ def least_hits(size, share: float = SHARE):
     return np.clip(-(-(np.ceil(share * size) - (K + WINDOW - 2)) // WINDOW), 1, LEAST_HITS)
 
 
-def candidates(doc: np.ndarray, place: np.ndarray, item: np.ndarray, spot: np.ndarray, size: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, ...]:
-    """Hits -> (document, item, item's words, least and greatest diagonal) where enough different ones lie in a band; bands that touch make one."""
+def candidates(doc: np.ndarray, place: np.ndarray, item: np.ndarray, spot: np.ndarray, size: np.ndarray, telling: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, ...]:
+    """Hits -> (document, item, item's words, least and greatest diagonal, telling hits) where enough different ones lie in a band; bands that touch make one."""
     band = (place - spot + (1 << 30)) // (BAND // 2)
     # each hit lies in two overlapping bands
-    doc, place, item, spot, size = (np.concatenate([x, x]) for x in (doc, place, item, spot, size))
+    doc, place, item, spot, size, telling = (np.concatenate([x, x]) for x in (doc, place, item, spot, size, telling))
     band = np.concatenate([band, band - 1])
     order = np.lexsort((spot, band, item, doc))
-    doc, place, item, spot, size, band = (x[order] for x in (doc, place, item, spot, size, band))
+    doc, place, item, spot, size, telling, band = (x[order] for x in (doc, place, item, spot, size, telling, band))
     if not len(doc):
-        return (np.empty(0, np.int64),) * 5
+        return (np.empty(0, np.int64),) * 6
     other = np.ones(len(doc), bool)
     other[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
     fresh = other.copy()
@@ -180,15 +184,16 @@ def candidates(doc: np.ndarray, place: np.ndarray, item: np.ndarray, spot: np.nd
     first = np.flatnonzero(fresh)
     diagonal = place - spot
     low, high, hits = np.minimum.reduceat(diagonal, first), np.maximum.reduceat(diagonal, first), np.add.reduceat(new.astype(np.int64), first)
-    keep = hits >= least_hits(size[first], share)
-    first, low, high = first[keep], low[keep], high[keep]
+    told = np.add.reduceat((new & telling).astype(np.int64), first)
+    keep = (hits >= least_hits(size[first], share)) | ((hits >= 2) & (told > 0))
+    first, low, high, told = first[keep], low[keep], high[keep], told[keep]
     if not len(first):
-        return (np.empty(0, np.int64),) * 5
+        return (np.empty(0, np.int64),) * 6
     doc, item, size, band = (x[first] for x in (doc, item, size, band))
     apart = np.ones(len(first), bool)
     apart[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] > band[:-1] + 1)
     head = np.flatnonzero(apart)
-    return doc[head], item[head], size[head], np.minimum.reduceat(low, head), np.maximum.reduceat(high, head)
+    return doc[head], item[head], size[head], np.minimum.reduceat(low, head), np.maximum.reduceat(high, head), np.maximum.reduceat(told, head)
 
 
 def _deletions(word: str) -> list[str]:
@@ -350,13 +355,13 @@ def _windows(share: float):
         lead[head] = 1
         doc = np.cumsum(lead) - 1
         hit = lead == 0
-        place, item, spot, size = (pdf[c].to_numpy()[hit].astype(np.int64) for c in ("place", "item_id", "spot", "size"))
-        doc, item, size, low, high = candidates(doc[hit], place, item, spot, size, share)
+        place, item, spot, size, telling = (pdf[c].to_numpy()[hit].astype(np.int64) for c in ("place", "item_id", "spot", "size", "telling"))
+        doc, item, size, low, high, told = candidates(doc[hit], place, item, spot, size, telling > 0, share)
         if not len(doc):
             return None
         split = {k: pdf["words"].iloc[head[k]].split(" ") for k in np.unique(doc)}
         windows = [" ".join(split[k][max(0, a - BAND // 2) : b + m + BAND]) for k, m, a, b in zip(doc, size, low, high)]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[head[doc]], "item_id": item, "window": windows})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[head[doc]], "item_id": item, "window": windows, "told": told})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
@@ -384,7 +389,7 @@ def _windows(share: float):
 
 
 def _extend(share: float, density: float):
-    """(doc_id, item_id, window, item_text) -> FOUND for those that hold a passage."""
+    """(doc_id, item_id, window, told, item_text, item_tells) -> FOUND for those that hold a passage."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, ItemWords] = {}
@@ -400,6 +405,9 @@ def _extend(share: float, density: float):
                 items.append(own.ids)
                 windows.append(np.array([own.number(*spelled[w]) for w in window.split(" ")], np.int64))
             pair, equal, stretch = judge(items, windows, share, density)
+            needed = np.minimum(TELLING, pdf["item_tells"].to_numpy())
+            fine = pdf["told"].to_numpy()[pair] >= needed[pair]
+            pair, equal, stretch = pair[fine], equal[fine], stretch[fine]
             if len(pair):
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[pair], "item_id": pdf["item_id"].to_numpy()[pair], "equal_words": equal, "stretch": stretch, "item_words": [len(items[k]) for k in pair]})
 
@@ -423,15 +431,19 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, den
     # a number of its own for each text: an id may have several
     table = durable(_item_table(tests).withColumn("real_id", F.col("item_id")).withColumn("item_id", F.xxhash64("item_id", "item_text")))
     postings = table.select(F.explode(F.arrays_zip("h", "spot")).alias("p"), "item_id", "size").select("p.h", "p.spot", "item_id", "size")
-    sizes = table.agg(F.coalesce(F.sum(F.size("h")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("bytes"), F.min("size").alias("least")).first()
+    sizes = table.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.size("h")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("bytes"), F.min("size").alias("least")).first()
     if not sizes["n"]:
         return documents.sparkSession.createDataFrame([], FOUND)
+    # how many test texts hold a fingerprint, counted over all of them
+    held = postings.groupBy("h").agg(F.countDistinct("item_id").alias("held"))
+    postings = durable(postings.join(held, "h").withColumn("telling", (F.col("held") <= max(HELD, sizes["items"] // HELD_PART)).cast("int")).drop("held"))
+    tells = postings.groupBy("item_id").agg(F.countDistinct(F.when(F.col("telling") == 1, F.col("spot"))).cast("int").alias("item_tells"))
     small = sizes["n"] <= broadcast_postings and sizes["bytes"] <= BROADCAST_BYTES
     bits = documents.sparkSession.sparkContext.broadcast(_filter_bits(postings, sizes["n"]))
     # the tests' letters beyond ASCII; there are no more than Unicode has
     beyond = tests.select(F.explode(F.split(F.regexp_replace("text", r"[\x00-\x7f]", ""), "")).alias("c")).where("c != ''").distinct().collect()
-    scanned = _scan(docs, bits, int(least_hits(sizes["least"], share)), Alphabet("".join(sorted(r["c"] for r in beyond))))
-    texts = table.select("item_id", "real_id", "item_text")
+    scanned = _scan(docs, bits, min(2, int(least_hits(sizes["least"], share))), Alphabet("".join(sorted(r["c"] for r in beyond))))
+    texts = table.join(tells, "item_id").select("item_id", "real_id", "item_text", "item_tells")
     if small:
         met = scanned.join(F.broadcast(postings), "h", "left").where("words is not null or item_id is not null")
         texts = F.broadcast(texts)
@@ -443,12 +455,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, den
         is_hot = F.col("h").isin(hot) if hot else F.lit(False)
         salted = marks.withColumn("salt", F.when(is_hot, F.pmod("uid", F.lit(SALTS)).cast("int")).otherwise(0))
         spread = postings.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        hits = salted.join(spread, ["h", "salt"]).select("uid", "doc_id", F.lit(None).cast("string").alias("words"), "place", "item_id", "spot", "size")
-        heads = scanned.where("words is not null").select("uid", "doc_id", "words", F.lit(0).alias("place"), *(F.lit(None).cast(k).alias(c) for c, k in (("item_id", "bigint"), ("spot", "int"), ("size", "int"))))
+        hits = salted.join(spread, ["h", "salt"]).select("uid", "doc_id", F.lit(None).cast("string").alias("words"), "place", "item_id", "spot", "size", "telling")
+        heads = scanned.where("words is not null").select("uid", "doc_id", "words", F.lit(0).alias("place"), *(F.lit(None).cast(k).alias(c) for c, k in (("item_id", "bigint"), ("spot", "int"), ("size", "int"), ("telling", "int"))))
         met = heads.unionByName(hits).repartition("uid").sortWithinPartitions("uid", F.col("words").isNull())
     # no nulls in the numbers: pandas would make them floats, and floats lose digits
-    whole = [F.coalesce(c, F.lit(0)).alias(c) for c in ("item_id", "spot", "size")]
-    windows = met.select("uid", "doc_id", "words", "place", *whole).mapInPandas(_windows(share), "doc_id bigint, item_id bigint, window string")
-    found = windows.join(texts, "item_id").select("doc_id", F.col("real_id").alias("item_id"), "window", "item_text").mapInPandas(_extend(share, density), FOUND)
+    whole = [F.coalesce(c, F.lit(0)).alias(c) for c in ("item_id", "spot", "size", "telling")]
+    windows = met.select("uid", "doc_id", "words", "place", *whole).mapInPandas(_windows(share), "doc_id bigint, item_id bigint, window string, told int")
+    found = windows.join(texts, "item_id").select("doc_id", F.col("real_id").alias("item_id"), "window", "told", "item_text", "item_tells").mapInPandas(_extend(share, density), FOUND)
     best = F.max(F.struct("stretch", "equal_words", "item_words")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.equal_words", "b.stretch", "b.item_words")
