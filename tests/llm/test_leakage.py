@@ -141,3 +141,19 @@ def test_a_document_of_many_batches(spark):
     df = spark.createDataFrame([(1, long), (2, spread), (3, items[7][1])], "doc_id bigint, text string")
     got = {(x["doc_id"], x["item_id"]) for x in L.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert got == {(1, i) for i in range(300)} | {(3, 7)}
+
+
+def test_stock_phrases_are_no_case_but_the_passage_with_its_names_is(spark):
+    r = random.Random(13)
+    stock = [" ".join(r.sample(COMMON, 6)) for _ in range(12)]
+    items, decoys = [], []
+    for i in range(40):
+        phrases = r.sample(stock, 6)
+        items.append((i, " ".join(f"{p} {r.choice(NAMES)}" for p in phrases)))
+        decoys.append((100 + i, "\n".join(f"{p} {r.choice(NAMES)}" for p in phrases[:4])))  # four phrases in order, other names
+    docs = [(i, "\n".join(text(r, 8) for _ in range(4)) + "\n" + t) for i, t in items] + decoys
+    df, tests = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in L.find_leaks(df, tests).collect()} == {(i, i) for i in range(40)}
+    # tests that are copies of each other have nothing telling, and are found all the same
+    same = spark.createDataFrame([(i, items[0][1]) for i in range(20)], "item_id bigint, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in L.find_leaks(df.where("doc_id < 1"), same).collect()} == {(0, i) for i in range(20)}
