@@ -33,8 +33,8 @@ DENSITY = 0.75
 BAND = 24
 #: Different fingerprints in one band that make a candidate; fewer where an undamaged passage of the least length may have fewer.
 LEAST_HITS = 3
-#: A fingerprint is telling if at most HELD test texts hold it, or one part in HELD_PART of them. Two different fingerprints make a candidate if one is
-#: telling; and a passage, once aligned, counts if TELLING of its fingerprints are (or as many as the item has): phrases that many test texts share are no case.
+#: A fingerprint is telling if at most HELD test texts hold it, or one part in HELD_PART of them. So many different telling ones make a candidate as well;
+#: and a passage, once aligned, counts if TELLING of its fingerprints are telling (or as many as the item has): phrases that many test texts share are no case.
 HELD, HELD_PART, TELLING = 3, 100, 2
 #: Fingerprints and bytes of test texts up to which they are broadcast; beyond, the corpus' hits are shuffled to them.
 BROADCAST_POSTINGS, BROADCAST_BYTES = 2_000_000, 64 << 20
@@ -185,7 +185,7 @@ def candidates(doc: np.ndarray, place: np.ndarray, item: np.ndarray, spot: np.nd
     diagonal = place - spot
     low, high, hits = np.minimum.reduceat(diagonal, first), np.maximum.reduceat(diagonal, first), np.add.reduceat(new.astype(np.int64), first)
     told = np.add.reduceat((new & telling).astype(np.int64), first)
-    keep = (hits >= least_hits(size[first], share)) | ((hits >= 2) & (told > 0))
+    keep = (hits >= least_hits(size[first], share)) | (told >= TELLING)
     first, low, high, told = first[keep], low[keep], high[keep], told[keep]
     if not len(first):
         return (np.empty(0, np.int64),) * 6
