@@ -33,8 +33,8 @@ DENSITY = 0.75
 BAND = 24
 #: Different fingerprints in one band that make a candidate; fewer where an undamaged passage of the least length may have fewer.
 LEAST_HITS = 3
-#: A fingerprint is telling if at most HELD test texts hold it, or one part in HELD_PART of them. So many different telling ones make a candidate as well;
-#: and a passage, once aligned, counts if TELLING of its fingerprints are telling (or as many as the item has): phrases that many test texts share are no case.
+#: A fingerprint is telling if at most HELD test texts hold it, or one part in HELD_PART of them. TELLING different ones
+#: make a candidate as well, and a passage, once aligned, must have as many, or as many as the item has: phrases that many test texts share are no case.
 HELD, HELD_PART, TELLING = 3, 100, 2
 #: Fingerprints and bytes of test texts up to which they are broadcast; beyond, the corpus' hits are shuffled to them.
 BROADCAST_POSTINGS, BROADCAST_BYTES = 2_000_000, 64 << 20
