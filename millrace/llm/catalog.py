@@ -26,7 +26,8 @@ def _payments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _throughput(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "benchmark_result").where("result_id is not null and library is not null and throughput_per_sec is not null")
+    # what doesn't count goes before an id's rows become one, so that an id keeps its finite row
+    runs = table(spark, d, "benchmark_result").where("result_id is not null and library is not null and abs(throughput_per_sec) < double('infinity')")
     once = runs.groupBy("result_id").agg(F.min(F.struct("library", "throughput_per_sec", "run_at")).alias("r")).select("r.*")
     return once.select(F.lit("throughput_per_sec").alias("field"), F.col("library").alias("group_value"), F.col("throughput_per_sec").alias("v"), F.date_trunc("day", "run_at").cast("string").alias("day"))
 

@@ -1,6 +1,8 @@
 import math
 import random
 from collections import defaultdict
+from datetime import datetime
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -128,3 +130,16 @@ def test_percentiles_are_within_their_bound(spark):
             low, high = np.searchsorted(own, r["value"], "left") + 1, np.searchsorted(own, r["value"], "right")
             assert r["n_values"] == len(own) and r["rank_error"] <= RANK_ERROR
             assert max(0, low - rank, rank - high) <= r["off_ranks"] <= RANK_ERROR * len(own) + 1
+
+
+def test_an_id_counts_by_its_finite_row(spark, tmp_path):
+    t = datetime(2025, 1, 2)
+    runs = [(1, "A", math.nan, t), (1, "B", 5.0, t), (2, "A", -math.inf, t), (2, "A", 7.0, t), (3, "A", 9.0, t), (3, "A", math.inf, t), (4, "A", math.nan, t), (5, "A", None, t), (5, "A", 1.0, None)]
+    spark.createDataFrame(runs, "result_id bigint, library string, throughput_per_sec double, run_at timestamp").write.parquet(f"{tmp_path}/benchmark_result.parquet")
+    paid = [("p", "i", None, t), ("p", "i", Decimal("2.00"), t), ("p", "i", Decimal("2.00"), t)]
+    spark.createDataFrame(paid, "payment_id string, invoice_id string, gross_amount decimal(18,2), paid_at timestamp").write.parquet(f"{tmp_path}/payment.parquet")
+    spark.createDataFrame([("i", None), ("i", "EU")], "id string, region string").write.parquet(f"{tmp_path}/invoice.parquet")
+    day = "2025-01-02 00:00:00"
+    got = {(r["field"], r["group_value"], r["day"]): (r["n"], r["value"]) for r in QUERIES["p3_daily"](spark, str(tmp_path)).collect()}
+    throughput = {("A", ""): (1, [1.0]), ("A", day): (2, [7.0, 9.0]), ("B", day): (1, [5.0])}
+    assert got == {("gross_amount", "EU", day): (1, [2.0])} | {("throughput_per_sec", *k): v for k, v in throughput.items()}
