@@ -142,6 +142,11 @@ def running_within(df: DataFrame, keys: list[str], order: list[str], value: Colu
     return running(laid_out(df, [*keys, *order]), keys, value, name, how).drop(PART, "__at")
 
 
+def running_max(df: DataFrame, value: str, order: list[str], lane: str, name: str) -> DataFrame:
+    """``df`` with the greatest ``value`` of the row's lane up to the row, also where one lane holds all rows. Null lanes equal each other; a null value changes nothing."""
+    return running_within(df, [lane], order, F.col(value), name, "max")
+
+
 def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
     """``df`` with row numbers from 1 within each key, also where one key holds all rows. The order must tell a key's rows apart for the numbers to be the same each time."""
     return running_within(df, keys, order, F.lit(1).cast("bigint"), name)

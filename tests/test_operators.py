@@ -61,6 +61,18 @@ def test_ordered_helpers(spark):
     assert rows(ordered.numbered(df, ["i"]).select("i", "rn")) == sorted(((i, i + 1) for i in range(200)), key=repr)
 
 
+def test_running_max_with_nulls(spark):
+    r = random.Random(5)
+    data = [(i, r.choice([None, r.randrange(100)]), r.choice(["hot", "hot", "hot", "b", None])) for i in range(200)]
+    best, want = {}, []
+    for i, m, lane in data:
+        best[lane] = max((x for x in (m, best.get(lane)) if x is not None), default=None)
+        want.append((i, m, lane, best[lane]))
+    df = spark.createDataFrame(data, "i int, m bigint, lane string").repartition(7)
+    got = ordered.running_max(df, "m", ["i"], "lane", "w")
+    assert got.columns == ["i", "m", "lane", "w"] and rows(got) == sorted(want, key=repr)
+
+
 def test_filter_and_select(spark):
     df = frame(spark, 10)
     assert rowops.filter_rows(df, "Amount > 50").count() == 5
