@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,17 @@ def scalar_function(spark, d):
 
 
 def grouped_function(spark, d):
-    """A user aggregate per type."""
-    rows = table(spark, d, "events").select("event_type", "value")
-    return functions.grouped(rows, ["event_type"], lambda p: p.groupby("event_type", as_index=False).agg(spread=("value", lambda v: v.max() - v.min())), "event_type string, spread double")
+    """A user aggregate per type. Arrow's greatest value leaves NaN out, so a state says whether there was one."""
+    states = table(spark, d, "events").select("event_type", F.col("value").alias("high"), F.col("value").alias("low"), F.isnan("value").alias("nan"))
+
+    def merge(t: pa.Table) -> pa.Table:
+        found = t.group_by("event_type").aggregate([("high", "max"), ("low", "min"), ("nan", "any")])
+        return found.select(["event_type", "high_max", "low_min", "nan_any"]).rename_columns(t.column_names)
+
+    def spread(t: pa.Table) -> pa.Table:
+        return pa.table({"event_type": t["event_type"], "spread": pc.if_else(t["nan"], float("nan"), pc.subtract(t["high"], t["low"]))})
+
+    return functions.folded(states, ["event_type"], merge, spread, "event_type string, spread double")
 
 
 def epoch_streams(spark, d):

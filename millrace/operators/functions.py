@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ def scalar(function: Callable[[pd.Series], pd.Series], kind: str) -> Callable[..
 def grouped(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = 1_000_000) -> DataFrame:
     """A user aggregate over all rows of a key at once. A key of more than ``most`` rows fails the query: its rows wouldn't fit into a task.
 
-    Aggregates that can be written as expressions belong into ``group_rows``, which has no such bound.
+    Aggregates that can be merged from parts belong into ``folded``, and those that can be written as expressions into
+    ``group_rows``: neither has such a bound.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -44,6 +46,39 @@ def grouped(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], p
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def folded(states: DataFrame, keys: list[str], merge: Callable[[pa.Table], pa.Table], finish: Callable[[pa.Table], pa.Table], schema: str, most: int = 100_000) -> DataFrame:
+    """A user aggregate for keys of any size. Each row is a state of its key; ``merge`` makes one state per key out of many, ``finish`` the result of a key's last one.
+
+    ``merge`` is called on states of many keys, its own results among them, in any order and split in any way, and returns the columns
+    of ``states``. Tasks merge as rows come, so a key moves as a state or a few from each, not as its rows; a task hands on what it
+    holds once these are more than ``most`` keys.
+    """
+    names = states.columns
+
+    def one_each(table: pa.Table) -> pa.Table:
+        return merge(table).select(names).cast(table.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, waiting = [], 0
+        for batch in batches:
+            have.append(batch)
+            waiting += batch.num_rows
+            if waiting > most:
+                merged = one_each(pa.Table.from_batches(have))
+                if merged.num_rows > most:
+                    yield from merged.to_batches()
+                    merged = merged.slice(0, 0)
+                have, waiting = merged.to_batches(), 0
+        if have:
+            yield from one_each(pa.Table.from_batches(have)).to_batches()
+
+    def last(table: pa.Table) -> pa.Table:
+        return finish(one_each(table))
+
+    parts = states.mapInArrow(run, states.schema)
+    return parts.groupBy(*keys).applyInArrow(last, schema)
+
+
 def map_epochs(df: DataFrame, epoch: str, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``map_batches`` within epochs: no call sees rows of two epochs, and every row out keeps its epoch's tag, which the function doesn't return."""
 

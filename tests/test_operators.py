@@ -257,6 +257,32 @@ def test_user_functions(spark):
         functions.grouped(df, ["k"], lambda p: p, "k string, v int", most=1)
 
 
+@pytest.mark.parametrize("most", [1, 3, 100_000])
+def test_user_aggregate_from_parts(spark, most):
+    from millrace.operators import functions
+
+    df = spark.range(0, 3000, numPartitions=3).selectExpr("if(id % 7 = 6, null, id % 7) AS k", "id AS total", "1L AS n")
+    merge = lambda t: t.group_by("k").aggregate([("n", "sum"), ("total", "sum")]).rename_columns(["k", "n", "total"])
+    finish = lambda t: t.select(["k", "n", "total"])
+    got = rows(functions.folded(df, ["k"], merge, finish, "k bigint, n bigint, total bigint", most))
+    assert got == rows(df.groupBy("k").agg(F.sum("n"), F.sum("total"))) and len(got) == 7
+    assert rows(functions.folded(df.limit(0), ["k"], merge, finish, "k bigint, n bigint, total bigint", most)) == []
+
+
+def test_grouped_function_of_hot_and_odd_types(spark, tmp_path):
+    from oracle_check import TABLES, compare
+
+    from millrace.catalog import ORACLE, QUERIES
+
+    hot = spark.range(1_000_001).selectExpr("'hot' AS event_type", "cast(id AS double) AS value")
+    odd = [("nan", float("nan")), ("nan", 1.0), ("all nan", float("nan")), ("null", None), ("some null", None), ("some null", 3.0), (None, 2.0), (None, 7.5), ("inf", float("inf")), ("inf", 1.0), ("only inf", float("inf"))]
+    hot.union(spark.createDataFrame(odd, "event_type string, value double")).selectExpr("monotonically_increasing_id() AS event_id", "*").write.parquet(str(tmp_path / "events.parquet"))
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    assert compare(spark, "grouped_function", str(tmp_path), QUERIES, ORACLE).startswith("ok 8 rows")
+
+
 def test_checkpoint_store(spark, tmp_path):
     from millrace.sources.checkpoints import CheckpointStore
 
