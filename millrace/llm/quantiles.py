@@ -97,13 +97,19 @@ class RankSummary:
         return RankSummary(self.n, self.value[kept], self.least[kept], self.greatest[kept])
 
     def quantile(self, probs: list[float]) -> tuple[np.ndarray, np.ndarray]:
-        """The values at ranks ceil(prob * n), at least 1, and by how many ranks each may be off, as its own interval shows."""
+        """The values at ranks ceil(prob * n), at least 1, and by how many ranks each may be off, as its own interval shows.
+
+        A value's first rank is at most ``first``, its last rank at least ``last``: of tied tuples, the first and the last one bound it.
+        """
         ranks = np.maximum(1, np.ceil(np.array(probs) * self.n))
-        high = np.clip(np.searchsorted(self.greatest, ranks), 0, len(self.value) - 1)
+        edge = self.value[1:] != self.value[:-1]
+        first, last = self.greatest[np.concatenate([[True], edge])], self.least[np.concatenate([edge, [True]])]
+        value = self.value[np.concatenate([[True], edge])]
+        high = np.clip(np.searchsorted(first + last, 2 * ranks), 0, len(value) - 1)
         low = np.maximum(high - 1, 0)
-        far = lambda i: np.maximum(np.abs(self.least[i] - ranks), np.abs(self.greatest[i] - ranks))
-        at = np.where(far(low) <= far(high), low, high)
-        return self.value[at], np.where(self.value[low] == self.value[high], 0, far(at))
+        off = lambda i: np.maximum(0, np.maximum(first[i] - ranks, ranks - last[i]))
+        at = np.where(off(low) <= off(high), low, high)
+        return value[at], off(at)
 
 
 def merge_all(parts: list[RankSummary]) -> RankSummary:

@@ -35,6 +35,19 @@ def test_summary_error_is_proven(seed):
         assert off(values, v, p) <= bound <= s.error * s.n + 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_every_rank_is_within_its_bound_where_values_repeat(seed):
+    r = np.random.default_rng(seed)
+    values = np.repeat(r.lognormal(0, 2, 300).round(1), 60)
+    r.shuffle(values)
+    s = merge_all([RankSummary.of(p).compress(0.005) for p in np.array_split(values, 9)]).compress(0.01)
+    ranks = np.arange(1, len(values) + 1)
+    got, bound = s.quantile((ranks - 0.5) / len(values))
+    values.sort()
+    true = np.maximum(0, np.maximum(np.searchsorted(values, got, "left") + 1 - ranks, ranks - np.searchsorted(values, got, "right")))
+    assert (true <= bound).all() and bound.max() <= s.error * s.n + 1
+
+
 def test_groups_over_partitions_and_days(spark):
     r = random.Random(4)
     data = [("hot" if r.random() < 0.6 else r.choice("ab"), r.choice(["d1", "d2", "d3"]), r.choice([r.gauss(0, 1e6), float(r.randrange(5))])) for _ in range(20_000)]
