@@ -70,7 +70,7 @@ class RankSummary:
         if len(self.value) < 2:
             return 0.0
         step = (self.greatest[1:] - self.least[:-1])[self.value[1:] != self.value[:-1]]
-        return max(0.0, float(step.max(initial=0)) - 1) / (2 * self.n)
+        return float(step.max(initial=0)) // 2 / self.n  # ranks are whole: in the middle of a step of 2 k one is off by k
 
     def merge(self, other: RankSummary) -> RankSummary:
         """The summary of both; its error is at most the larger of theirs."""

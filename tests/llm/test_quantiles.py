@@ -48,6 +48,18 @@ def test_every_rank_is_within_its_bound_where_values_repeat(seed):
     assert (true <= bound).all() and bound.max() <= s.error * s.n + 1
 
 
+@pytest.mark.parametrize("n", [100, 125, 250, 3000])
+def test_no_rank_is_off_by_more_than_the_stated_share(n):
+    values = np.random.default_rng(n).permutation(n).astype(float)
+    ranks = np.arange(1, n + 1)
+    exact = RankSummary.of(values)
+    for s in (exact, exact.compress(0.01), merge_all([RankSummary.of(p).compress(0.01) for p in np.array_split(values, 3)]).compress(0.02)):
+        got, bound = s.quantile((ranks - 0.5) / n)
+        assert np.abs(got + 1 - ranks).max() <= bound.max() <= s.error * n + 1e-6
+        assert s.error <= 0.02
+    assert exact.error == 0
+
+
 def test_groups_over_partitions_and_days(spark):
     r = random.Random(4)
     data = [("hot" if r.random() < 0.6 else r.choice("ab"), r.choice(["d1", "d2", "d3"]), r.choice([r.gauss(0, 1e6), float(r.randrange(5))])) for _ in range(20_000)]
